@@ -19,13 +19,13 @@ from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import join_on
 
 
-def with_position(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], weight: str | None = None) -> DataFrame:
+def with_position(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], weight: str | None = None, also: str | None = None) -> DataFrame:
     """Add ``__pos`` (0-based), ``__size`` and, for a weight, ``__before``/``__total``.
 
     ``__pos`` numbers the rows of each group in ``order``; ``__size`` is the
     group's row count. ``__before`` is the weight of the earlier rows and
-    ``__total`` the weight of the whole group. ``order`` must be unique
-    within a group.
+    ``__total`` the weight of the whole group; ``also`` names a second weight
+    with ``__before_also``. ``order`` must be unique within a group.
     """
     group_cols = [ref(g) for g in groups]
     order_cols = [ref(o) if isinstance(o, str) else o for o in order]
@@ -34,25 +34,27 @@ def with_position(df: DataFrame, groups: Sequence[str], order: Sequence[str | Co
     earlier = Window.partitionBy(*group_cols).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)
 
-    sums = [F.count(F.lit(1)).alias("__rows")]
-    if weight:
-        sums.append(F.sum(ref(weight)).alias("__weight"))
-    carry = placed.groupBy(*group_cols, "__part").agg(*sums)
+    weights = {"": weight, "_also": also}
+    weights = {tag: c for tag, c in weights.items() if c}
+    sums = [F.sum(ref(c)).alias(f"__weight{tag}") for tag, c in weights.items()]
+    carry = placed.groupBy(*group_cols, "__part").agg(F.count(F.lit(1)).alias("__rows"), *sums)
     carry = carry.withColumn("__rows_before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
     carry = carry.withColumn("__size", F.sum("__rows").over(whole))
-    if weight:
-        carry = carry.withColumn("__weight_before", F.coalesce(F.sum("__weight").over(earlier), F.lit(0)))
-        carry = carry.withColumn("__total", F.sum("__weight").over(whole)).drop("__weight")
-    carry = carry.drop("__rows")
+    for tag in weights:
+        carry = carry.withColumn(f"__carried{tag}", F.coalesce(F.sum(f"__weight{tag}").over(earlier), F.lit(0)))
+        if not tag:
+            carry = carry.withColumn("__total", F.sum("__weight").over(whole))
+    carry = carry.drop("__rows", "__weight", "__weight_also")
 
     local = placed.withColumn("__row", F.row_number().over(piece))
-    if weight:
-        local = local.withColumn("__running", F.sum(ref(weight)).over(piece.rowsBetween(Window.unboundedPreceding, 0)))
+    for tag, c in weights.items():
+        running = F.sum(ref(c)).over(piece.rowsBetween(Window.unboundedPreceding, 0))
+        local = local.withColumn(f"__before{tag}", running - ref(c))
     out = join_on(local, carry, [*groups, "__part"])
     out = out.withColumn("__pos", (F.col("__row") - 1 + F.col("__rows_before")).cast("long"))
-    if weight:
-        out = out.withColumn("__before", F.col("__weight_before") + F.col("__running") - ref(weight))
-    return out.drop("__part", "__row", "__rows_before", "__weight_before", "__running")
+    for tag in weights:
+        out = out.withColumn(f"__before{tag}", F.col(f"__before{tag}") + F.col(f"__carried{tag}"))
+    return out.drop("__part", "__row", "__rows_before", "__carried", "__carried_also")
 
 
 def ranked_values(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
