@@ -11,7 +11,7 @@ from lodestat.plans.boxcount import box_pairs, box_seconds, value_intervals
 from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import join_on
 from lodestat.plans.series import Series, detrended, with_lags
-from lodestat.plans.tiles import near_pairs, tile_seconds, total_rows
+from lodestat.plans.tiles import near_pairs, tile_seconds
 
 
 def count_share(pairs: Column, vectors: Column) -> Column:
@@ -20,13 +20,13 @@ def count_share(pairs: Column, vectors: Column) -> Column:
     return F.when(vectors < 2, F.lit(0.0)).otherwise(ratio(others, vectors * (vectors - 1)))
 
 
-def boxed_pairs(series: Series, values: DataFrame, dim: int, distinct: int, rows: int) -> DataFrame:
+def boxed_pairs(series: Series, values: DataFrame, dim: int, distinct: int) -> DataFrame:
     """(keys, pairs) by rank boxes: the embedded vectors carry rank intervals."""
     ranked = join_on(series.df, values.select(*series.key_cols(), "x", F.struct("rank", "lo", "hi").alias("spot")), [*series.keys, "x"])
     lags = range(1, dim)
     lagged = with_lags(series, lags, ranked, "spot", "spot").where(F.col("t") >= dim - 1)
     vectors = lagged.select(*series.key_cols(), F.array(*[F.col(f"spot{k}") for k in reversed(lags)], F.col("spot")).alias("v"))
-    return box_pairs(series, vectors, dim, distinct, rows)
+    return box_pairs(series, vectors, dim, distinct)
 
 
 def neighbour_integrals(series: Series, dim: int, epsilon: float, method: str = "auto") -> DataFrame:
@@ -48,16 +48,15 @@ def neighbour_integrals(series: Series, dim: int, epsilon: float, method: str =
     if dim == 1:
         counts = singles.select(*keys, F.col("__near").alias("pairs"))
     else:
-        rows, squares = total_rows(series)
         if method == "auto":
-            method = "tiles" if tile_seconds(squares) <= box_seconds(rows, series.longest, dim) else "boxes"
+            method = "tiles" if tile_seconds(series.squares) <= box_seconds(series.rows, series.longest, dim) else "boxes"
         if method == "tiles":
-            near = near_pairs(series, dim, epsilon, rows)
+            near = near_pairs(series, dim, epsilon)
             counts = near.select(*keys, (F.col("near") * 2).alias("__both"))
         else:
             values = stored(values)
             widest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-            counts = boxed_pairs(series, values, dim, widest, rows)
+            counts = boxed_pairs(series, values, dim, widest)
     both = join_on(singles, counts, series.keys)
     if dim > 1 and method == "tiles":
         both = both.withColumn("pairs", F.col("__both") + vectors)

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from lodestat.columns import ref
 from lodestat.errors import InsufficientData
 from lodestat.operators.features import equal_bin, information
-from lodestat.plans.joins import join_on
+from lodestat.plans.joins import broadcast_if, join_on
 from lodestat.plans.series import Series, detrended, trend, with_lags
 
 
@@ -54,35 +54,46 @@ def autocorrelation(series: Series, max_lag: int) -> DataFrame:
     return series.present(out, (F.col("__p") + 1).alias("lag"), "autocorrelation")
 
 
+def lag_ranges(series: Series, max_lag: int) -> DataFrame:
+    """(keys, lag, ulo, uhi, vlo, vhi, bins) of the earlier and the later values.
+
+    All lags share the rows at least ``max_lag`` away from both ends, so one
+    aggregate covers these and only the end rows are repeated per lag.
+    """
+    keys = series.key_cols()
+    t, n, x = F.col("t"), F.col("n"), F.col("x")
+    middle = (t >= max_lag) & (t < n - max_lag)
+    inner = series.df.where(middle).groupBy(*keys).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
+    ends = series.df.where(~middle).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
+    ends = ends.where(F.col("lag") < n)
+    earlier, later = F.when(t < n - F.col("lag"), x), F.when(t >= F.col("lag"), x)
+    edge = ends.groupBy(*keys, "lag", "n").agg(
+        F.min(earlier).alias("ulo"), F.max(earlier).alias("uhi"), F.min(later).alias("vlo"), F.max(later).alias("vhi")
+    )
+    both = join_on(edge, inner, series.keys, "left")
+    bins = F.greatest(F.ceil(F.sqrt((n - F.col("lag")).cast("double"))), F.lit(2))
+    low = lambda c: F.least(F.col(c), F.col("__lo")).alias(c)
+    high = lambda c: F.greatest(F.col(c), F.col("__hi")).alias(c)
+    return both.select(*keys, "lag", low("ulo"), high("uhi"), low("vlo"), high("vhi"), bins.alias("bins"))
+
+
 def delay_information(series: Series, max_lag: int) -> DataFrame:
     """(keys, lag, mutual_information) with sqrt(n) bins per lag.
 
-    Range and pair count of every lag are found in one aggregate and joined
-    once per row; the pairs are then binned and merged on the map side.
+    The ranges of all lags form one small table. The lagged pairs are binned
+    against it, merged on the map side and shuffled as counts.
     """
     lags = list(range(1, max_lag + 1))
-    wide = with_lags(series, lags)
     keys = series.key_cols()
-    per_lag = []
-    for k in lags:
-        later = F.when(F.col("t") >= k, F.col("x"))
-        per_lag.append(
-            F.struct(
-                F.min(f"lag{k}").alias("ulo"), F.max(f"lag{k}").alias("uhi"), F.min(later).alias("vlo"), F.max(later).alias("vhi"),
-                F.greatest(F.ceil(F.sqrt(F.count(later).cast("double"))), F.lit(2)).alias("bins"),
-            )
-        )
-    ranges = wide.groupBy(*keys).agg(F.array(*per_lag).alias("__ranges"))
-    rows = series.attach(wide, ranges)
-    cells = []
-    for i, k in enumerate(lags):
-        r = F.col("__ranges")[i]
-        flat = (r["uhi"] == r["ulo"]) | (r["vhi"] == r["vlo"])
-        a = F.when(flat, F.lit(0)).otherwise(equal_bin(F.col(f"lag{k}"), r["ulo"], r["uhi"], r["bins"]))
-        b = F.when(flat, F.lit(0)).otherwise(equal_bin(F.col("x"), r["vlo"], r["vhi"], r["bins"]))
-        cells.append(F.when(F.col("t") >= k, F.struct(F.lit(k).alias("lag"), a.alias("__a"), b.alias("__b"))))
-    pairs = rows.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("__s")).select(*keys, "__s.*")
-    return information(pairs, [*series.keys, "lag"])
+    wide = with_lags(series, lags)
+    pairs = wide.select(*keys, "t", "x", F.posexplode(F.array(*[F.col(f"lag{k}") for k in lags])).alias("__p", "u"))
+    pairs = pairs.where(F.col("t") > F.col("__p")).withColumn("lag", F.col("__p") + 1)
+    ranges = broadcast_if(lag_ranges(series, max_lag), series.count * max_lag)
+    placed = join_on(pairs, ranges, [*series.keys, "lag"])
+    flat = (F.col("uhi") == F.col("ulo")) | (F.col("vhi") == F.col("vlo"))
+    a = F.when(flat, F.lit(0)).otherwise(equal_bin(F.col("u"), F.col("ulo"), F.col("uhi"), F.col("bins")))
+    b = F.when(flat, F.lit(0)).otherwise(equal_bin(F.col("x"), F.col("vlo"), F.col("vhi"), F.col("bins")))
+    return information(placed.select(*keys, "lag", a.alias("__a"), b.alias("__b")), [*series.keys, "lag"])
 
 
 def delay_mutual_information(series: Series, max_lag: int) -> DataFrame:

@@ -79,7 +79,7 @@ def box_seconds(rows: int, distinct_values: int, dim: int) -> float:
     return rows * (levels ** (dim - 1) + 2 * (1.3 * levels) ** (dim - 1)) * 4e-6
 
 
-def box_pairs(series: Series, vectors: DataFrame, dim: int, distinct_values: int, rows: int) -> DataFrame:
+def box_pairs(series: Series, vectors: DataFrame, dim: int, distinct_values: int) -> DataFrame:
     """(keys, pairs): ordered pairs of vectors inside each other's box.
 
     ``vectors`` holds per row an array ``v`` of ``dim`` structs (rank, lo, hi).
@@ -88,10 +88,8 @@ def box_pairs(series: Series, vectors: DataFrame, dim: int, distinct_values: int
     keys = series.key_cols()
     levels = max(distinct_values - 1, 1).bit_length()
     merged = vectors.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
-    # The rows below multiply by levels^(dim-1): fix the partition number, which
-    # adaptive execution would otherwise choose by the small size before that.
-    parallel = series.df.sparkSession.sparkContext.defaultParallelism
-    merged = merged.repartition(max(parallel, int(rows * (levels + 1) ** (dim - 1) // 4_000_000) + 1), *keys, "v")
+    # Every vector becomes levels^(dim-1) rows below.
+    merged = merged.repartition(series.tasks((levels + 1) ** (dim - 1)), *keys, "v")
     spot = lambda d: F.col("v")[d]
     node_names = [f"n{d}" for d in range(dim - 1)]
     last = spot(dim - 1)

@@ -10,7 +10,7 @@ ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import broadcast_if, join_on
 from lodestat.plans.ordering import with_position
 
-CHUNK = 65_536
+CHUNK = 8_192
 
 # Key column of a table that is one single series.
 SINGLE = "__series"
@@ -37,6 +37,8 @@ class Series:
     count: int
     shortest: int
     longest: int
+    rows: int
+    squares: float
 
     @property
     def shown(self) -> list[str]:
@@ -61,7 +63,16 @@ class Series:
 
     def with_values(self, value: Column) -> "Series":
         """The same index over another value."""
-        return Series(self.df.withColumn("x", value), self.keys, self.count, self.shortest, self.longest)
+        return replace(self, df=self.df.withColumn("x", value))
+
+    def tasks(self, factor: float = 1.0, per_task: int = 2_000_000) -> int:
+        """Partitions for work on ``rows * factor`` records, at least one per core.
+
+        Adaptive execution sizes partitions by their bytes before a row is
+        multiplied, so operators that multiply rows fix the number themselves.
+        """
+        cores = self.df.sparkSession.sparkContext.defaultParallelism
+        return max(cores, int(self.rows * factor // per_task) + 1)
 
     def present(self, df: DataFrame, *columns: str | Column) -> DataFrame:
         """Result columns behind the user's keys."""
@@ -70,8 +81,9 @@ class Series:
 
 def measured(df: DataFrame, keys: list[str]) -> Series:
     """Wrap indexed rows with the number and the lengths of the series."""
-    sizes = df.where(F.col("t") == 0).agg(F.count(F.lit(1)), F.min("n"), F.max("n")).first()
-    return Series(df, keys, sizes[0], sizes[1] or 0, sizes[2] or 0)
+    length = F.col("n").cast("double")
+    sizes = df.where(F.col("t") == 0).agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum("n"), F.sum(length * length)).first()
+    return Series(df, keys, *[v or 0 for v in sizes])
 
 
 def index_series(df: DataFrame, column: str, order_by: str | Sequence[str], keys: str | Sequence[str] | None = None) -> Series:
@@ -106,12 +118,10 @@ def with_lags(series: Series, lags: Sequence[int], df: DataFrame | None = None,
     own = F.struct(chunk.alias("chunk"), F.lit(False).alias("halo"))
     copy = F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("halo"))
     tail = (F.col("t") % size >= size - reach) & (F.col("t") + 1 < F.col("n"))
-    if series.longest <= size:
-        spread, window_keys = source.withColumn("__halo", F.lit(False)), series.key_cols()
-    else:
-        spread = source.withColumn("__s", F.explode(F.when(tail, F.array(own, copy)).otherwise(F.array(own))))
-        spread = spread.withColumn("__chunk", F.col("__s.chunk")).withColumn("__halo", F.col("__s.halo")).drop("__s")
-        window_keys = [*series.key_cols(), F.col("__chunk")]
+    spread = source.withColumn("__s", F.explode(F.when(tail, F.array(own, copy)).otherwise(F.array(own))))
+    spread = spread.withColumn("__chunk", F.col("__s.chunk")).withColumn("__halo", F.col("__s.halo")).drop("__s")
+    window_keys = [*series.key_cols(), F.col("__chunk")]
+    spread = spread.repartition(series.tasks(len(lags)), *window_keys)
     order = Window.partitionBy(*window_keys).orderBy("t")
     out = spread.select("*", *[F.lag(column, k).over(order).alias(f"{prefix}{k}") for k in lags])
     return out.where(~F.col("__halo")).drop("__halo", "__chunk")
@@ -146,4 +156,4 @@ def detrended(series: Series) -> Series:
     fitted = F.col("intercept") + F.col("slope") * F.col("t")
     value = F.when(F.col("n") < 2, F.col("x")).otherwise(F.col("x") - fitted)
     rows = series.attach(series.df, line).withColumn("x", value).drop("slope", "intercept")
-    return Series(rows, series.keys, series.count, series.shortest, series.longest)
+    return replace(series, df=rows)

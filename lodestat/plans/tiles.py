@@ -42,13 +42,6 @@ def chunk_arrays(series: Series, overlap: int, size: int = TILE) -> DataFrame:
     return grouped.select(*series.key_cols(), "chunk", "n", F.transform("__c", lambda c: c["x"]).alias("xs"))
 
 
-def total_rows(series: Series) -> tuple[int, float]:
-    """Rows and summed squared lengths over all series."""
-    length = F.col("n").cast("double")
-    row = series.df.where(F.col("t") == 0).agg(F.sum("n"), F.sum(length * length)).first()
-    return int(row[0] or 0), float(row[1] or 0.0)
-
-
 def near_tile(left: np.ndarray, right: np.ndarray, dim: int, eps: float, same: bool, step: int = 256) -> int:
     """Pairs i < j of two chunks whose ``dim`` successive values stay within eps."""
     rows, cols = len(left) - dim + 1, len(right) - dim + 1
@@ -66,19 +59,18 @@ def near_tile(left: np.ndarray, right: np.ndarray, dim: int, eps: float, same: b
     return count
 
 
-def near_pairs(series: Series, dim: int, eps: float, rows: int) -> DataFrame:
+def near_pairs(series: Series, dim: int, eps: float) -> DataFrame:
     """(keys, near): unordered pairs of embedded vectors closer than eps."""
     keys = series.key_cols()
     chunks = chunk_arrays(series, dim - 1)
     last = F.floor((F.col("n") - 1) / TILE).cast("long")
     pairs = chunks.select(*keys, F.col("chunk").alias("a"), F.explode(F.sequence(F.col("chunk"), last)).alias("b"))
-    small = rows <= BROADCAST_VALUES
+    small = series.rows <= BROADCAST_VALUES
     hint: Callable[[DataFrame], DataFrame] = F.broadcast if small else (lambda d: d)
     left = chunks.select(*keys, F.col("chunk").alias("a"), F.col("xs").alias("left"))
     right = chunks.select(*keys, F.col("chunk").alias("b"), F.col("xs").alias("right"))
-    tile_count = series.count + rows * (series.longest // TILE + 2) // (2 * TILE)
-    parallel = series.df.sparkSession.sparkContext.defaultParallelism
-    spread = pairs.repartition(max(parallel, tile_count // PAIRS_PER_TASK + 1), *keys, "a", "b")
+    tile_count = series.count + series.rows * (series.longest // TILE + 2) // (2 * TILE)
+    spread = pairs.repartition(max(series.tasks(), tile_count // PAIRS_PER_TASK + 1), *keys, "a", "b")
     tiles = join_on(join_on(spread, hint(left), [*series.keys, "a"]), hint(right), [*series.keys, "b"])
 
     @F.pandas_udf(LongType())
