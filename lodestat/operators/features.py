@@ -60,17 +60,16 @@ def information(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """
     key_cols = [ref(k) for k in keys]
     joint = pairs.groupBy(*key_cols, "__a", "__b").agg(F.count(F.lit(1)).alias("__c"))
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("__a").alias("bin")),
-        F.struct(F.lit(1).alias("side"), F.col("__b").alias("bin")),
-    )
+    none = lambda c: F.when(F.lit(False), F.col(c)).alias(c)
+    sides = F.array(F.struct(F.lit(0).alias("side"), "__a", none("__b")), F.struct(F.lit(1).alias("side"), none("__a"), "__b"))
     marginal = joint.select(*key_cols, "__c", F.explode(sides).alias("__s")).groupBy(*key_cols, "__s").agg(F.sum("__c").alias("__c"))
     both = joint.select(*key_cols, F.lit(1.0).alias("__sign"), "__c").unionByName(
         marginal.select(*key_cols, F.lit(-1.0).alias("__sign"), "__c")
     )
     n = F.sum(F.when(F.col("__sign") > 0, F.col("__c")))
     mi = F.sum(F.col("__sign") * F.col("__c") * F.ln("__c")) / n + F.ln(n)
-    return both.groupBy(*key_cols).agg(F.greatest(mi, F.lit(0.0)).alias("mutual_information"))
+    single = F.count_if(F.col("__sign") > 0) == 1
+    return both.groupBy(*key_cols).agg(F.when(single, F.lit(0.0)).otherwise(F.greatest(mi, F.lit(0.0))).alias("mutual_information"))
 
 
 def equal_bin(value: Column, low: Column, high: Column, bins: Column) -> Column:

@@ -19,9 +19,9 @@ from lodestat.columns import as_list, filled, number, pick, ref, require_columns
 from lodestat.errors import NotEnoughColumns
 from lodestat.functions.scalars import ratio
 
-# One aggregate holds m(m+1)/2 expressions up to this many columns; wider
-# tables use partition-local cross-product matrices.
-AGGREGATE_COLUMNS = 40
+# One aggregate holds the m(m+1)/2 cells up to this many columns; its code grows
+# with the cells, so wider tables use partition-local cross-product matrices.
+AGGREGATE_COLUMNS = 4
 # Largest number of multiply-adds written out as column expressions per row.
 EXPRESSION_TERMS = 2_000
 

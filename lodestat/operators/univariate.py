@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from lodestat.columns import as_list, filled, number, numeric_features, pick, ref, require_columns
 from lodestat.errors import EmptyDataset
 from lodestat.functions.scalars import adjusted_kurtosis, adjusted_skewness, ratio
-from lodestat.plans.joins import join_measured, join_on, packed_by_column
+from lodestat.plans.checkpoints import stored
+from lodestat.plans.joins import broadcast_if, join_on, packed_by_column
 from lodestat.plans.ordering import ranked_values
 
 # Up to this many rows the exact `percentile` aggregate may hold all distinct
@@ -49,15 +50,26 @@ STATISTICS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def long_view(df: DataFrame, columns: Sequence[str], by: Sequence[str], view: Callable[[str], Column]) -> DataFrame:
+    """Unpivot to (by, column, value), so all columns share one plan."""
+    cells = [F.struct(F.lit(c).alias("column"), view(c).alias("value")) for c in columns]
+    return df.select(*[ref(b) for b in by], F.explode(F.array(*cells)).alias("__s")).select(*[ref(b) for b in by], "__s.*")
+
+
 def column_rows(df: DataFrame, columns: Sequence[str], stats: dict[str, Callable[[Column], Column]], by: Sequence[str] = ()) -> DataFrame:
-    """Run one aggregate over all columns and lay it out as one row per column."""
-    structs = [
-        F.struct(F.lit(c).alias("column"), *[make(number(c)).alias(name) for name, make in stats.items()]).alias(f"__c{i}")
-        for i, c in enumerate(columns)
-    ]
-    wide = df.groupBy(*[ref(b) for b in by]).agg(*structs)
-    rows = wide.select(*[ref(b) for b in by], F.explode(F.array(*[F.col(f"__c{i}") for i in range(len(columns))])).alias("__s"))
-    return rows.select(*[ref(b) for b in by], F.col("__s.column"), *[F.col(f"__s.{n}") for n in stats])
+    """The statistics of all columns, one row per column and group.
+
+    The columns are unpivoted and aggregated by name with map-side combine.
+    Hundreds of aggregates side by side in one row would outgrow what the JVM
+    compiles; this keeps the generated code the size of one column.
+    """
+    keys = [*[ref(b) for b in by], F.col("column")]
+    out = long_view(df, columns, by, number).groupBy(*keys).agg(*[make(F.col("value")).alias(n) for n, make in stats.items()])
+    if by:
+        return out
+    # A table without rows still has one line per column.
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return listed.join(F.broadcast(out), "column", "left").select("column", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in stats])
 
 
 def column_stats(df: DataFrame, stats: Sequence[str], columns=None, by=None, target: str | None = None) -> DataFrame:
@@ -143,12 +155,6 @@ def unique_count(df: DataFrame, columns=None, by=None, rsd: float | None = None)
     return wide.select(*[ref(b) for b in by], F.explode(structs).alias("__s")).select(*[ref(b) for b in by], "__s.*")
 
 
-def long_view(df: DataFrame, columns: Sequence[str], by: Sequence[str], view: Callable[[str], Column]) -> DataFrame:
-    """Unpivot to (by, column, value) so that all columns share one shuffle."""
-    cells = [F.struct(F.lit(c).alias("column"), view(c).alias("value")) for c in columns]
-    return df.select(*[ref(b) for b in by], F.explode(F.array(*cells)).alias("__s")).select(*[ref(b) for b in by], "__s.*")
-
-
 def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], view, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """The values at given 0-based ranks, by range sort of the distinct values.
 
@@ -172,6 +178,15 @@ def is_large(df: DataFrame) -> bool:
     return df.count() > PERCENTILE_ROWS
 
 
+def spread_small(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """The needed columns of a small table (checked by row count) over all cores.
+
+    A small file is often one scan task; its passes then run on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.select(*[ref(c) for c in dict.fromkeys([*by, *names])]).repartition(cores)
+
+
 def interpolated(df: DataFrame, names: Sequence[str], by: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles ``__q0, __q1, ...`` from order statistics."""
     ranks: dict[str, Callable[[Column], Column]] = {}
@@ -202,13 +217,20 @@ def quantiles(df: DataFrame, columns=None, by=None, approx: bool = False, large:
     by = as_list(by)
     require_columns(df, by)
     names = pick(df, columns, by)
-    if not approx and (is_large(df) if large is None else large):
+    large = large if large is not None else approx or is_large(df)
+    if large and not approx:
         out = interpolated(df, names, by, QUARTILES)
     else:
-        fn = (lambda c, p: F.percentile_approx(c, p, 10_000)) if approx else F.percentile
-        stats = {"min": STATISTICS["min"], "max": STATISTICS["max"]}
-        stats.update({f"__q{i}": (lambda c, p=p: fn(c, p)) for i, p in enumerate(QUARTILES)})
-        out = column_rows(df, names, stats, by)
+        df = df if large else spread_small(df, names, by)
+        points = F.array(*[F.lit(p) for p in QUARTILES])
+        fn = (lambda c: F.percentile_approx(c, points, 10_000)) if approx else (lambda c: F.percentile(c, points))
+        stats = {"min": STATISTICS["min"], "max": STATISTICS["max"], "__q": fn}
+        keys = [*[ref(b) for b in by], F.col("column")]
+        out = long_view(df, names, by, number).groupBy(*keys).agg(*[make(F.col("value")).alias(n) for n, make in stats.items()])
+        out = out.select("*", *[F.get("__q", F.lit(i)).alias(f"__q{i}") for i in range(len(QUARTILES))])
+        if not by:
+            listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+            out = listed.join(F.broadcast(out), "column", "left").withColumns({c: zero(F.col(c)) for c in ("min", "max")})
     quartile = [F.coalesce(F.col(f"__q{i}"), F.col("min")).alias(n) for i, n in enumerate(("q25", "median", "q75"))]
     return out.select(*[ref(b) for b in by], "column", "min", *quartile, "max")
 
@@ -230,23 +252,18 @@ def histogram_layout(df: DataFrame, names: Sequence[str], by: Sequence[str], lar
     Quartiles are the plain order statistics at n//4 and 3n//4.
     """
     by_cols = [ref(b) for b in by]
+    cells = long_view(df, names, by, filled)
+    sizes = [F.count(F.lit(1)).alias("n"), *finite_min_max(F.col("value"))]
     if large:
         first = {"__q1": lambda n: F.floor(n / 4), "__q3": lambda n: F.floor(n * 3 / 4)}
         quart = order_statistics(df, names, by, filled, first)
-        structs = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), *finite_min_max(filled(c))) for c in names]
-        wide = df.groupBy(*by_cols).agg(F.array(*structs).alias("__a"))
-        base = wide.select(*by_cols, F.explode("__a").alias("__s")).select(*by_cols, "__s.*")
-        base = join_on(base, quart, [*by, "column"])
+        base = join_on(cells.groupBy(*by_cols, "column").agg(*sizes), quart, [*by, "column"])
     else:
         # percentile_disc takes the first value whose cumulative share reaches
         # p; the tiny excess makes that share strictly larger than n//4 of n.
-        disc = lambda c, p: F.expr(f"percentile_disc({p} + 1e-12) WITHIN GROUP (ORDER BY coalesce(cast(`{c.replace('`', '``')}` AS double), 0.0D))")
-        structs = [
-            F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), *finite_min_max(filled(c)), disc(c, "0.25D").alias("__q1"), disc(c, "0.75D").alias("__q3"))
-            for c in names
-        ]
-        wide = df.groupBy(*by_cols).agg(F.array(*structs).alias("__a"))
-        base = wide.select(*by_cols, F.explode("__a").alias("__s")).select(*by_cols, "__s.*")
+        disc = F.expr("percentile_disc(array(0.25D + 1e-12D, 0.75D + 1e-12D)) WITHIN GROUP (ORDER BY value)")
+        base = cells.groupBy(*by_cols, "column").agg(*sizes, disc.alias("__q"))
+        base = base.withColumn("__q1", F.col("__q")[0]).withColumn("__q3", F.col("__q")[1])
     eps = F.lit(2.220446049250313e-16)
     n = F.col("n").cast("double")
     iqr, span = F.col("__q3") - F.col("__q1"), F.col("hi") - F.col("lo")
@@ -271,37 +288,33 @@ def entropy(df: DataFrame, columns=None, by=None, large: bool | None = None) ->
     names = pick(df, columns, by)
     if not by and df.isEmpty():
         raise EmptyDataset("entropy of a table without rows")
-    layout = histogram_layout(df, names, by, is_large(df) if large is None else large)
+    large = is_large(df) if large is None else large
+    df = df if large else spread_small(df, names, by)
+    layout = histogram_layout(df, names, by, large)
     by_cols = [ref(b) for b in by]
+    fields = ("n", "lo", "width", "bins", "constant")
     if by:
-        packed = packed_by_column(layout, by, ("n", "lo", "width", "bins", "constant"), "__lay")
-        source = join_measured(df.select(*by_cols, *[ref(c) for c in names if c not in by]), packed, by)
-        place = lambda c: F.col("__lay")[F.lit(c)]
+        packed = stored(packed_by_column(layout, by, fields, "__lay"))
+        attach = lambda t: join_on(t, broadcast_if(packed, packed.count()), by)
+        source, place = attach(df.select(*by_cols, *[ref(c) for c in names if c not in by])), (lambda c: F.col("__lay")[c])
     else:
         fixed = {r["column"]: r for r in layout.collect()}
-        source = df
-        place = lambda c: F.struct(
-            F.lit(fixed[c]["n"]).alias("n"),
-            F.lit(fixed[c]["lo"]).alias("lo"),
-            F.lit(fixed[c]["width"]).alias("width"),
-            F.lit(fixed[c]["bins"]).alias("bins"),
-            F.lit(fixed[c]["constant"]).alias("constant"),
-        )
+        pack = lambda r: F.struct(*[F.lit(r[f]).alias(f) for f in fields])
+        packed = F.create_map(*[e for c in names for e in (F.lit(c), pack(fixed[c]))])
+        attach = lambda t: t.withColumn("__lay", packed)
+        source, place = df, (lambda c: pack(fixed[c]))
     cells = []
     for c in names:
         lay = place(c)
         raw = F.floor(F.try_divide(filled(c) - lay["lo"], lay["width"])).cast("double")
         spot = F.when(lay["constant"] | F.isnan(filled(c)), F.lit(0.0)).otherwise(F.least(F.greatest(raw, F.lit(0.0)), lay["bins"] - 1))
-        cells.append(F.struct(F.lit(c).alias("column"), lay["n"].alias("n"), lay["width"].alias("width"), lay["bins"].alias("bins"), spot.alias("bin")))
+        cells.append(F.struct(F.lit(c).alias("column"), spot.alias("bin")))
     binned = source.select(*by_cols, F.explode(F.array(*cells)).alias("__s")).select(*by_cols, "__s.*")
-    counts = binned.groupBy(*by_cols, "column", "bin").agg(
-        F.count(F.lit(1)).alias("__c"), F.first("n").alias("n"), F.first("width").alias("width"), F.first("bins").alias("bins")
-    )
-    share = F.col("__c") / F.col("n")
-    term = F.when(F.col("width") > 0, -share * F.ln(share / F.col("width"))).otherwise(F.lit(0.0))
-    return counts.groupBy(*by_cols, "column").agg(
-        F.max("bins").cast("long").alias("bins"), F.sum(term).alias("entropy")
-    )
+    counts = attach(binned.groupBy(*by_cols, "column", "bin").agg(F.count(F.lit(1)).alias("__c")))
+    lay = F.col("__lay")[F.col("column")]
+    share = F.col("__c") / lay["n"]
+    term = F.when(lay["width"] > 0, -share * F.ln(share / lay["width"])).otherwise(F.lit(0.0))
+    return counts.groupBy(*by_cols, "column").agg(F.max(lay["bins"]).cast("long").alias("bins"), F.sum(term).alias("entropy"))
 
 
 PROFILE_STATISTICS = ("count", "missing_count", "missing_rate", "mean", "variance", "std_dev", "skewness", "kurtosis", "sparsity")
@@ -315,15 +328,9 @@ def profile(df: DataFrame, columns=None, by=None, target: str | None = None, lar
     if large is None:
         large = is_large(df)
     keys = [*by, "column"]
-    stats = {s: STATISTICS[s] for s in PROFILE_STATISTICS}
-    if large:
-        out = join_on(column_rows(df, names, stats, by), quantiles(df, names, by, large=True), keys)
-    else:
-        stats.update({"min": STATISTICS["min"], "max": STATISTICS["max"]})
-        stats.update({f"__q{i}": (lambda c, p=p: F.percentile(c, p)) for i, p in enumerate(QUARTILES)})
-        out = column_rows(df, names, stats, by)
-        for i, n in enumerate(("q25", "median", "q75")):
-            out = out.withColumn(n, F.coalesce(F.col(f"__q{i}"), F.col("min")))
+    moments = df if large else spread_small(df, names, by)
+    out = column_rows(moments, names, {s: STATISTICS[s] for s in PROFILE_STATISTICS}, by)
+    out = join_on(out, quantiles(df, names, by, large=large), keys)
     out = join_on(out, entropy(df, names, by, large=large), keys)
     order = ["count", "missing_count", "missing_rate", "mean", "variance", "std_dev", "min", "q25", "median", "q75", "max", "skewness", "kurtosis", "sparsity", "entropy"]
     return out.select(*[ref(b) for b in by], "column", *order)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def significant(c: Column) -> Column:
-    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.nullif(c, F.lit(0.0))))))
-    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c / power, 8) * power)
+    places = F.lit(8) - F.floor(F.log10(F.abs(F.nullif(c, F.lit(0.0)))))
+    fine, coarse = F.pow(F.lit(10.0), places), F.pow(F.lit(10.0), -places)
+    return F.when(c == 0, F.lit(0.0)).when(places >= 0, F.round(c * fine) / fine).otherwise(F.round(c / coarse) * coarse)
 
 
 def rounded(df: DataFrame, sig=(), **decimals: int) -> DataFrame:
@@ -30,8 +31,12 @@ def rounded(df: DataFrame, sig=(), **decimals: int) -> DataFrame:
 
 def sig_sql(x: str) -> str:
     """SQL text of :func:`significant`."""
-    power = f"power(10.0::double, floor(log10(abs(nullif(({x})::double, 0)))))"
-    return f"(case when ({x}) = 0 then 0.0::double else round(({x}) / {power}, 8) * {power} end)"
+    places = f"(8 - floor(log10(abs(nullif(({x})::double, 0)))))"
+    fine, coarse = f"power(10.0::double, {places})", f"power(10.0::double, -{places})"
+    return (
+        f"(case when ({x}) = 0 then 0.0::double when {places} >= 0 then round(({x}) * {fine}) / {fine}"
+        f" else round(({x}) / {coarse}) * {coarse} end)"
+    )
 
 
 def dec_sql(x: str, digits: int) -> str:

@@ -140,11 +140,11 @@ def unique_count_by_flag(spark, d):
 
 
 def covariance_lineitem(spark, d):
-    return rounded(ls.covariance_matrix(table(spark, d, "lineitem")), value=6)
+    return rounded(ls.covariance_matrix(table(spark, d, "lineitem")), ["value"])
 
 
 def covariance_with_nulls(spark, d):
-    return rounded(ls.covariance_matrix(gappy(spark, d), by="l_returnflag"), value=5)
+    return rounded(ls.covariance_matrix(gappy(spark, d), by="l_returnflag"), ["value"])
 
 
 def covariance_wide_embeddings(spark, d):

@@ -128,9 +128,6 @@ SERIES = (
     "s as (select event_type g, value x, row_number() over (partition by event_type order by ts, event_id) - 1 t,"
     " count(*) over (partition by event_type) n from events)"
 )
-DETRENDED = (
-    "d as (select g, t, n, x - (regr_intercept(x, t) over (partition by g) + regr_slope(x, t) over (partition by g) * t) x from s)"
-)
 DETRENDED = (
     "f as (select g, regr_slope(x, t) b, regr_intercept(x, t) a from s group by g),"
     " d as (select s.g, t, n, x - (a + b * t) x from s join f on s.g = f.g)"
@@ -185,21 +182,19 @@ def bds_sql() -> str:
 
 def fnn_sql(dims: int) -> str:
     """fnn(g, dim, tau, nc, share) for plan(g, n, tau)."""
+    values = ", ".join(f"lead(s.x, {k} * tau::int) over (partition by s.g order by s.t) x{k}" for k in range(dims + 1))
+    ctes = [f"e as (select s.g, s.t i, plan.n n, tau, {values} from s join plan on plan.g = s.g)"]
     parts = []
     for dim in range(1, dims + 1):
-        dist = " + ".join(f"power(q{k}.x - r{k}.x, 2)" for k in range(dim))
-        joins = " ".join(f"join s q{k} on q{k}.g = q.g and q{k}.t = q.i + {k} * q.tau join s r{k} on r{k}.g = q.g and r{k}.t = r.i + {k} * q.tau" for k in range(dim))
+        dist = " + ".join(f"power(a.x{k} - b.x{k}, 2)" for k in range(dim))
+        ctes.append(f"e{dim} as (select *, n - {dim} * tau nc from e where i < n - {dim} * tau)")
         parts.append(
-            f"""select g, {dim} dim, max(tau) tau, max(nc) nc, avg(case when abs(xe.x - re.x) / d > 15.0 then 1.0 else 0.0 end) share from (
-              select q.g, q.i, q.tau, q.nc, min_by(r.i, (sqrt({dist}), r.i)) j, min(sqrt({dist})) d
-              from (select plan.g, tau, n - {dim} * tau nc, s.t i from plan join s on s.g = plan.g
-                    where s.t < plan.n - {dim} * tau and s.t % greatest((plan.n - {dim} * tau) // least(plan.n - {dim} * tau, 200), 1) = 0) q
-              join (select g, t i from s) r on r.g = q.g and r.i < q.nc and r.i <> q.i {joins}
-              where {dist} > 0 group by q.g, q.i, q.tau, q.nc) b
-            join (select g gg, t, x from s) xe on xe.gg = b.g and xe.t = b.i + {dim} * b.tau
-            join (select g gg, t, x from s) re on re.gg = b.g and re.t = b.j + {dim} * b.tau group by g"""
+            f"""select g, {dim} dim, max(tau) tau, max(nc) nc, avg(case when abs(own - other) / d > 15.0 then 1.0 else 0.0 end) share from (
+              select a.g, a.i, max(a.tau) tau, max(a.nc) nc, max(a.x{dim}) own, min_by(b.x{dim}, (sqrt({dist}), b.i)) other, min(sqrt({dist})) d
+              from e{dim} a join e{dim} b on a.g = b.g and a.i <> b.i
+              where a.i % greatest(a.nc // least(a.nc, 200), 1) = 0 and {dist} > 0 group by a.g, a.i) group by g"""
         )
-    return "fnn as (" + union(parts) + ")"
+    return ", ".join(ctes) + ", fnn as (" + union(parts) + ")"
 
 
 def lyapunov_sql() -> str:
@@ -312,8 +307,8 @@ def all_sql() -> dict[str, str]:
         [f"select l_returnflag, '{c}' as \"column\", count(distinct {c}) as unique_count from lineitem group by 1" for c in ("l_partkey", "l_linestatus", "l_discount")]
     )
     covar = "coalesce(covar_samp({a}::double, {b}::double), 0)"
-    q["covariance_lineitem"] = matrix_sql("lineitem", LINEITEM, dec(covar, 6))
-    q["covariance_with_nulls"] = matrix_sql(GAPPY, GAPPY_COLUMNS, dec(covar, 5), "l_returnflag")
+    q["covariance_lineitem"] = matrix_sql("lineitem", LINEITEM, sig(covar))
+    q["covariance_with_nulls"] = matrix_sql(GAPPY, GAPPY_COLUMNS, sig(covar), "l_returnflag")
     q["covariance_wide_embeddings"] = (
         f"select i::int as i, j::int as j, {dec('covar_samp(embedding[i + 1]::double, embedding[j + 1]::double)', 9)} as value from embeddings, range(64) a(i), range(64) b(j) group by i, j"
     )
