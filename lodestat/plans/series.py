@@ -24,27 +24,23 @@ from lodestat.plans.ordering import with_position
 
 CHUNK = 8_192
 
-# Key column of a table that is one single series.
-SINGLE = "__series"
-
 
 @dataclass(frozen=True)
 class Series:
-    """Indexed series: ``df`` has the keys, ``t`` (from 0), ``n`` and ``x``."""
+    """Indexed series: ``df`` has the keys, ``t`` (from 0), ``n`` and ``x``.
+
+    ``keys`` are internal columns; ``names`` are the user's, for results.
+    """
 
     df: DataFrame
     keys: list[str]
+    names: list[str]
     count: int
     shortest: int
     longest: int
     rows: int
     squares: float
 
-    @property
-    def shown(self) -> list[str]:
-        """Keys the user gave."""
-        return [k for k in self.keys if k != SINGLE]
-
     def key_cols(self) -> list[Column]:
         return [ref(k) for k in self.keys]
 
@@ -55,7 +51,7 @@ class Series:
 
     def at_least(self, length: int) -> "Series":
         """Only the series with at least ``length`` rows (an explicit choice)."""
-        return measured(self.df.where(F.col("n") >= length), self.keys)
+        return measured(self.df.where(F.col("n") >= length), self.keys, self.names)
 
     def attach(self, df: DataFrame, table: DataFrame) -> DataFrame:
         """Join a table holding one row per series; broadcast within the bound."""
@@ -76,14 +72,14 @@ class Series:
 
     def present(self, df: DataFrame, *columns: str | Column) -> DataFrame:
         """Result columns behind the user's keys."""
-        return df.select(*[ref(k) for k in self.shown], *columns)
+        return df.select(*[ref(k).alias(name) for k, name in zip(self.keys, self.names)], *columns)
 
 
-def measured(df: DataFrame, keys: list[str]) -> Series:
+def measured(df: DataFrame, keys: list[str], names: list[str]) -> Series:
     """Wrap indexed rows with the number and the lengths of the series."""
     length = F.col("n").cast("double")
     sizes = df.where(F.col("t") == 0).agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum("n"), F.sum(length * length)).first()
-    return Series(df, keys, *[v or 0 for v in sizes])
+    return Series(df, keys, names, *[v or 0 for v in sizes])
 
 
 def index_series(df: DataFrame, column: str, order_by: str | Sequence[str], keys: str | Sequence[str] | None = None) -> Series:
@@ -93,14 +89,13 @@ def index_series(df: DataFrame, column: str, order_by: str | Sequence[str], keys
     result share one sort of the input.
     """
     pick(df, column)
-    keys, order = as_list(keys), as_list(order_by)
-    require_columns(df, [*keys, *order])
-    rows = df.select(*[ref(k) for k in keys], *[ref(o).alias(f"__o{i}") for i, o in enumerate(order)], filled(column).alias("x"))
-    if not keys:
-        rows, keys = rows.withColumn(SINGLE, F.lit(0)), [SINGLE]
+    names, order = as_list(keys), as_list(order_by)
+    require_columns(df, [*names, *order])
+    keys = [f"__key{i}" for i in range(max(len(names), 1))]
+    key_cols = [ref(name).alias(k) for name, k in zip(names, keys)] or [F.lit(0).alias(keys[0])]
+    rows = df.select(*key_cols, *[ref(o).alias(f"__o{i}") for i, o in enumerate(order)], filled(column).alias("x"))
     placed = with_position(rows, keys, [f"__o{i}" for i in range(len(order))])
-    cols = [ref(k) for k in keys]
-    return measured(stored(placed.select(*cols, F.col("__pos").alias("t"), F.col("__size").alias("n"), "x")), keys)
+    return measured(stored(placed.select(*keys, F.col("__pos").alias("t"), F.col("__size").alias("n"), "x")), keys, names)
 
 
 def with_lags(series: Series, lags: Sequence[int], df: DataFrame | None = None, column: str = "x", prefix: str = "lag") -> DataFrame:

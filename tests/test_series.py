@@ -19,7 +19,7 @@ def test_index_is_dense_per_key(spark):
     rows = [(i, "hot" if i % 3 else f"k{i % 2}", (i * 7919) % 1000, float(i)) for i in range(1000)]
     df = spark.createDataFrame(rows, "id int, k string, o int, v double").repartition(7)
     s = ls.index_series(df, "v", ["o", "id"], "k")
-    got = {(r["k"], r["t"]): (r["x"], r["n"]) for r in s.df.collect()}
+    got = {(r["__key0"], r["t"]): (r["x"], r["n"]) for r in s.df.collect()}
     for k in ("hot", "k0", "k1"):
         own = sorted((r[2], r[0], r[3]) for r in rows if r[1] == k)
         assert [got[k, t][0] for t in range(len(own))] == [o[2] for o in own]
@@ -77,7 +77,7 @@ def test_integrals_with_hot_values(spark, method, dim):
     data = {"a": rng.integers(0, 9, 150).astype(float), "b": np.where(rng.random(90) < 0.4, 0.0, rng.integers(0, 30, 90))}
     rows = [(k, i, float(v)) for k, xs in data.items() for i, v in enumerate(xs)]
     s = ls.index_series(spark.createDataFrame(rows, "k string, t int, v double"), "v", "t", "k")
-    got = {r["k"]: r for r in neighbour_integrals(s, dim, 2.0, method).collect()}
+    got = {r["__key0"]: r for r in neighbour_integrals(s, dim, 2.0, method).collect()}
     for k, x in data.items():
         near = np.abs(x[:, None] - x[None, :]) < 2.0
         n = len(x) - dim + 1

@@ -27,7 +27,7 @@ def test_missing_and_duplicates(gaps):
     few = gaps.select("c", "grp")
     row = ls.duplicate_rows(few).first()
     assert row["rows"] == 400 and row["distinct_rows"] == few.distinct().count()
-    twins = gaps.withColumn("a2", F.col("a")).withColumn("a3", F.when(F.col("id") < 399, F.col("a")))
+    twins = gaps.withColumn("a2", F.col("a")).withColumn("a3", F.when(F.col("id") < 398, F.col("a")))
     assert [tuple(r) for r in ls.duplicate_columns(twins).collect()] == [("a", "a2")]
 
 
