@@ -106,10 +106,11 @@ NEIGHBOUR_CASES = {
 }
 
 
+@pytest.mark.parametrize("method", ["tiles", "grid"])
 @pytest.mark.parametrize("case", NEIGHBOUR_CASES)
-def test_nearest_neighbours(series, case):
+def test_nearest_neighbours(series, case, method):
     x, dim, tau = NEIGHBOUR_CASES[case]
-    got = {r["i"]: r["j"] for r in nearest_neighbours(series(x), dim, tau).collect()}
+    got = {r["i"]: r["j"] for r in nearest_neighbours(series(x), dim, tau, method).collect()}
     assert got == brute_neighbours(np.array(x), dim, tau)
 
 
