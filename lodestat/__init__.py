@@ -53,7 +53,7 @@ from lodestat.operators.quality import (
     repeated_rows,
 )
 from lodestat.operators.supervised import design_matrix_and_target, feature_names
-from lodestat.operators.surrogate import surrogate_test
+from lodestat.operators.surrogate import ar1_fit, surrogate_test
 from lodestat.operators.univariate import (
     column_count,
     column_stats,

@@ -13,9 +13,9 @@ from lodestat.columns import ref
 from lodestat.errors import InsufficientData
 from lodestat.operators.dependence import delay_information
 from lodestat.plans.checkpoints import stored
-from lodestat.plans.joins import broadcast_if, join_on
+from lodestat.plans.joins import join_on
 from lodestat.plans.series import Series
-from lodestat.plans.tiles import TILE, chunk_arrays
+from lodestat.plans.tiles import BROADCAST_VALUES, TILE, chunk_arrays
 
 # Fixed values of the false-neighbour method.
 GAP_RATIO = 15.0
@@ -70,7 +70,10 @@ def false_neighbour_shares(series: Series, plan: DataFrame, max_dim: int) -> Dat
     widest = plan.agg(F.max("tau")).first()[0] or 1
     chunks = chunk_arrays(series, max_dim * widest)
     group = [*series.keys, "dim", "tau", "n_check"]
-    met = join_on(chunks.select(*keys, "chunk", "xs"), broadcast_if(queries, series.count * max_dim), series.keys)
+    # A row of queries holds up to 2 * QUERY_POINTS vectors: bound their values.
+    values = series.count * max_dim * 2 * QUERY_POINTS * (max_dim + 2)
+    small = F.broadcast(queries) if values <= BROADCAST_VALUES else queries
+    met = join_on(chunks.select(*keys, "chunk", "xs"), small, series.keys)
     met = met.repartition(max(series.tasks(), series.count * max_dim * (series.longest // TILE + 1) // 256 + 1), *keys, "chunk", "dim")
 
     @F.pandas_udf(FOUND)

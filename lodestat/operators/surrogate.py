@@ -42,6 +42,13 @@ def fitted_ar1(series: Series) -> tuple[DataFrame, DataFrame]:
     return model, residuals
 
 
+def ar1_fit(series: Series) -> DataFrame:
+    """Mean, AR(1) coefficient and time-reversal asymmetry of the detrended series."""
+    series.require(3)
+    model, _ = fitted_ar1(series)
+    return series.present(model, "mean", "phi", F.col("statistic_real").alias("asymmetry"))
+
+
 def recurrence(e: np.ndarray, phi: float) -> np.ndarray:
     """y_i = phi y_{i-1} + e_i from y_{-1} = 0, by doubling steps."""
     y, reach, power = np.array(e, dtype=float), 1, phi

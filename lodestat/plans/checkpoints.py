@@ -16,18 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Where that is unset, a local session gets a folder of its own and a
+    cluster uses a folder below its warehouse, which executors share.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestat-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not named and sc.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="lodestat-checkpoint-")
+    sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestat-checkpoints")
 
 
 def stored(df: DataFrame) -> DataFrame:

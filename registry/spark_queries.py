@@ -298,6 +298,18 @@ def delay_embedding_events(spark, d):
     return ls.delay_embedding(by_type(spark, d), 4)
 
 
+def ar1_fit_events(spark, d):
+    return rounded(ls.ar1_fit(by_type(spark, d)), mean=6, phi=8, asymmetry=3)
+
+
+def delay_information_by_user(spark, d):
+    return rounded(ls.delay_mutual_information(by_user(spark, d).at_least(40), 3), mutual_information=8)
+
+
+def lyapunov_grid_events(spark, d):
+    return rounded(ls.lyapunov_exponent(by_type(spark, d), 3, 1, method="grid"), lyapunov_exponent=9)
+
+
 def surrogate_events(spark, d):
     return ls.surrogate_test(by_type(spark, d), 20)
 

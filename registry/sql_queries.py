@@ -375,6 +375,14 @@ def all_sql() -> dict[str, str]:
     q["bds_events"] = bds_sql()
     q["bds_rank_boxes_events"] = bds_sql()
     q["lyapunov_events"] = lyapunov_sql()
+    q["lyapunov_grid_events"] = lyapunov_sql()
+    q["delay_information_by_user"] = (
+        f"with {users.replace('s as (', 's_all as (', 1)}, s as (select * from s_all where n >= 40), {mi_sql(3)} select g as user_id, lag::int as lag, {dec('mi', 8)} as mutual_information from mi"
+    )
+    q["ar1_fit_events"] = (
+        f"with {SERIES}, {DETRENDED}, m as (select g, avg(x) mu from d group by g), p as (select u.g, u.x y, w.x x, mu from d u join d w on w.g = u.g and w.t = u.t + 1 join m on m.g = u.g)"
+        f" select g as event_type, {dec('max(mu)', 6)} as mean, {dec('sum((x - mu) * (y - mu)) / sum((y - mu) * (y - mu))', 8)} as phi, {dec('avg(x * x * y - x * y * y)', 3)} as asymmetry from p group by g"
+    )
     q["false_neighbours_events"] = (
         f"with {SERIES}, plan as (select g, max(n) n, 2 tau from s group by g), {fnn_sql(3)} select g as event_type, dim, tau::bigint as tau, {dec('share', 9)} as false_share from fnn"
     )
