@@ -45,8 +45,11 @@ class Series:
         return [ref(k) for k in self.keys]
 
     def require(self, length: int) -> None:
-        """Raise unless every series has at least ``length`` rows."""
-        if self.count == 0 or self.shortest < length:
+        """Raise unless every series has at least ``length`` rows.
+
+        No series at all, as after :meth:`at_least`, gives an empty result.
+        """
+        if self.shortest < length and (self.count or not self.names):
             raise InsufficientData(length)
 
     def at_least(self, length: int) -> "Series":
