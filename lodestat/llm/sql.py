@@ -14,11 +14,11 @@ OP10 = (
     CRC32
     + """
 , d as (
-    select doc_id, coalesce('=' || source, '') as src, coalesce(text, '') as text from documents
+    select doc_id, coalesce('=' || source, '') as src, coalesce(text, '') as text, t from documents, crc
 ), rows_ as (
     select doc_id, src, substr(md5('17|' || coalesce(doc_id::varchar, '')), 1, 16) as turn, strlen(text) + 1 as size,
         coalesce(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(text) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i::bigint - 1, 2))::bigint)),
-            lambda a, b: xor(a >> 8, (select t from crc)[(xor(a, b) & 255) + 1])), 4294967295), 0) as text_crc32
+            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295), 0) as text_crc32
     from d
 ), ranked as (
     select *, (row_number() over (partition by src order by turn, doc_id, size, text_crc32)
