@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.llm.language import fit_language_model, identify_language
+from lodestat.llm.lm_scoring import stupid_backoff_scores
+from lodestat.llm.ngram_join import jaccard_groups
 from lodestat.llm.packing import pack_documents
 from lodestat.llm.sharding import shard_documents
 from lodestat.llm.sql import all_sql
@@ -31,6 +33,13 @@ def _held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram stupid-backoff score of every document by the counts of all others."""
+    scored = stupid_backoff_scores(table(spark, sf_dir, "documents"))
+    mean = F.col("log_score") / F.col("n_tokens")
+    return scored.select("doc_id", "n_tokens", "n_backoff", F.round("log_score", 4).alias("log_score"), F.when(F.col("n_tokens") > 0, F.round(mean, 6)).alias("mean_score"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows with crc32(doc_id) mod 3 = 1 are held out of the training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +48,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 0.8 of their five-word shingles."""
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with crc32(doc_id) mod 3 = 1 are held out of the training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -58,4 +72,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op6_language, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op4_ngram_join, op6_language, op9_packing, op10_sharding)}

@@ -34,5 +34,50 @@ from placed
 )
 
 
+OP1 = """
+with words as (
+    select rowid as doc, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w != '') as w, doc_id
+    from (select row_number() over () as rowid, * from documents)
+), tok as (
+    select doc, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words
+), bi as (
+    select doc, i, word, lag(word) over (partition by doc order by i) as prev from tok
+), uni_all as (select word, count(*) as c from tok group by 1), uni_own as (select doc, word, count(*) as c from tok group by 1, 2),
+bi_all as (select prev, word, count(*) as c from bi where prev is not null group by 1, 2),
+bi_own as (select doc, prev, word, count(*) as c from bi where prev is not null group by 1, 2, 3),
+size_own as (select doc, count(*) as c from tok group by 1), size_all as (select count(*) as c from tok),
+seen as (
+    select bi.doc, bi.prev, ba.c - bo.c as pair, pa.c - po.c as context, ua.c - uo.c as single, sa.c - so.c as total
+    from bi join uni_all ua on ua.word = bi.word join uni_own uo on uo.word = bi.word and uo.doc = bi.doc
+    join size_own so on so.doc = bi.doc cross join size_all sa
+    left join bi_all ba on ba.prev = bi.prev and ba.word = bi.word left join bi_own bo on bo.prev = bi.prev and bo.word = bi.word and bo.doc = bi.doc
+    left join uni_all pa on pa.word = bi.prev left join uni_own po on po.word = bi.prev and po.doc = bi.doc
+), scored as (
+    select doc, prev is not null and pair = 0 as off, case when prev is not null and pair > 0 then log10(pair / context)
+        else log10(case when single > 0 then single / greatest(total, 1) else 1 / greatest(total, 1) end) + case when prev is null then 0 else log10(0.4) end end as s
+    from seen
+), summed as (select doc, count(*) as n, sum(off::int) as off, sum(s) as s from scored group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_tokens, coalesce(off, 0)::bigint as n_backoff, round(coalesce(s, 0), 4) as log_score, round(s / n, 6) as mean_score
+from words left join summed using (doc)
+"""
+
+
+OP4 = """
+with recursive words as (
+    select row_number() over () as doc, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w != '') as w from documents
+), shingle as (
+    select distinct doc, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words
+), size as (select doc, count(*) as n from shingle group by 1),
+both_ as (select a.doc as a, b.doc as b, count(*) as n from shingle a join shingle b on a.s = b.s and a.doc < b.doc group by 1, 2),
+link as (select a, b from both_ join size x on x.doc = a join size y on y.doc = b where both_.n >= 0.8::double * (x.n + y.n - both_.n) - 1e-9),
+sym as (select a, b from link union all select b, a from link),
+reach as (select doc, doc as other from words union select r.doc, s.b from reach r join sym s on s.a = r.other),
+component as (select r.doc, min(w.doc_id) as component_id from reach r join words w on w.doc = r.other group by 1),
+links as (select a as doc, count(*) as n from sym group by 1)
+select doc_id, coalesce(links.n, 0)::bigint as n_links, component_id, doc_id is not distinct from component_id as kept
+from words join component using (doc) left join links using (doc)
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op10_sharding": OP10}
+    return {"op1_lm_scoring": OP1, "op4_ngram_join": OP4, "op10_sharding": OP10}
