@@ -51,7 +51,7 @@ def least_index(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(match: Matcher, weighted: bool):
+def _compare(match: Matcher, gather: str):
     def run(table: pa.Table) -> pa.Table:
         known = pd.DataFrame({"grp": table["grp"].to_pylist(), "key": table["key"].to_pylist()})
         table = table.filter(pa.array(~known.duplicated().to_numpy()))
@@ -70,7 +70,16 @@ def _compare(match: Matcher, weighted: bool):
         root = least_index(n, a, b)
         moved = np.flatnonzero(root != np.arange(n))
         rows = [(keys[i], keys[root[i]], 0) for i in moved]
-        if weighted:
+        if gather == "earliest" and n:
+            places = np.array(table["place"].to_pylist(), object)
+            rank = np.empty(n, np.int64)
+            rank[np.argsort(places, kind="stable")] = np.arange(n)
+            first = rank.copy()
+            np.minimum.at(first, a, rank[b])
+            np.minimum.at(first, b, rank[a])
+            by_rank = np.sort(places, kind="stable")
+            rows = [(keys[i], by_rank[first[i]], 0) for i in np.flatnonzero(first < rank)]
+        if gather == "links":
             weight = table["n"].to_numpy()
             links = np.bincount(a, weights=weight[b], minlength=n) + np.bincount(b, weights=weight[a], minlength=n)
             rows += [(keys[i], None, int(links[i])) for i in np.flatnonzero(links)]
@@ -80,11 +89,13 @@ def _compare(match: Matcher, weighted: bool):
     return run
 
 
-def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, weighted: bool = True) -> DataFrame:
-    """Compare the items of each group; rows has grp, key (binary), n (copies of the item) and what `match` reads.
+def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, gather: str = "links") -> DataFrame:
+    """Compare the items of each group; rows has grp, key (binary) and what `match` reads.
 
-    Returns written rows of two kinds: (a, null, links) adds to the links of item a, and (a, b, 0) says that a and b are
-    in one component. Their number is linear in the items however many pairs match. `rows` should be a written table.
+    Returns written rows, linear in the items however many pairs match: (a, b, 0) says that a and b are in one
+    component. Gathering 'links', which needs n (copies of the item), adds rows (a, null, links) whose sum is the links
+    of item a. Gathering 'earliest', which needs place (binary), returns (a, place, 0) alone: the least place of an item
+    that matches a, where it is less than a's own. `rows` should be a written table.
 
     Groups of up to BLOCK items are compared many at a time; larger ones are cut into blocks by a hash of the key and
     each pair of blocks is a task's work, so no group meets in one task.
@@ -98,7 +109,7 @@ def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, weighte
     placed = placed.withColumn("other", other).withColumns({"low": F.least("blk", "other"), "high": F.greatest("blk", "other")})
     deal = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp"))
     placed = placed.withColumn("deal", deal).drop("size", "other", "blocks")
-    out = placed.groupBy("deal", "low", "high").applyInArrow(_compare(match, weighted), "a binary, b binary, links long")
+    out = placed.groupBy("deal", "low", "high").applyInArrow(_compare(match, gather), "a binary, b binary, links long")
     out = scratch.store(out)
     scratch.drop(sizes)
     return out

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestat.llm.decontamination import contaminated
 from lodestat.llm.language import fit_language_model, identify_language
+from lodestat.llm.line_dedup import without_repeated_lines
 from lodestat.llm.lm_scoring import stupid_backoff_scores
 from lodestat.llm.ngram_join import jaccard_groups
 from lodestat.llm.packing import pack_documents
@@ -61,6 +63,17 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that resemble an earlier one: lines removed and checksum of what is left."""
+    kept = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or an edited copy of one, with the alignment score."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
@@ -72,4 +85,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op4_ngram_join, op6_language, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op4_ngram_join, op6_language, op7_line_dedup, op8_decontamination, op9_packing, op10_sharding)}

@@ -79,5 +79,29 @@ from words join component using (doc) left join links using (doc)
 """
 
 
+OP7 = """
+with raw as (
+    select doc_id, i - 1 as line, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10))[i] as s
+    from documents, lateral (select unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i)
+), word as (
+    select distinct doc_id, line, unnest(list_filter(string_split_regex(lower(s), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w != '')) as w from raw
+), class as (
+    select doc_id, line, string_agg(w, ' ' order by w) as c, count(*) as n from word group by 1, 2
+), first as (
+    select c, any_value(n) as n, min((doc_id, line)) as place from class group by 1
+), numbered as (select *, row_number() over () as id from first),
+cw as (select id, n, unnest(string_split(c, ' ')) as w from numbered),
+pair as (
+    select x.id as a, y.id as b, count(*) as both_n, any_value(x.n) as m, any_value(y.n) as n from cw x join cw y on x.w = y.w and x.id < y.id
+        and least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9 group by 1, 2
+), sim as (select a, b from pair where both_n >= 0.8::double * (m + n - both_n) - 1e-9),
+sym as (select a, b from sim union all select b, a from sim),
+earliest as (select x.c, least(x.place, coalesce(min(y.place), x.place)) as place from numbered x left join sym on sym.a = x.id left join numbered y on y.id = sym.b group by x.c, x.place),
+gone as (select class.doc_id, class.line from class join earliest using (c) where (class.doc_id, class.line) > earliest.place)
+select raw.doc_id, count(gone.line)::int as n_removed, md5(coalesce(string_agg(s, chr(10) order by raw.line) filter (gone.line is null), '')) as kept_md5
+from raw left join gone using (doc_id, line) group by 1
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1, "op4_ngram_join": OP4, "op10_sharding": OP10}
+    return {"op1_lm_scoring": OP1, "op4_ngram_join": OP4, "op7_line_dedup": OP7, "op10_sharding": OP10}
