@@ -151,7 +151,7 @@ def _fits(similarity: float, key, bits, shape, a: np.ndarray, b: np.ndarray) ->
     p, q = shape[a] >> 32, shape[b] >> 32
     need = similarity / (1 + similarity) * (m + n) - 1e-6
     most = np.minimum(p, q) + np.minimum(m - p, n - q)
-    apart = np.bitwise_count(bits[a] ^ bits[b])
+    apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))
     return (key[a] != key[b]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6) & (most >= need) & ((m + n - apart) / 2 >= need)
 
 

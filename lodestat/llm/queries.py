@@ -31,7 +31,7 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _held_out() -> F.Column:
+def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
@@ -45,9 +45,9 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows with crc32(doc_id) mod 3 = 1 are held out of the training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_toxicity_model(docs.where(~_held_out()), table(spark, sf_dir, "labels").where(~_held_out()))
+    model = fit_toxicity_model(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
     scored = score_toxicity(docs, model)
-    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with crc32(doc_id) mod 3 = 1 are held out of the training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit_language_model(docs.where(~_held_out()))
+    model = fit_language_model(docs.where(~held_out()))
     found = identify_language(docs, model)
-    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +84,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op4_ngram_join, op6_language, op7_line_dedup, op8_decontamination, op9_packing, op10_sharding)}
+    operators = (op1_lm_scoring, op3_toxicity, op4_ngram_join, op6_language, op7_line_dedup, op8_decontamination, op9_packing, op10_sharding)
+    return {f.__name__: f for f in (*operators, pipeline)}
