@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestat.llm.decontamination import without_contaminated
 from lodestat.llm.language import fit_language_model, keep_identified
@@ -13,16 +14,16 @@ from lodestat.llm.queries import held_out, table, word_tokenizer
 from lodestat.llm.scratch import Scratch
 
 
-
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language; those without a letter, or far from every language, go."""
     return keep_identified(docs, fit_language_model(docs.where(~held_out())))
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line resembles; those with no line left go. n_chars is as it was."""
-    kept = without_repeated_lines(docs)
-    return kept.where("n_removed = 0 or trim(text) != ''").select(*docs.columns)
+    """Documents without the lines that an earlier line resembles; those with no line left go."""
+    kept = without_repeated_lines(docs).where("n_removed = 0 or trim(text) != ''")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.scratch import Scratch
@@ -89,18 +89,20 @@ def _compare(match: Matcher, gather: str):
     return run
 
 
-def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, gather: str = "links") -> DataFrame:
+def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, gather: str = "links", useful: Column | None = None) -> DataFrame:
     """Compare the items of each group; rows has grp, key (binary) and what `match` reads.
 
     Returns written rows, linear in the items however many pairs match: (a, b, 0) says that a and b are in one
     component. Gathering 'links', which needs n (copies of the item), adds rows (a, null, links) whose sum is the links
     of item a. Gathering 'earliest', which needs place (binary), returns (a, place, 0) alone: the least place of an item
-    that matches a, where it is less than a's own. `rows` should be a written table.
+    that matches a, where it is less than a's own. `rows` should be a written table. Groups for which the aggregate
+    `useful` is false are left out.
 
     Groups of up to BLOCK items are compared many at a time; larger ones are cut into blocks by a hash of the key and
     each pair of blocks is a task's work, so no group meets in one task.
     """
-    sizes = scratch.store(rows.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1"))
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("size"), (F.lit(True) if useful is None else useful).alias("useful"))
+    sizes = scratch.store(sizes.where("size > 1 and useful").drop("useful"))
     items = sizes.agg(F.sum("size").alias("n")).first()["n"] or 0
     bins = max(1, -(-items // (4 * BLOCK)))
     placed = rows.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.llm.decontamination import contaminated
+from lodestat.llm.embedding_dedup import near_vectors
 from lodestat.llm.language import fit_language_model, identify_language
 from lodestat.llm.line_dedup import without_repeated_lines
 from lodestat.llm.lm_scoring import stupid_backoff_scores
@@ -15,6 +16,7 @@ from lodestat.llm.ngram_join import jaccard_groups
 from lodestat.llm.packing import pack_documents
 from lodestat.llm.sharding import shard_documents
 from lodestat.llm.sql import all_sql
+from lodestat.llm.suffix_dedup import without_repeats
 from lodestat.llm.toxicity import fit_toxicity_model, score_toxicity
 
 __all__ = ["all_queries", "all_sql"]
@@ -42,6 +44,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", "n_backoff", F.round("log_score", 4).alias("log_score"), F.when(F.col("n_tokens") > 0, F.round(mean, 6)).alias("mean_score"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that occur elsewhere too."""
+    cut = without_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; rows with crc32(doc_id) mod 3 = 1 are held out of the training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +64,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.98 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with crc32(doc_id) mod 3 = 1 are held out of the training."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -92,5 +106,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_lm_scoring, op3_toxicity, op4_ngram_join, op6_language, op7_line_dedup, op8_decontamination, op9_packing, op10_sharding)
+    operators = (op1_lm_scoring, op2_suffix_dedup, op3_toxicity, op4_ngram_join, op5_embedding_dedup, op6_language, op7_line_dedup, op8_decontamination, op9_packing, op10_sharding)
     return {f.__name__: f for f in (*operators, pipeline)}

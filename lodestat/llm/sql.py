@@ -103,5 +103,16 @@ from raw left join gone using (doc_id, line) group by 1
 """
 
 
+OP5 = """
+with recursive v as (
+    select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+), pair as (
+    select a.r as a, b.r as b from v a join v b on a.label = b.label and a.r <> b.r and list_cosine_similarity(a.e, b.e) >= 0.98
+), reach as (select r, r as other from v union select x.r, p.b from reach x join pair p on p.a = x.other)
+select vec_id, (select count(*) from pair where pair.a = v.r) as n_links, c.component_id, vec_id = c.component_id as kept
+from v join (select x.r, min(y.vec_id) as component_id from reach x join v y on y.r = x.other group by 1) c using (r)
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1, "op4_ngram_join": OP4, "op7_line_dedup": OP7, "op10_sharding": OP10}
+    return {"op1_lm_scoring": OP1, "op4_ngram_join": OP4, "op5_embedding_dedup": OP5, "op7_line_dedup": OP7, "op10_sharding": OP10}
