@@ -213,9 +213,9 @@ def _pairs(hashes: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out
 
 
-def _known(texts: pa.ChunkedArray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+def _known(visits: list) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (anchor hash, whole hash) of a batch, and how often each occurs."""
-    parts = [(r.hash, r.whole) for _, _, _, r in _visits(texts, length, anchor)]
+    parts = [(r.hash, r.whole) for _, _, _, r in visits]
     h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     w = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
     order = np.lexsort((w, h))
@@ -226,7 +226,7 @@ def _known(texts: pa.ChunkedArray, length: int, anchor: int) -> tuple[np.ndarray
 
 def _requests(length: int, anchor: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        known, counts = _known(table["text"], length, anchor)
+        known, counts = _known(list(_visits(table["text"], length, anchor)))
         bucket = ((known["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(cuts))
@@ -283,9 +283,10 @@ def _contexts(length: int, anchor: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
-            known, _ = _known(docs["text"], length, anchor)
+            visits = list(_visits(docs["text"], length, anchor))
+            known, _ = _known(visits)
             status, batch, sent = _answered(answers), docs["batch"][0].as_py(), set()
-            for _, data, _, runs in _visits(docs["text"], length, anchor):
+            for _, data, _, runs in visits:
                 at = np.searchsorted(known, _pairs(runs.hash, runs.whole))
                 for k in np.flatnonzero((status[at] & (_MIXED | _SEND)) == (_MIXED | _SEND)):
                     if at[k] in sent:
@@ -340,12 +341,13 @@ def _cut(length: int, anchor: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, rows = docs["doc_id"].to_pylist(), []
         if docs.num_rows:
-            known, _ = _known(docs["text"], length, anchor)
+            visits = list(_visits(docs["text"], length, anchor))
+            known, _ = _known(visits)
             told = answers.filter(pc.is_valid(answers["status"]))
             extra = answers.filter(pc.is_null(answers["status"]))
             status = _answered(told)
             found = {(h, w): f for h, w, f in zip(extra["h"].to_pylist(), extra["w"].to_pylist(), extra["found"].to_pylist(), strict=True)}
-            for _, data, offsets, runs in _visits(docs["text"], length, anchor):
+            for _, data, offsets, runs in visits:
                 pairs = _pairs(runs.hash, runs.whole)
                 at = np.searchsorted(known, pairs)
                 full = (status[at] & _FULL) > 0 if len(at) else np.zeros(0, bool)
