@@ -271,67 +271,90 @@ def _answered(answers: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(answers.sort_by("bucket")["status"].to_pylist()), np.uint8)
 
 
-_CONTEXT = "batch int, h long, w long, bytes binary, anchor int, starts int, piece long"
+_CONTEXT = "batch int, h long, w long, bytes binary, anchor int, starts int, bin int, piece array<long>, hs array<long>, ws array<long>, at array<int>"
+_FOUND = "batch int, hs array<long>, ws array<long>, at array<int>"
+_LISTS = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
 
-def _contexts(length: int, anchor: int):
+def _contexts(length: int, anchor: int, bins: int):
     """Bytes around the anchors that have several surroundings, each sent by one batch.
 
-    Where these are too many for one group, every single start is sent, with the hash of its string as `piece`.
+    Where these are too many for one group, the hash of the string at each start is sent instead, packed by its bin.
     """
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
+        rows, wide = [], []
+        batch = docs["batch"][0].as_py() if docs.num_rows else None
         if docs.num_rows:
             visits = list(_visits(docs["text"], length, anchor))
             known, _ = _known(visits)
-            status, batch, sent = _answered(answers), docs["batch"][0].as_py(), set()
+            status = _answered(answers)
+            sent = np.zeros(len(known), bool)
             for _, data, _, runs in visits:
                 at = np.searchsorted(known, _pairs(runs.hash, runs.whole))
                 for k in np.flatnonzero((status[at] & (_MIXED | _SEND)) == (_MIXED | _SEND)):
-                    if at[k] in sent:
+                    if sent[at[k]]:
                         continue
-                    sent.add(at[k])
+                    sent[at[k]] = True
                     a, n = int(runs.start[k]), int(runs.count[k])
-                    name = (batch, *known[at[k]].tolist())
+                    h, w = runs.hash[k].view(np.int64), runs.whole[k].view(np.int64)
                     whole = data[a : a + n - 1 + length]
                     if status[at[k]] & _LARGE:
-                        sums = T.prefix_sums(whole)
                         s = np.arange(n)
-                        for x, piece in zip(s, T.span_hashes(sums, s, s + length).view(np.int64), strict=True):
-                            rows.append((*name, None, int(x), 1, int(piece)))
+                        wide.append(np.stack([T.span_hashes(T.prefix_sums(whole), s, s + length).view(np.int64), np.full(n, h), np.full(n, w), s]))
                     else:
                         full = bool(status[at[k]] & _FULL)
-                        rows.append((*name, whole.tobytes(), int(runs.offset[k]), -n if full else n, None))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-        signed = [[v - (1 << 64) if v >> 63 else v for v in columns[k]] for k in (1, 2)]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-        columns = [columns[0], *signed, *columns[3:]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["batch", "h", "w", "bytes", "anchor", "starts", "piece"])
+                        rows.append((batch, int(h), int(w), whole.tobytes(), int(runs.offset[k]), -n if full else n, *[None] * 5))
+        if wide:
+            flat = np.concatenate(wide, axis=1)
+            bin_ = (flat[0].view(np.uint64) % np.uint64(bins)).astype(np.int64)
+            order = np.argsort(bin_, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(bin_[order])) + 1):
+                rows.append((batch, *[None] * 5, int(bin_[part[0]]), *flat[:, part]))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 11
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *_LISTS)
+        names = ["batch", "h", "w", "bytes", "anchor", "starts", "bin", "piece", "hs", "ws", "at"]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
 
 
+def _by_batch(batch: np.ndarray, hs: np.ndarray, ws: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Starts that repeat, one row per batch that holds them."""
+    order = np.argsort(batch, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(batch[order])) + 1) if len(order) else []
+    columns = [pa.array([batch[p[0]] for p in parts], pa.int32())]
+    columns += [pa.array([x[p] for p in parts], t) for x, t in zip((hs, ws, at), _LISTS, strict=True)]
+    return pa.Table.from_arrays(columns, ["batch", "hs", "ws", "at"])
+
+
 def _grouped(length: int):
     """Repeated starts of the strings of each anchor; a negative number of starts is known to repeat in full."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = []
-        frame = table.to_pandas()
+        rows = [np.zeros((4, 0), np.int64)]
+        frame = table.select(["batch", "h", "w", "bytes", "anchor", "starts"]).to_pandas()
         for _, same in frame.groupby("h", sort=False):
             if len(same) < 2:
                 continue
             contexts = [(b, a, abs(n)) for b, a, n in zip(same["bytes"], same["anchor"], same["starts"], strict=True)]
             for found, batch, h, w, n in zip(repeated_starts(contexts, length), same["batch"], same["h"], same["w"], same["starts"], strict=True):
                 if n > 0 and found.any():
-                    rows.append((batch, h, w, np.flatnonzero(found).astype(np.int32)))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["batch", "h", "w", "found"])
+                    at = np.flatnonzero(found)
+                    rows.append(np.stack([np.full(len(at), batch), np.full(len(at), h), np.full(len(at), w), at]))
+        return _by_batch(*np.concatenate(rows, axis=1))
 
     return run
 
 
+def _counted(table: pa.Table) -> pa.Table:
+    """Starts whose string occurs more than once in the bin."""
+    batch = np.repeat(table["batch"].to_numpy(), table["piece"].combine_chunks().value_lengths().to_numpy())
+    _, where, many = np.unique(_flat(table["piece"]), return_inverse=True, return_counts=True)
+    again = many[where] > 1
+    return _by_batch(batch[again], *(_flat(table[c])[again] for c in ("hs", "ws", "at")))
+
+
 _KEPT = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 
@@ -346,7 +369,9 @@ def _cut(length: int, anchor: int):
             told = answers.filter(pc.is_valid(answers["status"]))
             extra = answers.filter(pc.is_null(answers["status"]))
             status = _answered(told)
-            found = {(h, w): f for h, w, f in zip(extra["h"].to_pylist(), extra["w"].to_pylist(), extra["found"].to_pylist(), strict=True)}
+            extra_at = np.searchsorted(known, _pairs(_flat(extra["hs"]).view(np.uint64), _flat(extra["ws"]).view(np.uint64)))
+            extra_start = _flat(extra["at"])
+            run_of = np.full(len(known) + 1, -1)
             for _, data, offsets, runs in visits:
                 pairs = _pairs(runs.hash, runs.whole)
                 at = np.searchsorted(known, pairs)
@@ -354,13 +379,12 @@ def _cut(length: int, anchor: int):
                 edge = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edge, runs.start[full], 1)
                 np.add.at(edge, runs.start[full] + runs.count[full] - 1 + length, -1)
-                if found:
-                    for k in np.flatnonzero(~full & ((status[at] & _MIXED) > 0)):
-                        starts = found.get((int(runs.hash[k].view(np.int64)), int(runs.whole[k].view(np.int64))))
-                        if starts:
-                            s = runs.start[k] + np.array(starts)
-                            np.add.at(edge, s, 1)
-                            np.add.at(edge, s + length, -1)
+                run_of[at] = np.arange(len(at))  # these occur once
+                here = run_of[extra_at]
+                s = runs.start[here[here >= 0]] + extra_start[here >= 0]
+                run_of[at] = -1
+                np.add.at(edge, s, 1)
+                np.add.at(edge, s + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 change = np.zeros(len(data) + 1, bool)
                 change[1:-1] = gone[1:] != gone[:-1]
@@ -404,14 +428,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     requests = rows.groupBy("batch").applyInArrow(_requests(length, anchor, buckets), "bucket int, batch int, h array<long>, w array<long>, n array<long>")
     answers = scratch.store(requests.groupBy("bucket").applyInArrow(_respond(GROUP), "batch int, bucket int, status binary"))
 
-    contexts = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_contexts(length, anchor), _CONTEXT)
+    bins = max(1, total // (1 << 22))
+    contexts = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_contexts(length, anchor, bins), _CONTEXT)
     contexts = scratch.store(contexts)
-    small = contexts.where("bytes is not null").withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(max(1, total // (1 << 22)))))
-    found = small.groupBy("bin").applyInArrow(_grouped(length), "batch int, h long, w long, found array<int>")
-    large = contexts.where("piece is not null").select("batch", "h", "w", F.col("anchor").alias("start"), "piece")
-    again = scratch.store(large.groupBy("piece").agg(F.count("*").alias("n")).where("n > 1"))
-    wide = large.join(again, "piece").groupBy("batch", "h", "w").agg(F.collect_list("start").alias("found"))
-    extra = found.unionByName(wide).select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("status"), "h", "w", "found")
+    small = contexts.where("bytes is not null").withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(bins)))
+    found = small.groupBy("bin").applyInArrow(_grouped(length), _FOUND)
+    wide = contexts.where("piece is not null").groupBy("bin").applyInArrow(_counted, _FOUND)
+    extra = found.union(wide).select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("status"), "hs", "ws", "at")
     extra = scratch.store(extra)
-    told = answers.select("*", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("w"), F.lit(None).cast("array<int>").alias("found"))
+    told = answers.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("hs", "array<long>"), ("ws", "array<long>"), ("at", "array<int>"))))
     return rows.groupBy("batch").cogroup(told.unionByName(extra).groupBy("batch")).applyInArrow(_cut(length, anchor), _KEPT)
