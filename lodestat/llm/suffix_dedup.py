@@ -166,8 +166,8 @@ class Runs:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
         parts = []
-        for low in range(0, max(1, len(data) - length + 1), 1 << 22):
-            parts.append(self._part(data, offsets, low, min(len(data), low + (1 << 22) + length - 1), length, anchor))
+        for low in range(0, max(1, len(data) - length + 1), 1 << 20):
+            parts.append(self._part(data, offsets, low, min(len(data), low + (1 << 20) + length - 1), length, anchor))
         self.row, self.start, self.count, self.offset, self.hash, self.whole = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     @staticmethod
@@ -200,7 +200,7 @@ class Runs:
 def _visits(texts: pa.ChunkedArray, length: int, anchor: int):
     """Slices of the batch with their runs."""
     if texts.num_chunks:
-        for low, _, data, offsets in T.slices(pa.concat_arrays([c.cast(pa.string()) for c in texts.chunks])):
+        for low, _, data, offsets in T.slices(pa.concat_arrays([c.cast(pa.string()) for c in texts.chunks]), limit=1 << 20):
             yield low, data, offsets, Runs(data, offsets, length, anchor)
 
 
