@@ -27,6 +27,9 @@ _LINE_BITS = 22
 _GROUP = 4096
 #: Bits of the filter that picks the lines whose words are fetched; a false hit only costs a row.
 _FILTER_BITS = 26
+#: 64-bit words of a line's bitmap of word hashes.
+_BITMAP = 4
+_BITS = [f"bits{k}" for k in range(_BITMAP)]
 
 
 class Lines:
@@ -112,7 +115,7 @@ def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
 
 def _prefixes(counters, similarity: float, buckets: int):
     """Prefix words that another line may share, with what the filters need, packed by hash bucket of the word."""
-    names = ["bucket", "word", "key", "bits", "shape"]
+    names = ["bucket", "word", "key", *_BITS, "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counters.value
@@ -127,11 +130,13 @@ def _prefixes(counters, similarity: float, buckets: int):
                 order = np.lexsort((lines.words, line.astype(np.int64) << 8 | rank))
                 words, rank = lines.words[order], rank[order]
                 position = np.arange(len(words)) - lines.starts[line]
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (lines.words >> np.uint64(30) & np.uint64(63)), lines.starts)
+                slot = lines.words >> np.uint64(30) & np.uint64(64 * _BITMAP - 1)
+                one = np.uint64(1) << (slot & np.uint64(63))
+                bits = [np.bitwise_or.reduceat(np.where(slot >> np.uint64(6) == k, one, 0).astype(np.uint64), lines.starts) for k in range(_BITMAP)]
                 # in the prefix, not unique, and of a line large enough to resemble a different one
                 use = (position < prefix_length(lines.size, similarity)[line]) & (rank > 1) & (lines.size >= similarity / (1 - similarity) - 1e-6)[line]
                 of = line[use]
-                parts.append(np.stack([words[use], lines.keys()[of, 0], bits[of], position[use].astype(np.uint64) << np.uint64(32) | lines.size[of].astype(np.uint64)]))
+                parts.append(np.stack([words[use], lines.keys()[of, 0], *(x[of] for x in bits), position[use].astype(np.uint64) << np.uint64(32) | lines.size[of].astype(np.uint64)]))
             if not parts:
                 continue
             flat = np.concatenate(parts, axis=1)
@@ -151,7 +156,7 @@ def _fits(similarity: float, key, bits, shape, a: np.ndarray, b: np.ndarray) ->
     p, q = shape[a] >> 32, shape[b] >> 32
     need = similarity / (1 + similarity) * (m + n) - 1e-6
     most = np.minimum(p, q) + np.minimum(m - p, n - q)
-    apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))
+    apart = sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in bits)
     return (key[a] != key[b]) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6) & (most >= need) & ((m + n - apart) / 2 >= need)
 
 
@@ -159,15 +164,18 @@ def _candidates(similarity: float):
     """Connect the lines of a bucket that share a prefix word and pass the filters; pass on the large groups."""
 
     def run(table: pa.Table) -> pa.Table:
-        word, key, bits, shape = (np.concatenate([c.flatten().to_numpy() for c in table[name].chunks]) for name in ("word", "key", "bits", "shape"))
-        order = np.lexsort((key, word))
+        word, key, *bits, shape = (np.concatenate([c.flatten().to_numpy() for c in table[name].chunks]) for name in ("word", "key", *_BITS, "shape"))
+        order = np.lexsort((key, shape & 0xFFFFFFFF, word))
         fresh = np.append(True, (word[order][1:] != word[order][:-1]) | (key[order][1:] != key[order][:-1]))
-        word, key, bits, shape = (x[order][fresh] for x in (word, key, bits, shape))
+        word, key, *bits, shape = (x[order][fresh] for x in (word, key, *bits, shape))
         starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         size = np.diff(np.append(starts, len(word)))
-        rank = np.arange(len(word)) - np.repeat(starts, size)
         large = np.repeat(size > _GROUP, size)
-        after = np.where(large, 0, np.repeat(size, size) - rank - 1)  # partners further on in the group
+        # partners are further on in the group, up to the largest size that can be similar
+        group = np.repeat(np.arange(len(starts), dtype=np.int64) << 32, size)
+        words = shape & 0xFFFFFFFF
+        last = np.searchsorted(group | words, group | np.floor(words / similarity + 1e-6).astype(np.int64), "right")
+        after = np.where(large, 0, last - np.arange(len(word)) - 1)
         edges = []
         low = 0
         total = np.cumsum(after)
@@ -189,9 +197,9 @@ def _candidates(similarity: float):
         columns = [
             pa.concat_arrays([_binary(lines[moved]), _binary(key[large])]),
             pa.concat_arrays([_binary(lines[root[moved]]), pa.nulls(n, pa.binary())]),
-            *(pa.concat_arrays([none, pa.array(x[large])]) for x in (word, key, bits, shape)),
+            *(pa.concat_arrays([none, pa.array(x[large])]) for x in (word, key, *bits, shape)),
         ]
-        return pa.Table.from_arrays(columns, ["a", "b", "word", "key8", "bits", "shape"])
+        return pa.Table.from_arrays(columns, ["a", "b", "word", "key8", *_BITS, "shape"])
 
     return run
 
@@ -200,7 +208,7 @@ def _bitmap_matcher(similarity: float):
     """Matcher of lines that share a prefix word, by the filters alone."""
 
     def match(columns: dict, starts: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, bits, shape = (columns[c].to_numpy() for c in ("key8", "bits", "shape"))
+        key, *bits, shape = (columns[c].to_numpy() for c in ("key8", *_BITS, "shape"))
         found = [np.zeros((2, 0), np.int64)]
         for low, high in zip(starts[:-1], starts[1:], strict=True):
             a, b = (x + low for x in np.triu_indices(high - low, 1))
@@ -278,10 +286,10 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: s
     lines = places.where("key is not null").select("doc_id", "line", "place", "key")
 
     buckets = max(1, lines.count() // 50_000)
-    packed = rows.select("text").mapInArrow(_prefixes(spark.broadcast(counts), similarity, buckets), "bucket int, word array<long>, key array<long>, bits array<long>, shape array<long>")
-    near = packed.groupBy("bucket").applyInArrow(_candidates(similarity), "a binary, b binary, word long, key8 long, bits long, shape long")
+    packed = rows.select("text").mapInArrow(_prefixes(spark.broadcast(counts), similarity, buckets), f"bucket int, word array<long>, key array<long>, {', '.join(f'{b} array<long>' for b in _BITS)}, shape array<long>")
+    near = packed.groupBy("bucket").applyInArrow(_candidates(similarity), f"a binary, b binary, word long, key8 long, {', '.join(f'{b} long' for b in _BITS)}, shape long")
     near = scratch.store(near)
-    large = near.where("b is null").select(F.col("word").alias("grp"), F.col("a").alias("key"), "key8", "bits", "shape")
+    large = near.where("b is null").select(F.col("word").alias("grp"), F.col("a").alias("key"), "key8", *_BITS, "shape")
     large = compare_in_groups(large, _bitmap_matcher(similarity), scratch, gather="none").select("a", "b")
     groups = components(near.where("b is not null").select("a", "b").union(large), scratch)
 
