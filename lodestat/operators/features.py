@@ -171,7 +171,7 @@ def detect_type(df: DataFrame, columns=None) -> DataFrame:
             continue
         c = ref(name)
         share = lambda kind: F.avg(F.when(c.isNotNull(), c.try_cast(kind).isNotNull().cast("double")))
-        few = F.approx_count_distinct(c) <= F.greatest(F.lit(20.0), F.lit(0.05) * F.count(F.lit(1)))
+        few = F.count_distinct(c) <= F.greatest(F.lit(20.0), F.lit(0.05) * F.count(F.lit(1)))
         kind = (
             F.when(share("double") >= PARSE_SHARE, "numeric")
             .when(share("boolean") >= PARSE_SHARE, "boolean")

@@ -14,15 +14,6 @@ from lodestat.plans.joins import join_on
 from lodestat.plans.series import Series, detrended, with_lags
 from lodestat.plans.tiles import TILE
 
-# The multiplier, increment and seed of the reproducible shuffle.
-LCG_MULTIPLIER = 6364136223846793005
-LCG_INCREMENT = 1
-LCG_SEED = 12345
-WORD = 1 << 64
-# The reproducible shuffle is sequential; longer series use the hashed order.
-LCG_ROWS = 1_000_000
-
-
 def fitted_ar1(series: Series) -> tuple[DataFrame, DataFrame]:
     """(keys, mean, phi, statistic_real) and (keys, t, n, e) of the detrended series."""
     keys = series.key_cols()
@@ -112,57 +103,13 @@ def hashed_statistics(series: Series, model: DataFrame, residuals: DataFrame, su
     return ordered.select(*keys, "b", (total / (F.col("n") - 2)).alias("statistic"))
 
 
-def lcg_state(steps: int) -> int:
-    """The generator's state after ``steps`` draws from the seed."""
-    scale, shift, a, c = 1, 0, LCG_MULTIPLIER, LCG_INCREMENT
-    while steps:
-        if steps & 1:
-            scale, shift = a * scale % WORD, (a * shift + c) % WORD
-        a, c, steps = a * a % WORD, (a * c + c) % WORD, steps >> 1
-    return (scale * LCG_SEED + shift) % WORD
-
-
-def lcg_statistic(e: np.ndarray, b: int, phi: float, mean: float) -> float:
-    """Asymmetry of surrogate b with the reproducible shuffle."""
-    order, state = np.array(e, dtype=float), lcg_state(b * (len(e) - 1))
-    for top in range(len(order) - 1, 0, -1):
-        state = (state * LCG_MULTIPLIER + LCG_INCREMENT) % WORD
-        pick = state % (top + 1)
-        order[top], order[pick] = order[pick], order[top]
-    x = mean + recurrence(order, phi)
-    return float(np.mean(x[1:] * x[:-1] * (x[1:] - x[:-1])))
-
-
-def lcg_statistics(series: Series, model: DataFrame, residuals: DataFrame, surrogates: int) -> DataFrame:
-    """(keys, b, statistic) with the reproducible shuffle, one row per surrogate."""
-    if series.longest > LCG_ROWS:
-        raise ValueError(f'prng="lcg" shuffles sequentially and takes at most {LCG_ROWS} rows; use prng="hash"')
-    keys = series.key_cols()
-    packed = residuals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "e"))).alias("__r"))
-    packed = series.attach(packed.select(*keys, F.transform("__r", lambda r: r["e"]).alias("e")), model.select(*keys, "phi", "mean"))
-    runs = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(surrogates - 1)))).repartition(surrogates, *keys, "b")
-
-    @F.pandas_udf(DoubleType())
-    def statistic(e: pd.Series, b: pd.Series, phi: pd.Series, mean: pd.Series) -> pd.Series:
-        return pd.Series([lcg_statistic(np.asarray(x), k, p, m) for x, k, p, m in zip(e, b, phi, mean)], dtype=float)
-
-    return runs.select(*keys, "b", statistic("e", "b", "phi", "mean").alias("statistic"))
-
-
-def surrogate_test(series: Series, num_surrogates: int = 100, prng: str = "hash", seed: int = 12345) -> DataFrame:
-    """Time-reversal asymmetry against AR(1) surrogates, per series.
-
-    ``prng="hash"`` scales to any length; ``prng="lcg"`` reproduces a fixed
-    sequential shuffle for short series.
-    """
+def surrogate_test(series: Series, num_surrogates: int = 100, seed: int = 12345) -> DataFrame:
+    """Time-reversal asymmetry against AR(1) surrogates, per series."""
     series.require(10)
     if num_surrogates < 2:
         raise InsufficientData(2)
     model, residuals = fitted_ar1(series)
-    if prng == "lcg":
-        runs = lcg_statistics(series, model, residuals, num_surrogates)
-    else:
-        runs = hashed_statistics(series, model, residuals, num_surrogates, seed)
+    runs = hashed_statistics(series, model, residuals, num_surrogates, seed)
     spread = runs.groupBy(*series.key_cols()).agg(F.avg("statistic").alias("surrogate_mean"), F.stddev_samp("statistic").alias("surrogate_std"))
     both = join_on(model, spread, series.keys)
     z = F.when(F.col("surrogate_std") > 0, F.try_divide(F.col("statistic_real") - F.col("surrogate_mean"), F.col("surrogate_std")))

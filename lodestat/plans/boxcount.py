@@ -13,6 +13,8 @@ the map side, and a node holding half of the series is split into blocks.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,33 @@ from lodestat.plans.series import Series
 BLOCK = 4_096
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as integers in the same order; its own inverse on the bit patterns."""
+    bits = x.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def far_end(v: np.ndarray, eps: float, sign: int) -> np.ndarray:
+    """Per value the nearest double above (sign 1) or below (-1) it whose rounded difference from it reaches eps.
+
+    The rounded difference is monotone, so halving over the doubles finds the end exactly, which v + eps does not.
+    """
+    v = np.asarray(v, dtype=float) + 0.0
+    if not eps > 0:
+        return v
+    near = _ordered(sign * v)
+    far = np.full(len(v), _ordered(np.array([np.inf]))[0])
+    with np.errstate(over="ignore", invalid="ignore"):
+        while True:
+            middle = (near >> 1) + (far >> 1) + (near & far & 1)
+            between = (middle > near) & (middle < far)
+            if not between.any():
+                break
+            inside = _ordered(middle.view(np.float64)).view(np.float64) - sign * v < eps
+            near, far = np.where(between & inside, middle, near), np.where(between & ~inside, middle, far)
+    return np.where(np.isfinite(v), sign * _ordered(far.view(np.float64)).view(np.float64), v)
+
+
 def value_intervals(series: Series, eps: float) -> DataFrame:
     """Per distinct (keys, x): weight, rank, rank interval and neighbour count.
 
@@ -33,13 +62,19 @@ def value_intervals(series: Series, eps: float) -> DataFrame:
     """
     keys = series.key_cols()
     counted = series.df.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("w"))
-    e = F.lit(float(eps))
-    # Order at equal positions: values after a low end are inside (x > v - eps),
-    # values at a high end are outside (x < v + eps).
+    eps = float(eps)
+
+    @F.pandas_udf("low double, high double")
+    def ends(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"low": far_end(x.to_numpy(), eps, -1), "high": far_end(x.to_numpy(), eps, 1)})
+
+    counted = counted.withColumn("__ends", ends("x"))
+    # Order at equal positions: the ends themselves are outside, so values at a
+    # low end come before it and values at a high end after it.
     marks = F.array(
         F.struct(F.lit(1).alias("kind"), F.col("x").alias("at"), F.col("w").alias("w"), F.lit(1).cast("long").alias("one")),
-        F.struct(F.lit(2).alias("kind"), (F.col("x") - e).alias("at"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("one")),
-        F.struct(F.lit(0).alias("kind"), (F.col("x") + e).alias("at"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("one")),
+        F.struct(F.lit(2).alias("kind"), F.col("__ends.low").alias("at"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("one")),
+        F.struct(F.lit(0).alias("kind"), F.col("__ends.high").alias("at"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("one")),
     )
     events = counted.select(*keys, "x", F.explode(marks).alias("__m")).select(*keys, "x", "__m.*")
     # Both running totals ride in one sum: points in the weight, ranks apart.

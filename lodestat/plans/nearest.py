@@ -43,8 +43,10 @@ def best_in_tile(left: np.ndarray, right: np.ndarray, gap: int, apart: int, step
         if close:
             lag = gap + np.arange(cols)[None, :] - (start + np.arange(block.shape[1]))[:, None]
             squares[np.abs(lag) < apart] = np.inf
-        at = squares.argmin(axis=1)
-        distance[start : start + step] = np.sqrt(squares[np.arange(len(at)), at])
+        # Roots are compared: different squares can have equal roots.
+        roots = np.sqrt(squares, out=squares)
+        at = roots.argmin(axis=1)
+        distance[start : start + step] = roots[np.arange(len(at)), at]
         index[start : start + step] = at
     return distance, index
 
@@ -193,7 +195,7 @@ def neighbours_by_grid(series: Series, dim: int, tau: int) -> DataFrame:
 def nearest_neighbours(series: Series, dim: int, tau: int, method: str = "auto") -> DataFrame:
     """(keys, n, i, j, d): the nearest allowed neighbour of every delay vector.
 
-    ``method`` is "tiles" (all chunk pairs), "grid" (near-linear) or "auto",
+    ``method`` is "tiles" (all chunk pairs), "grid" (by cells of value) or "auto",
     which compares their estimated core seconds.
     """
     if method == "auto":

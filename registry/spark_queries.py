@@ -240,7 +240,7 @@ def autocorrelation_events(spark, d):
 
 
 def autocorrelation_by_user(spark, d):
-    return rounded(ls.autocorrelation(by_user(spark, d).at_least(20), 3), autocorrelation=8)
+    return rounded(ls.autocorrelation(by_user(spark, d), 3), autocorrelation=8)
 
 
 def partial_autocorrelation_events(spark, d):
@@ -269,11 +269,11 @@ def memory_events(spark, d):
 
 
 def correlation_integral_events(spark, d):
-    return rounded(ls.correlation_integral(by_type(spark, d), 3, 25.125), correlation_integral=10)
+    return rounded(ls.correlation_integral(by_type(spark, d), 3, 25.0), correlation_integral=10)
 
 
 def triple_correlation_events(spark, d):
-    return rounded(ls.triple_correlation(by_type(spark, d), 25.125), triple_correlation=10)
+    return rounded(ls.triple_correlation(by_type(spark, d), 25.0), triple_correlation=10)
 
 
 def bds_events(spark, d):
@@ -303,7 +303,7 @@ def ar1_fit_events(spark, d):
 
 
 def delay_information_by_user(spark, d):
-    return rounded(ls.delay_mutual_information(by_user(spark, d).at_least(40), 3), mutual_information=8)
+    return rounded(ls.delay_mutual_information(by_user(spark, d), 3), mutual_information=8)
 
 
 def lyapunov_grid_events(spark, d):

@@ -347,7 +347,7 @@ def all_sql() -> dict[str, str]:
     )
     q["autocorrelation_events"] = f"with {SERIES}, {acf_sql(10)} select g as event_type, lag::int as lag, {dec('r', 8)} as autocorrelation from acf"
     users = SERIES.replace("event_type g", "user_id g").replace("partition by event_type", "partition by user_id")
-    kept = f"s0 as (select * from s_all where n >= 20), s as (select * from s0)"
+    kept = f"s0 as (select * from s_all), s as (select * from s0)"
     q["autocorrelation_by_user"] = (
         f"with {users.replace('s as (', 's_all as (', 1)}, {kept}, {acf_sql(3)} select g as user_id, lag::int as lag, {dec('r', 8)} as autocorrelation from acf"
     )
@@ -370,14 +370,14 @@ def all_sql() -> dict[str, str]:
         " (case when abs(p2) > 2 / sqrt(n) then 2 when abs(r1) > 2 / sqrt(n) then 1 else 0 end)::int as memory_length"
         " from pc2 join mi m1 on m1.g = pc2.g and m1.lag = 1 join mi m2 on m2.g = pc2.g and m2.lag = 2 join ns on ns.g = pc2.g"
     )
-    q["correlation_integral_events"] = f"with {SERIES}, {vector_sql('s', 3)}, {cm_sql(3, 25.125)} select g as event_type, {dec('cm', 10)} as correlation_integral from cm"
-    q["triple_correlation_events"] = f"with {SERIES}, {near_sql('s', 25.125)} select g as event_type, {dec('k', 10)} as triple_correlation from c1"
+    q["correlation_integral_events"] = f"with {SERIES}, {vector_sql('s', 3)}, {cm_sql(3, 25.0)} select g as event_type, {dec('cm', 10)} as correlation_integral from cm"
+    q["triple_correlation_events"] = f"with {SERIES}, {near_sql('s', 25.0)} select g as event_type, {dec('k', 10)} as triple_correlation from c1"
     q["bds_events"] = bds_sql()
     q["bds_rank_boxes_events"] = bds_sql()
     q["lyapunov_events"] = lyapunov_sql()
     q["lyapunov_grid_events"] = lyapunov_sql()
     q["delay_information_by_user"] = (
-        f"with {users.replace('s as (', 's_all as (', 1)}, s as (select * from s_all where n >= 40), {mi_sql(3)} select g as user_id, lag::int as lag, {dec('mi', 8)} as mutual_information from mi"
+        f"with {users.replace('s as (', 's_all as (', 1)}, s as (select * from s_all), {mi_sql(3)} select g as user_id, lag::int as lag, {dec('mi', 8)} as mutual_information from mi"
     )
     q["ar1_fit_events"] = (
         f"with {SERIES}, {DETRENDED}, m as (select g, avg(x) mu from d group by g), p as (select u.g, u.x y, w.x x, mu from d u join d w on w.g = u.g and w.t = u.t + 1 join m on m.g = u.g)"

@@ -1,0 +1,34 @@
+"""Surrogates by a fixed sequential shuffle, for the golden numbers of one short series."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from lodestat.operators.surrogate import recurrence
+
+# The multiplier, increment and seed of the reproducible shuffle.
+LCG_MULTIPLIER = 6364136223846793005
+LCG_INCREMENT = 1
+LCG_SEED = 12345
+WORD = 1 << 64
+
+
+def lcg_state(steps: int) -> int:
+    """The generator's state after ``steps`` draws from the seed."""
+    scale, shift, a, c = 1, 0, LCG_MULTIPLIER, LCG_INCREMENT
+    while steps:
+        if steps & 1:
+            scale, shift = a * scale % WORD, (a * shift + c) % WORD
+        a, c, steps = a * a % WORD, (a * c + c) % WORD, steps >> 1
+    return (scale * LCG_SEED + shift) % WORD
+
+
+def lcg_statistic(e: np.ndarray, b: int, phi: float, mean: float) -> float:
+    """Asymmetry of surrogate b with the reproducible shuffle."""
+    order, state = np.array(e, dtype=float), lcg_state(b * (len(e) - 1))
+    for top in range(len(order) - 1, 0, -1):
+        state = (state * LCG_MULTIPLIER + LCG_INCREMENT) % WORD
+        pick = state % (top + 1)
+        order[top], order[pick] = order[pick], order[top]
+    x = mean + recurrence(order, phi)
+    return float(np.mean(x[1:] * x[:-1] * (x[1:] - x[:-1])))
