@@ -24,7 +24,7 @@ _NEWLINE = 10
 #: Bits of a packed word hash that number its line inside a slice of texts.
 _LINE_BITS = 22
 #: Larger groups of lines with a common prefix word are compared in blocks by other tasks.
-_GROUP = 4096
+_GROUP = 32768
 #: Bits of the filter that picks the lines whose words are fetched; a false hit only costs a row.
 _FILTER_BITS = 26
 #: 64-bit words of a line's bitmap of word hashes.
@@ -102,9 +102,10 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """Saturating sums of one block of counters."""
+    """Sums of one block of counters in one byte each: exact to 127, then in steps of an eighth of a doubling."""
     flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in table[c].chunks])
-    total = np.minimum(np.bincount(flat("at"), weights=flat("n"), minlength=_BLOCK), 255).astype(np.uint8)
+    total = np.bincount(flat("at"), weights=flat("n"), minlength=_BLOCK)
+    total = np.where(total < 128, total, np.minimum(128 + 8 * np.log2(np.maximum(total, 128) / 128), 255)).astype(np.uint8)
     return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -290,7 +291,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: s
     near = packed.groupBy("bucket").applyInArrow(_candidates(similarity), f"a binary, b binary, word long, key8 long, {', '.join(f'{b} long' for b in _BITS)}, shape long")
     near = scratch.store(near)
     large = near.where("b is null").select(F.col("word").alias("grp"), F.col("a").alias("key"), "key8", *_BITS, "shape")
-    large = compare_in_groups(large, _bitmap_matcher(similarity), scratch, gather="none").select("a", "b")
+    large = compare_in_groups(large, _bitmap_matcher(similarity), scratch, gather="none", block=1024).select("a", "b")
     groups = components(near.where("b is not null").select("a", "b").union(large), scratch)
 
     bitmap = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)

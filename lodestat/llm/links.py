@@ -89,7 +89,7 @@ def _compare(match: Matcher, gather: str):
     return run
 
 
-def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, gather: str = "links", useful: Column | None = None) -> DataFrame:
+def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, gather: str = "links", useful: Column | None = None, block: int = BLOCK) -> DataFrame:
     """Compare the items of each group; rows has grp, key (binary) and what `match` reads.
 
     Returns written rows, linear in the items however many pairs match: (a, b, 0) says that a and b are in one
@@ -98,14 +98,14 @@ def compare_in_groups(rows: DataFrame, match: Matcher, scratch: Scratch, gather:
     that matches a, where it is less than a's own. `rows` should be a written table. Groups for which the aggregate
     `useful` is false are left out.
 
-    Groups of up to BLOCK items are compared many at a time; larger ones are cut into blocks by a hash of the key and
+    Groups of up to `block` items are compared many at a time; larger ones are cut into blocks by a hash of the key and
     each pair of blocks is a task's work, so no group meets in one task.
     """
     sizes = rows.groupBy("grp").agg(F.count("*").alias("size"), (F.lit(True) if useful is None else useful).alias("useful"))
     sizes = scratch.store(sizes.where("size > 1 and useful").drop("useful"))
     items = sizes.agg(F.sum("size").alias("n")).first()["n"] or 0
-    bins = max(1, -(-items // (4 * BLOCK)))
-    placed = rows.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    bins = max(1, -(-items // (4 * block)))
+    placed = rows.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / block))
     placed = placed.withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     placed = placed.withColumn("other", other).withColumns({"low": F.least("blk", "other"), "high": F.greatest("blk", "other")})
