@@ -155,7 +155,9 @@ def fit_language_model(
 
 def _predictor(model: LanguageModel, column: int):
     names = np.array([*model.languages, UNKNOWN], object)
-    bounds = np.array([SLACK * model.least.get(b, 0.0) for b in range(64)])
+    trained = sorted(model.least)
+    # a length that the training lacks takes the bound of the next shorter one; there is none for shorter texts than all
+    bounds = np.array([SLACK * next((model.least[t] for t in reversed(trained) if t <= b), 0.0) for b in range(64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
