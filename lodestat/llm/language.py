@@ -129,14 +129,15 @@ def fit_language_model(
 ) -> LanguageModel:
     """Learn `clusters` centroids per language by spherical k-means.
 
-    The fit uses a bounded sample: at most `per_language` documents of each language, those with the least seeded hash
-    of the text. Rows with null language or no letter teach nothing. Only centroids reach the driver.
+    The fit uses a bounded sample: at most `per_language` different texts of each language, those with the least seeded
+    hash of the text. Rows with null language or no letter teach nothing. Only centroids reach the driver.
     """
     scratch = Scratch(labelled.sparkSession)
     rows = labelled.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text")).where("lang is not null and text is not null")
-    many = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    many = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
     turn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.join(many, "lang").withColumn("turn", turn).where(F.col("turn") * F.col("n") < 2.0 * per_language + 50)
+    drawn = drawn.select("lang", "text", "turn").distinct()  # copies share a turn: one stands for all
     drawn = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))).where(F.col("rn") <= per_language)
     counted = scratch.store(drawn.select("lang", "text").mapInArrow(_counted, "lang string, counts array<int>"))
     df = {r["i"]: r["n"] for r in counted.mapInPandas(_frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
