@@ -136,7 +136,8 @@ def fit_language_model(
     rows = labelled.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text")).where("lang is not null and text is not null")
     many = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
     turn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(many, "lang").withColumn("turn", turn).where(F.col("turn") * F.col("n") < 2.0 * per_language + 50)
+    # one row for each language, far less than the centroids that every task holds anyway; so no text is shuffled by language
+    drawn = rows.join(F.broadcast(many), "lang").withColumn("turn", turn).where(F.col("turn") * F.col("n") < 2.0 * per_language + 50)
     drawn = drawn.select("lang", "text", "turn").distinct()  # copies share a turn: one stands for all
     drawn = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))).where(F.col("rn") <= per_language)
     counted = scratch.store(drawn.select("lang", "text").mapInArrow(_counted, "lang string, counts array<int>"))
