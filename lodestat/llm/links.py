@@ -19,23 +19,31 @@ Matcher = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], tuple[np.nda
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); root is the least node of its component.
+    """(node, root) for every node of the edges (a, b); root is one node of its component, the same for all of them.
 
-    Rounds of least label over neighbours and one step along the labels, each written out, until nothing changes. Hot
-    nodes meet only joins of written tables, whose large partitions adaptive execution splits.
+    Each round hooks every node to the least of its neighbours and that one's, and contracts the edges to what is still
+    apart; so a round costs what is left, and all rounds together little more than the first. Nodes should be hashes,
+    whose order makes each round shrink by a factor. The rounds, each written out, are then applied one after the other.
+    Hot nodes meet only joins of written tables, whose large partitions adaptive execution splits.
     """
     both = scratch.store(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    labels = scratch.store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    rounds = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = scratch.store(labels.join(near, "node").select("node", labels["root"].alias("old"), F.least("root", "near").alias("root")))
+        hooked = scratch.store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
         step = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = scratch.store(hooked.join(step, "root").select("node", "old", F.col("next").alias("root")))
-        scratch.drop(labels, hooked)
-        labels = moved
-        if moved.where("old != root").isEmpty():
-            scratch.drop(both)
-            return moved.select("node", "root")
+        rounds.append(scratch.store(hooked.join(step, "root").select("node", F.col("next").alias("root"))))
+        left, right = (rounds[-1].select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+        moved = both.join(left, "a").join(right, "b").where("a_root != b_root")
+        apart = scratch.store(moved.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+        scratch.drop(both, hooked)
+        if apart.isEmpty():
+            break
+        both = apart
+    out = rounds.pop()
+    while rounds:
+        later = out.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        out = rounds.pop().join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return scratch.store(out)
 
 
 def least_index(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

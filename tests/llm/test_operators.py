@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import pytest
 
 from lodestat.llm.line_dedup import without_repeated_lines
+from lodestat.llm.links import components
 from lodestat.llm.ngram_join import jaccard_groups
 from lodestat.llm.packing import BestFit
+from lodestat.llm.scratch import Scratch
 from lodestat.llm.sharding import shard_documents
 from lodestat.llm.suffix_dedup import suffix_array, without_repeats
 
@@ -53,3 +56,24 @@ def test_shards(docs):
 def test_best_fit():
     packer = BestFit(10, 2, 0)
     assert [packer.place(n) for n in (6, 7, 3, 4, 10)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
+
+
+def test_components(spark):
+    draw = random.Random(4)
+    name = lambda k: zlib.crc32(str(k).encode()).to_bytes(8, "big")
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(30)] + [(draw.randrange(200, 260), draw.randrange(200, 260)) for _ in range(45)] + [(7, 7), (3, 4)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, {a}).add(b)
+            near.setdefault(b, {b}).add(a)
+    reach = {a: a for a in near}
+    for _ in near:
+        reach = {a: min(reach[b] for b in near[a]) for a in near}
+    want = sorted(sorted(name(a) for a in near if reach[a] == r) for r in set(reach.values()))
+    frame = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
+    got = {}
+    for r in components(frame, Scratch(spark)).collect():
+        got.setdefault(bytes(r["root"]), []).append(bytes(r["node"]))
+    assert sorted(map(sorted, got.values())) == want and all(root in nodes for root, nodes in got.items())
+    assert components(frame.limit(0), Scratch(spark)).count() == 0
