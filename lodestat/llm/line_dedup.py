@@ -23,6 +23,8 @@ _BLOCK = 1 << 16
 _NEWLINE = 10
 #: Bits of a packed word hash that number its line inside a slice of texts.
 _LINE_BITS = 22
+#: Bytes of text, prefix words and pairs that a task works on at once.
+_SLICE, _FLUSH, _PAIRS = 1 << 19, 1 << 17, 1 << 18
 #: Larger groups of lines with a common prefix word are compared in blocks by other tasks.
 _GROUP = 32768
 #: Bits of the filter that picks the lines whose words are fetched; a false hit only costs a row.
@@ -80,7 +82,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint16)
     names, types = ["doc_id", "line", "place", "key", "block", "at", "n"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
     for batch in batches:
-        for low, high, data, offsets in T.slices(T.lower(batch.column(1))):
+        for low, high, data, offsets in T.slices(T.lower(batch.column(1)), _SLICE):
             lines = Lines(data, offsets)
             slot, n = np.unique(_slot(lines.words), return_counts=True)
             counts[slot] = np.minimum(counts[slot].astype(np.int64) + n, 60000)
@@ -118,35 +120,42 @@ def _prefixes(counters, similarity: float, buckets: int):
     """Prefix words that another line may share, with what the filters need, packed by hash bucket of the word."""
     names = ["bucket", "word", "key", *_BITS, "shape"]
 
+    def prefix(lines: Lines, counts: np.ndarray) -> np.ndarray:
+        line = np.repeat(np.arange(len(lines.has)), lines.size)
+        rank = counts[_slot(lines.words)]
+        order = np.lexsort((lines.words, line.astype(np.int64) << 8 | rank))
+        words, rank = lines.words[order], rank[order]
+        position = np.arange(len(words)) - lines.starts[line]
+        slot = lines.words >> np.uint64(30) & np.uint64(64 * _BITMAP - 1)
+        one = np.uint64(1) << (slot & np.uint64(63))
+        bits = [np.bitwise_or.reduceat(np.where(slot >> np.uint64(6) == k, one, 0).astype(np.uint64), lines.starts) for k in range(_BITMAP)]
+        # in the prefix, not unique, and of a line large enough to resemble a different one
+        use = (position < prefix_length(lines.size, similarity)[line]) & (rank > 1) & (lines.size >= similarity / (1 - similarity) - 1e-6)[line]
+        of = line[use]
+        return np.stack([words[use], lines.keys()[of, 0], *(x[of] for x in bits), position[use].astype(np.uint64) << np.uint64(32) | lines.size[of].astype(np.uint64)])
+
+    def dealt(parts: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(parts, axis=1)
+        bucket = (T.mix(flat[0]) % np.uint64(buckets)).astype(np.int64)
+        flat = np.concatenate([bucket[None].astype(np.uint64), flat])[:, np.argsort(bucket, kind="stable")]
+        cuts = np.searchsorted(flat[0], np.arange(buckets + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cuts))
+        lists = pa.array(np.append(cuts[some], flat.shape[1]), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.ListArray.from_arrays(lists, pa.array(x.view(np.int64))) for x in flat[1:])], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counters.value
+        parts, held = [], 0
         for batch in batches:
-            parts = []
-            for _, _, data, offsets in T.slices(T.lower(batch.column(0))):
+            for _, _, data, offsets in T.slices(T.lower(batch.column(0)), _SLICE):
                 lines = Lines(data, offsets)
-                if not len(lines.has):
-                    continue
-                line = np.repeat(np.arange(len(lines.has)), lines.size)
-                rank = counts[_slot(lines.words)]
-                order = np.lexsort((lines.words, line.astype(np.int64) << 8 | rank))
-                words, rank = lines.words[order], rank[order]
-                position = np.arange(len(words)) - lines.starts[line]
-                slot = lines.words >> np.uint64(30) & np.uint64(64 * _BITMAP - 1)
-                one = np.uint64(1) << (slot & np.uint64(63))
-                bits = [np.bitwise_or.reduceat(np.where(slot >> np.uint64(6) == k, one, 0).astype(np.uint64), lines.starts) for k in range(_BITMAP)]
-                # in the prefix, not unique, and of a line large enough to resemble a different one
-                use = (position < prefix_length(lines.size, similarity)[line]) & (rank > 1) & (lines.size >= similarity / (1 - similarity) - 1e-6)[line]
-                of = line[use]
-                parts.append(np.stack([words[use], lines.keys()[of, 0], *(x[of] for x in bits), position[use].astype(np.uint64) << np.uint64(32) | lines.size[of].astype(np.uint64)]))
-            if not parts:
-                continue
-            flat = np.concatenate(parts, axis=1)
-            bucket = (T.mix(flat[0]) % np.uint64(buckets)).astype(np.int64)
-            flat = np.concatenate([bucket[None].astype(np.uint64), flat])[:, np.argsort(bucket, kind="stable")]
-            cuts = np.searchsorted(flat[0], np.arange(buckets + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(cuts))
-            lists = pa.array(np.append(cuts[some], flat.shape[1]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.ListArray.from_arrays(lists, pa.array(x.view(np.int64))) for x in flat[1:])], names)
+                if len(lines.has):
+                    parts.append(prefix(lines, counters.value))
+                    held += parts[-1].shape[1]
+                if held >= _FLUSH:
+                    yield dealt(parts)
+                    parts, held = [], 0
+        if held:
+            yield dealt(parts)
 
     return run
 
@@ -181,7 +190,7 @@ def _candidates(similarity: float):
         low = 0
         total = np.cumsum(after)
         while low < len(word):
-            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + (1 << 20), "right")))
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + _PAIRS, "right")))
             some = after[low:high]
             a = np.repeat(np.arange(low, high), some)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
@@ -212,9 +221,17 @@ def _bitmap_matcher(similarity: float):
         key, *bits, shape = (columns[c].to_numpy() for c in ("key8", *_BITS, "shape"))
         found = [np.zeros((2, 0), np.int64)]
         for low, high in zip(starts[:-1], starts[1:], strict=True):
-            a, b = (x + low for x in np.triu_indices(high - low, 1))
-            ok = _fits(similarity, key, bits, shape, a, b)
-            found.append(np.stack([a[ok], b[ok]]))
+            # of two blocks only pairs across, else each pair once; some rows at a time
+            middle = low + int(np.searchsorted(block[low:high], block[high - 1]))
+            two = middle > low
+            right = np.arange(middle, high) if two else np.arange(low, high)
+            step = max(1, _PAIRS // max(1, len(right)))
+            for at in range(low, middle if two else high, step):
+                left = np.arange(at, min(at + step, middle if two else high))
+                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+                a, b = a[a < b], b[a < b]
+                ok = _fits(similarity, key, bits, shape, a, b)
+                found.append(np.stack([a[ok], b[ok]]))
         pairs = np.concatenate(found, axis=1)
         return pairs[0], pairs[1]
 
@@ -227,7 +244,7 @@ def _words_of(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = wanted.value, set()
         for batch in batches:
-            for _, _, data, offsets in T.slices(T.lower(batch.column(0))):
+            for _, _, data, offsets in T.slices(T.lower(batch.column(0)), _SLICE):
                 lines = Lines(data, offsets)
                 keys = lines.keys()
                 slot = (T.mix(keys[:, 0]) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
