@@ -39,10 +39,10 @@ def average_ranks(df: DataFrame, columns=None) -> DataFrame:
     """
     names = pick(df, columns)
     rows = df.select(F.monotonically_increasing_id().alias("__row"), *[number(c).alias(c) for c in names])
-    cells = long_view(rows, names, ["__row"], number).where(F.col("value").isNotNull())
-    table = ranked_values(cells, ["column"], "value")
-    ranks = table.select("column", "value", (F.col("__before") + (F.col("__w") + 1) / F.lit(2.0)).alias("rank"))
-    ranked = join_on(cells, ranks, ["column", "value"])
+    cells = long_view(rows, names, ["__row"], number).where(F.col("__value").isNotNull())
+    table = ranked_values(cells, ["column"], "__value")
+    ranks = table.select("column", "__value", (F.col("__before") + (F.col("__w") + 1) / F.lit(2.0)).alias("rank"))
+    ranked = join_on(cells, ranks, ["column", "__value"])
     per_column = [F.max(F.when(F.col("column") == F.lit(c), F.col("rank"))).alias(c) for c in names]
     return ranked.groupBy("__row").agg(*per_column).drop("__row")
 

@@ -51,8 +51,8 @@ STATISTICS: dict[str, Callable[[Column], Column]] = {
 
 
 def long_view(df: DataFrame, columns: Sequence[str], by: Sequence[str], view: Callable[[str], Column]) -> DataFrame:
-    """Unpivot to (by, column, value), so all columns share one plan."""
-    cells = [F.struct(F.lit(c).alias("column"), view(c).alias("value")) for c in columns]
+    """Unpivot to (by, column, __value), so all columns share one plan."""
+    cells = [F.struct(F.lit(c).alias("column"), view(c).alias("__value")) for c in columns]
     return df.select(*[ref(b) for b in by], F.explode(F.array(*cells)).alias("__s")).select(*[ref(b) for b in by], "__s.*")
 
 
@@ -64,7 +64,7 @@ def column_rows(df: DataFrame, columns: Sequence[str], stats: dict[str, Callable
     compiles; this keeps the generated code the size of one column.
     """
     keys = [*[ref(b) for b in by], F.col("column")]
-    out = long_view(df, columns, by, number).groupBy(*keys).agg(*[make(F.col("value")).alias(n) for n, make in stats.items()])
+    out = long_view(df, columns, by, number).groupBy(*keys).agg(*[make(F.col("__value")).alias(n) for n, make in stats.items()])
     if by:
         return out
     # A table without rows still has one line per column.
@@ -163,14 +163,14 @@ def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], v
     value nor a hot group reaches one task. NULL and NaN are left out of the
     ranking only where ``view`` yields NULL.
     """
-    values = long_view(df, columns, by, view).where(F.col("value").isNotNull())
-    table = ranked_values(values, [*by, "column"], "value")
+    values = long_view(df, columns, by, view).where(F.col("__value").isNotNull())
+    table = ranked_values(values, [*by, "column"], "__value")
     hit = lambda make: (F.col("__before") <= make(F.col("__total"))) & (make(F.col("__total")) < F.col("__before") + F.col("__w"))
     wanted = None
     for make in ranks.values():
         wanted = hit(make) if wanted is None else wanted | hit(make)
     keys = [*[ref(b) for b in by], "column"]
-    return table.where(wanted).groupBy(*keys).agg(*[F.max(F.when(hit(make), F.col("value"))).alias(name) for name, make in ranks.items()])
+    return table.where(wanted).groupBy(*keys).agg(*[F.max(F.when(hit(make), F.col("__value"))).alias(name) for name, make in ranks.items()])
 
 
 def is_large(df: DataFrame) -> bool:
@@ -226,7 +226,7 @@ def quantiles(df: DataFrame, columns=None, by=None, approx: bool = False, large:
         fn = (lambda c: F.percentile_approx(c, points, 10_000)) if approx else (lambda c: F.percentile(c, points))
         stats = {"min": STATISTICS["min"], "max": STATISTICS["max"], "__q": fn}
         keys = [*[ref(b) for b in by], F.col("column")]
-        out = long_view(df, names, by, number).groupBy(*keys).agg(*[make(F.col("value")).alias(n) for n, make in stats.items()])
+        out = long_view(df, names, by, number).groupBy(*keys).agg(*[make(F.col("__value")).alias(n) for n, make in stats.items()])
         out = out.select("*", *[F.get("__q", F.lit(i)).alias(f"__q{i}") for i in range(len(QUARTILES))])
         if not by:
             listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
@@ -253,7 +253,7 @@ def histogram_layout(df: DataFrame, names: Sequence[str], by: Sequence[str], lar
     """
     by_cols = [ref(b) for b in by]
     cells = long_view(df, names, by, filled)
-    sizes = [F.count(F.lit(1)).alias("n"), *finite_min_max(F.col("value"))]
+    sizes = [F.count(F.lit(1)).alias("n"), *finite_min_max(F.col("__value"))]
     if large:
         first = {"__q1": lambda n: F.floor(n / 4), "__q3": lambda n: F.floor(n * 3 / 4)}
         quart = order_statistics(df, names, by, filled, first)
@@ -261,7 +261,7 @@ def histogram_layout(df: DataFrame, names: Sequence[str], by: Sequence[str], lar
     else:
         # percentile_disc takes the first value whose cumulative share reaches
         # p; the tiny excess makes that share strictly larger than n//4 of n.
-        disc = F.expr("percentile_disc(array(0.25D + 1e-12D, 0.75D + 1e-12D)) WITHIN GROUP (ORDER BY value)")
+        disc = F.expr("percentile_disc(array(0.25D + 1e-12D, 0.75D + 1e-12D)) WITHIN GROUP (ORDER BY __value)")
         base = cells.groupBy(*by_cols, "column").agg(*sizes, disc.alias("__q"))
         base = base.withColumn("__q1", F.col("__q")[0]).withColumn("__q3", F.col("__q")[1])
     eps = F.lit(2.220446049250313e-16)

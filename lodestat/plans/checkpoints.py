@@ -16,16 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the cluster's ``spark.checkpoint.dir``.
 
-    Where that is unset, a local session gets a folder of its own and a
-    cluster uses a folder below its warehouse, which executors share.
+    Where that is unset, a single-process session gets a folder of its own; a
+    cluster must name one, since executors do not share the driver's disk.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc.master.startswith("local"):
+    if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodestat-checkpoint-")
-    sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestat-checkpoints")
+    sc.setCheckpointDir(named)
 
 
 def stored(df: DataFrame) -> DataFrame:

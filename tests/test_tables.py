@@ -101,3 +101,14 @@ def test_entry_and_registry(spark):
     got = contract.queries()["quantiles_orders"](spark, "/root/testdata/sf0.001").toPandas().sort_values("column")
     want = con.execute(contract.oracle_sql()["quantiles_orders"]).df().sort_values("column")
     assert got[list(want.columns)].to_numpy().tolist() == want.to_numpy().tolist()
+
+
+def test_grouping_columns_with_working_names(spark):
+    df = spark.createDataFrame([(1, 5.0, "a"), (1, 7.0, "b"), (2, 9.0, "b")], "value int, x double, count string")
+    assert {r["value"]: r["mean"] for r in ls.mean(df, ["x"], by="value").collect()} == {1: 6.0, 2: 9.0}
+    assert {r["value"]: r["median"] for r in ls.quantiles(df, ["x"], by="value").collect()} == {1: 6.0, 2: 9.0}
+    assert {r["value"]: r["entropy"] for r in ls.entropy(df, ["x"], by="value").collect()}[2] == 0.0
+    top = ls.top_k_categories(df, "count", 1, by="value").collect()
+    assert sorted((r["value"], r["value_"], r["count"]) for r in top) == [(1, "a", 1), (2, "b", 1)]
+    share = ls.category_frequency(df, "value", by="count").collect()
+    assert sorted((r["count"], r["value"], r["count_"], r["share"]) for r in share) == [("a", 1, 1, 1.0), ("b", 1, 1, 0.5), ("b", 2, 1, 0.5)]
