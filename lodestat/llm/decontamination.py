@@ -1,4 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words around them."""
+"""Benchmark decontamination: rare pairs of near words as seeds, a lossless count filter, then Smith-Waterman alignment.
+
+With MATCH = 2 and -1 an error, an alignment of score s with M matched words has e <= 2 M - s errors. Of the M - 1 pairs
+of consecutive matched words, z0 have no error between them and z1 have one, so 2 z0 + z1 >= 2 (M - 1) - e >= s - 2. Such
+pairs are one or two words apart, in the item and in the text. So a copy shares pairs of that weight with its item, and
+pairs that start at half as many words of the item at least: whichever others are left out, a seed remains.
+"""
 
 from __future__ import annotations
 
@@ -13,25 +19,48 @@ from pyspark.sql import functions as F
 
 from lodestat.llm import text as T
 
-#: Words of a seed, share of an item's n-grams (the rarest) that are seeds, least share of the best score.
-WORDS, RARE, SCORE = 3, 2 / 3, 0.5
+#: Words of the shortest item, least share of the best score.
+WORDS, SCORE = 3, 0.5
 #: Alignment scores of a match, a mismatch and a gap of one word.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Test items whose n-grams are held at once.
+#: Test items whose pairs are held at once.
 ITEMS = 20_000
+#: Pairs that a task expands at once.
+_PAIRS = 1 << 21
 
 
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes, and the seeds (sorted hash, item, position)."""
+    """A block of test items: ids, word hashes, and their word pairs (hash, item, position, distance), ordered by item."""
 
     ids: list
     words: list[np.ndarray]
     grams: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    gap: np.ndarray
     seeds: np.ndarray
 
+    def __post_init__(self):
+        self.size = np.array([len(w) for w in self.words])
+        self.first = np.searchsorted(self.item, np.arange(len(self.words) + 1))
+
+
+def _pairs(h: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, position and distance of every two words of a row that are one or two words apart."""
+    out = []
+    for gap in (1, 2):
+        at = np.flatnonzero(r[:-gap] == r[gap:])
+        one = h[at]
+        out.append((T.mix((one ^ (one >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[at + gap]), at, np.full(len(at), gap)))
+    grams, at, gap = (np.concatenate(x) for x in zip(*out, strict=True))
+    return grams, at, gap
+
+
+def _needed(size: np.ndarray, score: float) -> np.ndarray:
+    """Least alignment score of a copy."""
+    return np.ceil(MATCH * size * score - 1e-9).astype(np.int64)
+
 
 def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[Items]:
     """The benchmark in blocks of ITEMS items, so that no broadcast grows with it."""
@@ -40,19 +69,17 @@ def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[
         some = [r for _, r in zip(range(ITEMS), rows, strict=False)]
         if not some:
             return
-        words, grams, item, at = [], [], [], []
+        words, pairs, item = [], [], []
         for k, r in enumerate(some):
+            h = np.zeros(0, np.uint64)
             for _, _, data, offsets in T.slices(T.lower(pa.array([r["text"]]))):
                 h, _ = T.word_hashes(data, offsets)
-            n = min(WORDS, len(h))
-            g, a = T.ngrams(h, np.zeros(len(h), int), n) if n else (h, np.zeros(0, int))
             words.append(h)
-            grams.append(g if n == WORDS else g[:0])
-            at.append(a if n == WORDS else a[:0])
-            item.append(np.full(len(grams[-1]), k))
-        g, i, a = np.concatenate(grams), np.concatenate(item), np.concatenate(at)
-        order = np.lexsort((a, i, g))
-        yield Items([r["id"] for r in some], words, g[order], i[order], a[order], np.ones(len(g), bool))
+            h = h if len(h) >= WORDS else h[:0]
+            pairs.append(_pairs(h, np.zeros(len(h), np.int64)))
+            item.append(np.full(len(pairs[-1][0]), k))
+        g, a, d = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        yield Items([r["id"] for r in some], words, g, np.concatenate(item), a, d, np.ones(len(g), bool))
 
 
 def _frequencies(wanted: np.ndarray):
@@ -60,7 +87,7 @@ def _frequencies(wanted: np.ndarray):
         counts = np.zeros(len(wanted), np.int64)
         for batch in batches:
             for _, _, data, offsets in T.slices(T.lower(batch.column(0))):
-                g, _ = T.ngrams(*T.word_hashes(data, offsets), WORDS)
+                g, _, _ = _pairs(*T.word_hashes(data, offsets))
                 where = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
                 counts += np.bincount(where[wanted[where] == g], minlength=len(wanted))
         found = np.flatnonzero(counts)
@@ -69,17 +96,25 @@ def _frequencies(wanted: np.ndarray):
     return run
 
 
-def _choose_seeds(texts: DataFrame, items: Items) -> None:
-    """Mark the rarest n-grams of each item, counted over all texts; equally rare ones go together."""
+def _choose_seeds(texts: DataFrame, items: Items, score: float) -> None:
+    """Mark the pairs at the rarest words of each item, counted over all texts, without which no copy can be.
+
+    A copy shares pairs that start at (s - 2) / 2 words at least (see above), so all but one less of those are enough.
+    """
     wanted = np.unique(items.grams)
     if not len(wanted):
         return
+    least = _needed(items.size[items.size >= WORDS], score)
+    if least.min() < 3:
+        raise ValueError("score is so low that a single word of the shortest item reaches it")
     counts = np.zeros(len(wanted), np.int64)
     for r in texts.mapInArrow(_frequencies(wanted), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["i"]] = r["n"]
-    frame = pd.DataFrame({"item": items.item, "n": counts[np.searchsorted(wanted, items.grams)]})
-    limit = frame.groupby("item")["n"].transform(lambda n: np.sort(n)[max(0, int(np.ceil(len(n) * RARE)) - 1)])
-    items.seeds = (frame["n"] <= limit).to_numpy()
+    frame = pd.DataFrame({"item": items.item, "at": items.at, "n": counts[np.searchsorted(wanted, items.grams)]})
+    starts = frame.groupby(["item", "at"], as_index=False)["n"].sum()
+    size = items.size[starts["item"]]
+    use = starts.groupby("item")["n"].rank(method="first") <= size - (_needed(size, score) - 1) // 2
+    items.seeds = frame.merge(starts.assign(use=use), on=["item", "at"], how="left")["use"].to_numpy(bool)
 
 
 def align(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -106,31 +141,93 @@ def align(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _expand(low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the run and place of every element of the runs low..low + many."""
+    run = np.repeat(np.arange(len(low)), many)
+    return run, low[run] + np.arange(len(run)) - (np.cumsum(many) - many)[run]
+
+
+def _windows(items: Items, score: float, row: np.ndarray, item: np.ndarray, g: np.ndarray, at: np.ndarray, gap: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """(row, item, lane) of the windows that share enough pairs for a copy of the item.
+
+    A copy covers 3 n - s words of text at most, so it lies in two adjacent lanes of that width.
+    """
+    salt = T.mix(np.arange(int(r[-1]) + 1, dtype=np.uint64) + np.uint64(0x51ED27))
+    wanted = np.isin(r[at], row)
+    at, gap = at[wanted], gap[wanted]
+    own = T.mix(g[wanted] ^ salt[r[at]])
+    order = np.argsort(own)
+    own, at, gap = own[order], at[order], gap[order]
+    many = items.first[item + 1] - items.first[item]
+    out = []
+    low = 0
+    total = np.cumsum(many)
+    while low < len(row):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + _PAIRS, "right")))
+        pair, pick = _expand(items.first[item[low:high]], many[low:high])
+        key = T.mix(items.grams[pick] ^ salt[row[low:high][pair]])
+        left = np.searchsorted(own, key, "left")
+        n = np.searchsorted(own, key, "right") - left
+        start, held = 0, np.cumsum(n)
+        cuts = np.flatnonzero(np.diff(pair, prepend=-1))
+        # whole candidates at a time
+        while start < len(pair):
+            stop = np.searchsorted(cuts, np.searchsorted(held, (held[start - 1] if start else 0) + _PAIRS, "right"), "right")
+            stop = max(int(cuts[stop - 1]) if stop < len(cuts) else len(pair), int(np.append(cuts, len(pair))[np.searchsorted(cuts, start, "right")]))
+            of, place = _expand(left[start:stop], n[start:stop])
+            of += start
+            which, where = pair[of] + low, at[place]
+            one = (items.gap[pick[of]] == 1) & (gap[place] == 1)
+            lane = where // (3 * items.size[item[which]] - _needed(items.size[item[which]], score))
+            which, lane, word, one = np.tile(which, 2), np.append(lane, lane - 1), np.tile(items.at[pick[of]], 2), np.tile(one, 2)
+            order = np.lexsort((~one, word, lane, which))
+            which, lane, word, one = which[order], lane[order], word[order], one[order]
+            lanes = (np.diff(which, prepend=-1) != 0) | (np.diff(lane, prepend=-2) != 0)
+            fresh = lanes | (np.diff(word, prepend=-1) != 0)
+            first = np.flatnonzero(lanes)
+            if len(first):
+                weight = np.add.reduceat(np.where(fresh, 1 + one, 0), first)
+                which, lane = which[first], lane[first]
+                enough = weight >= _needed(items.size[item[which]], score) - 2
+                out.append(np.stack([row[which], item[which], lane])[:, enough])
+            start = stop
+        low = high
+    return np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+
+
 def _hits(items: Items, data: np.ndarray, offsets: np.ndarray, score: float) -> list[tuple[int, int, float]]:
     """(row, item, share of the best possible score) of every item that aligns with a row."""
     h, r = T.word_hashes(data, offsets)
-    g, at = T.ngrams(h, r, WORDS)
-    seeds, item, place = items.grams[items.seeds], items.item[items.seeds], items.at[items.seeds]
-    low, high = np.searchsorted(seeds, g, "left"), np.searchsorted(seeds, g, "right")
-    many = high - low
-    at = np.repeat(at, many)
-    if not len(at):
+    g, at, gap = _pairs(h, r)
+    order = np.argsort(items.grams[items.seeds], kind="stable")
+    seeds, item = items.grams[items.seeds][order], items.item[items.seeds][order]
+    low = np.searchsorted(seeds, g, "left")
+    use = np.flatnonzero(seeds[np.minimum(low, len(seeds) - 1)] == g) if len(seeds) else np.zeros(0, np.int64)
+    if not len(use):
+        return []
+    found = []
+    low, many = low[use], np.searchsorted(seeds, g[use], "right") - low[use]
+    for cut in range(0, len(use), 1 << 14):
+        of, pick = _expand(low[cut : cut + (1 << 14)], many[cut : cut + (1 << 14)])
+        found.append(np.unique(r[at[use[cut + of]]] * len(items.words) + item[pick]))
+    found = np.unique(np.concatenate(found))
+    row, item, lane = _windows(items, score, found // len(items.words), found % len(items.words), g, at, gap, r)
+    if not len(row):
         return []
-    pick = np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-    item, shift, row = item[pick], at - place[pick], r[at]
-    size = np.array([len(w) for w in items.words])[item]
-    slack = np.maximum(4, size // 4)
-    # one window for the seeds of an item that lie on about the same diagonal
-    windows = np.unique(np.stack([row, item, shift // slack]), axis=1)
-    row, item, lane = windows
-    size = np.array([len(w) for w in items.words])[item]
-    slack = np.maximum(4, size // 4)
-    first = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(offsets) - 1))])
-    start = np.maximum(lane * slack - slack, first[row])
-    stop = np.minimum(lane * slack + 2 * slack + size, first[row + 1])
-    best = align([items.words[i] for i in item], [h[a:b] for a, b in zip(start, stop, strict=True)])
-    share = best / (MATCH * size)
-    return [(int(row[k]), int(item[k]), float(share[k])) for k in np.flatnonzero(share >= score)]
+    size = items.size[item]
+    width = 3 * size - _needed(size, score)
+    first = np.searchsorted(r, np.arange(len(offsets)))
+    start = np.maximum(lane * width, first[row])
+    stop = np.minimum((lane + 2) * width, first[row + 1])
+    # equal windows of many copies are aligned once
+    known: dict[tuple[int, bytes], int] = {}
+    same = np.array([known.setdefault((i, h[a:b].tobytes()), len(known)) for i, a, b in zip(item, start, stop, strict=True)])
+    one = np.unique(same, return_index=True)[1]
+    one = one[np.argsort(size[one], kind="stable")]
+    best = np.zeros(len(known), np.int64)
+    best[same[one]] = align([items.words[i] for i in item[one]], [h[a:b] for a, b in zip(start[one], stop[one], strict=True)])
+    share = best[same] / (MATCH * size)
+    return [(int(row[k]), int(item[k]), float(share[k])) for k in np.flatnonzero(best[same] >= _needed(size, score))]
 
 
 def _aligned(items: Items, score: float, kind: pa.DataType):
@@ -151,10 +248,11 @@ def _aligned(items: Items, score: float, kind: pa.DataType):
 def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """Pairs doc_id, item_id, score of documents that hold a test item, or an edited copy of one.
 
-    Words are runs of bytes without white space, in lower case. The rarest RARE of an item's WORDS-word n-grams, counted
-    over all documents, are its seeds: seldom n-grams of the item itself, however often it was copied. Around each seed
-    the item is aligned with the text; the score is the best local alignment over that of the item with itself, and
-    pairs of `score` or more are returned, with their best score. Null and empty texts, null items and items shorter
+    Words are runs of bytes without white space, in lower case. The score is the best Smith-Waterman alignment of the item
+    with any part of the text over that of the item with itself; all pairs of `score` or more are returned, with their
+    best score. Pairs of near words at the rarest words of an item, counted over all documents, are its seeds, as many as
+    no such alignment can do without; texts with a seed are aligned where they share enough pairs with the item (see the
+    module), so neither step loses one. Null and empty texts, null items and items shorter
     than WORDS words match nothing; the latter are too short to tell from chance. Repeated rows give repeated pairs.
     Other columns are ignored. The benchmark is read in blocks of ITEMS items, each of which visits the documents twice.
     """
@@ -162,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id
     id_type, item_type = rows.schema[0].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     out = None
     for items in _blocks(benchmark, item_column, "text"):
-        _choose_seeds(rows.select("text"), items)
+        _choose_seeds(rows.select("text"), items, score)
         kind = pa.int64() if item_type in ("bigint", "long") else pa.int32() if item_type == "int" else pa.string()
         found = rows.mapInArrow(_aligned(items, score, kind), f"doc_id {id_type}, item_id {item_type}, score double")
         out = found if out is None else out.union(found)
@@ -173,7 +271,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, score: float = S
     """The rows of docs, all columns as they are, in which no test item is found (see contaminated)."""
     out = docs
     for items in _blocks(benchmark, item_column, "text"):
-        _choose_seeds(docs.select(text_column), items)
+        _choose_seeds(docs.select(text_column), items, score)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

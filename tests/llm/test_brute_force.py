@@ -78,6 +78,44 @@ def test_decontamination(leaks):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in hit)
 
 
+def contaminations(docs, benchmark):
+    """(doc_id, item_id, score) of all pairs whose whole texts align with a share of 0.5 or more."""
+    want = Counter()
+    for d, text in docs:
+        for i, words in enumerate(benchmark):
+            share = smith_waterman(words, text) / (MATCH * len(words))
+            if share >= 0.5:
+                want[d, i, round(share, 9)] += 1
+    return want
+
+
+def test_decontamination_of_heavy_edits(spark):
+    draw = random.Random(21)
+    items = [draw_words(draw, n, 4000) for n in (3, 4, 9, 17, 24, 33, 41, 50, 58, 58)]
+    docs = []
+    for k in range(120):
+        item = list(items[k % 10])
+        if k % 3 == 0:  # every second, third or fourth word
+            item = [draw.choice(["other", "word"]) if j % (2 + k // 3 % 3) == 1 else w for j, w in enumerate(item)]
+        elif k % 3 == 1:
+            item = [w if draw.random() > draw.choice([0.2, 0.27, 0.35]) else f"z{draw.randrange(99)}" for w in item]
+        else:  # words left out, and put in
+            item = [x for w in item for x in ([] if draw.random() < 0.15 else [w, "new"] if draw.random() < 0.4 else [w])]
+        docs.append((k, [*draw_words(draw, draw.randint(0, 60), 4000), *item, *draw_words(draw, draw.randint(0, 60), 4000)]))
+    # one exact copy beside many of one edit, of which few words are left in a row
+    edit = ["other" if j % 3 == 2 else w for j, w in enumerate(items[8])]
+    docs += [(500, items[8]), *((1000 + k, edit) for k in range(3000))]
+    want = contaminations(docs[:121], items)
+    again = contaminations([(1000, edit)], items)
+    assert len(again) == 1 and len(want) > 60
+    want.update({(1000 + k, i, share): 1 for k in range(3000) for _, i, share in again})
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in contaminated(rows, benchmark).collect())
+    assert got == want
+    assert without_contaminated(rows, benchmark).count() == len(docs) - len({d for d, _, _ in want})
+
+
 def test_decontamination_of_nothing(leaks):
     docs, benchmark = leaks
     assert contaminated(docs.limit(0), benchmark).count() == 0
