@@ -205,6 +205,27 @@ def test_vectors(spark):
     assert near_vectors(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0.8, 0.9, 0.97])
+def test_vectors_with_a_common_direction(spark, common):
+    draw = np.random.default_rng(8)
+    base = draw.standard_normal((1500, 64))
+    base *= math.sqrt(1 - common) / np.linalg.norm(base, axis=1, keepdims=True)
+    base[:, 0] += math.sqrt(common)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = draw.standard_normal((500, 64))
+    away -= (away * base[:500]).sum(axis=1, keepdims=True) * base[:500]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.9802 * base[:500] + math.sqrt(1 - 0.9802**2) * away])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    rows = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = np.zeros(len(x), int)
+    for r in near_vectors(rows).collect():
+        got[r["vec_id"]] = r["n_links"]
+    assert (got <= want).all() and want.sum() >= 1000
+    assert got.sum() >= 0.9 * want.sum()
+
+
 def test_tokens_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
