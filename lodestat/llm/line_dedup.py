@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from lodestat.llm import text as T
+from lodestat.llm.identity import AGAIN, CONTENT, ID, content, mark_copies, named, same
 from lodestat.llm.links import compare_in_groups, components, least_index
 from lodestat.llm.ngram_join import similar_sets
 from lodestat.llm.scratch import Scratch
@@ -80,23 +81,26 @@ def _ids(column: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line with a word: its place and the name of its set; and word counts in blocks at the end."""
     counts = np.zeros(COUNTERS, np.uint16)
-    names, types = ["doc_id", "line", "place", "key", "block", "at", "n"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    names = ["doc_id", "content", "line", "place", "key", "block", "at", "n"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
     for batch in batches:
         for low, high, data, offsets in T.slices(T.lower(batch.column(1)), _SLICE):
             lines = Lines(data, offsets)
             slot, n = np.unique(_slot(lines.words), return_counts=True)
             counts[slot] = np.minimum(counts[slot].astype(np.int64) + n, 60000)
             ids = batch.column(0).slice(low, high - low)
-            place = np.concatenate([_ids(ids, lines.row), lines.number.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
-            rest = [pa.nulls(len(lines.has), t) for t in types[4:]]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.row)), pa.array(lines.number, pa.int32()), _binary(place), _binary(lines.keys()), *rest], names)
+            texts = batch.column(2).slice(low, high - low)
+            text = texts.to_numpy()[lines.row].astype(">i8").view(np.uint8).reshape(-1, 8)
+            place = np.concatenate([_ids(ids, lines.row), lines.number.astype(">u4").view(np.uint8).reshape(-1, 4), text], axis=1)
+            rest = [pa.nulls(len(lines.has), t) for t in types[5:]]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.row)), texts.take(pa.array(lines.row)), pa.array(lines.number, pa.int32()), _binary(place), _binary(lines.keys()), *rest], names)
     found = np.flatnonzero(counts)
     cuts = np.searchsorted(found, np.arange(0, COUNTERS + 1, _BLOCK))
     some = np.flatnonzero(np.diff(cuts))
     lists = pa.array(np.append(cuts[some], len(found)), pa.int32())
     at = pa.ListArray.from_arrays(lists, pa.array((found % _BLOCK).astype(np.int32)))
     n = pa.ListArray.from_arrays(lists, pa.array(counts[found].astype(np.int32)))
-    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in types[:4]), pa.array(some, pa.int32()), at, n], names)
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in types[:5]), pa.array(some, pa.int32()), at, n], names)
 
 
 def _slot(words: np.ndarray) -> np.ndarray:
@@ -268,40 +272,42 @@ def _filter_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _cut(column: int):
-    """Texts without the lines whose numbers are in the last column."""
+    """Texts without the lines whose numbers are in the last column but one, or without all words if the last is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone, out = batch.column(column), batch.column(batch.num_columns - 1), []
-            for text, numbers in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+            texts, gone, again, out, removed = *(batch.column(k) for k in (column, -2, -1)), [], []
+            for text, numbers, repeat in zip(texts.to_pylist(), gone.to_pylist(), again.to_pylist(), strict=True):
+                if repeat and text:
+                    numbers = [k for k, x in enumerate(text.split("\n")) if x.strip(" \t\r\v\f")]
+                removed.append(len(numbers or ()))
                 if numbers:
                     drop = set(numbers)
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
                 out.append(text)
             columns = [pa.array(out, pa.string()) if k == column else c for k, c in enumerate(batch.columns)]
-            removed = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([*columns[:-1], removed], [*batch.schema.names[:-1], "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(removed, pa.int32())], [*batch.schema.names[:-2], "n_removed"])
 
     return run
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, line) of every line that an earlier line of the corpus resembles; lines count from 0.
+    """(doc_id, content, line) of every line that an earlier line of the corpus resembles; lines count from 0.
 
     A line is the set of its words (runs of bytes without white space, in lower case); blank lines have none and never
-    repeat. Earlier is by (doc_id, line), null ids first. Lines of one place, in rows that share a doc_id, do not remove
-    each other. Words are ordered by rarity, counted over all lines in COUNTERS hashed counters (any common order is
+    repeat. Earlier is by (doc_id, line, content), null ids first; content is a hash of the text, which tells rows apart
+    that share an id. Rows equal in both count as one here. Words are ordered by rarity, counted over all lines in COUNTERS hashed counters (any common order is
     exact), then by hash.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     spark = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    places = scratch.store(rows.mapInArrow(_places, "doc_id long, line int, place binary, key binary, block int, at array<int>, n array<int>"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), content(text_column).alias("content"))
+    places = scratch.store(rows.mapInArrow(_places, "doc_id long, content long, line int, place binary, key binary, block int, at array<int>, n array<int>"))
     counts = np.zeros(COUNTERS, np.uint8)
     blocks = places.where("block is not null").select("block", "at", "n").groupBy("block").applyInArrow(_added, "block int, counts binary")
     for r in blocks.toLocalIterator():
         counts[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.uint8)
-    lines = places.where("key is not null").select("doc_id", "line", "place", "key")
+    lines = places.where("key is not null").select("doc_id", "content", "line", "place", "key")
 
     buckets = max(1, lines.count() // 50_000)
     packed = rows.select("text").mapInArrow(_prefixes(spark.broadcast(counts), similarity, buckets), f"bucket int, word array<long>, key array<long>, {', '.join(f'{b} array<long>' for b in _BITS)}, shape array<long>")
@@ -321,7 +327,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: s
     earlier = earlier.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("earlier"))
     first = classes.join(earlier, "key", "left").where("n > 1 or earlier is not null")
     first = scratch.store(first.select("key", F.coalesce("earlier", "place").alias("first")))
-    out = lines.join(first, "key").where("place > first").select("doc_id", "line")
+    out = lines.join(first, "key").where("place > first").select("doc_id", "content", "line")
     scratch.drop(near, sets)
     return out
 
@@ -329,10 +335,15 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: s
 def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are but the text, which loses its repeated lines (see repeated_lines); and n_removed.
 
-    Rows that share a doc_id are versions of one document: a line number that goes, goes in all of them. Null and empty
-    texts stay as they are.
+    Each row is a document of its own, also where ids are null or repeat; of rows equal in id and text one stays whole.
+    Null and empty texts stay as they are.
     """
-    gone = repeated_lines(docs, similarity, id_column, text_column).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line").alias("_gone"))
-    joined = docs.join(gone, F.col(id_column).cast("long").eqNullSafe(F.col("_gone_id")), "left").select(*docs.columns, "_gone")
+    scratch = Scratch(docs.sparkSession)
+    gone = repeated_lines(docs, similarity, id_column, text_column, scratch)
+    gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("content").alias("_gone_content")).agg(F.collect_set("line").alias("_gone"))
+    rows = named(docs, id_column, text_column)
+    copies = scratch.store(rows.where(F.length(text_column) > 0).groupBy(ID, CONTENT).agg(F.count("*").alias("n")).where("n > 1"))
+    rows = mark_copies(rows, copies, scratch)
+    joined = rows.join(gone, same("_gone_id", "_gone_content"), "left").select(*docs.columns, "_gone", AGAIN)
     schema = T_.StructType([*docs.schema.fields, T_.StructField("n_removed", T_.IntegerType())])
     return joined.mapInArrow(_cut(docs.columns.index(text_column)), schema)

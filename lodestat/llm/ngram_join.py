@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.llm import text as T
+from lodestat.llm.identity import AGAIN, CONTENT, ID, content, mark_copies, named, same
 from lodestat.llm.links import compare_in_groups, components, overlaps, resolve
 from lodestat.llm.scratch import Scratch
 
@@ -76,7 +77,7 @@ def _signed(words: int, depth: int):
                 keys.append(key)
                 if len(seen) < 1_000_000:  # only to save work on copies
                     seen.add(key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "key", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "content", "key", "labels"])
 
     return run
 
@@ -168,29 +169,35 @@ def jaccard_groups(
     in the classes. `matched_depth` shortens the prefix until the target recall. Candidates form groups, inside which all
     classes are compared exactly, in blocks.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
+    keyed, known, least = _linked(docs, words, similarity, id_column, text_column, scratch or Scratch(docs.sparkSession))
+    known = known.join(least, "root").select("key", "n_links", F.col("first.doc_id").alias("component_id"))
+    out = keyed.select("doc_id", "key").join(known, "key", "left")
+    alone = F.col("key").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _linked(docs: DataFrame, words: int, similarity: float, id_column: str, text_column: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Key of every row, root and links of every key, and first row (known ids before null ones) of every root."""
     depth = matched_depth(similarity)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    keyed = scratch.store(rows.mapInArrow(_signed(words, depth), "doc_id long, key binary, labels binary"))
-    classes = keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("labels").alias("labels"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), content(text_column).alias("content"))
+    keyed = scratch.store(rows.mapInArrow(_signed(words, depth), "doc_id long, content long, key binary, labels binary"))
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "content")
+    classes = keyed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min(first).alias("first"), F.max("labels").alias("labels"))
     classes = scratch.store(classes)
 
     candidates = scratch.store(_candidates(classes, depth, scratch))
     groups = components(candidates, scratch).withColumnsRenamed({"node": "key", "root": "grp"})
-    wanted = classes.join(groups, "key").select("grp", "key", "n", "first")
-    sets = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("grp", "key", "n", "text")
+    wanted = classes.join(groups, "key").select("grp", "key", "n", F.col("first.doc_id").alias("first_id"), F.col("first.content").alias("first_content"))
+    sets = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("content") == F.col("first_content"))).select("grp", "key", "n", "text")
     sets = scratch.store(sets.mapInArrow(_sets(words), "grp binary, key binary, n long, values array<long>"))
     found = resolve(compare_in_groups(sets, similar_sets(similarity), scratch), scratch)
     scratch.drop(sets, candidates)
 
     known = classes.select("key", "n", "first").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = scratch.store(known.select("key", "root", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    least = scratch.store(known.groupBy("root").agg(F.min("first").alias("component_id")))
-    known = scratch.store(known.join(least, "root").select("key", "n_links", "component_id"))
-    out = keyed.select("doc_id", "key").join(known, "key", "left")
-    alone = F.col("key").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    least = scratch.store(known.groupBy("root").agg(F.min("first").alias("first")))
+    return keyed, known.drop("first"), least
 
 
 def _candidates(classes: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
@@ -208,10 +215,16 @@ def _candidates(classes: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, without those that are not kept (see jaccard_groups).
+    """One row of docs, all columns as they are, of each component of similar rows (see jaccard_groups).
 
-    Rows of one id are one document: they stay if one of them is kept.
+    Each row is a document of its own, also where ids are null or repeat: the row with the least id stays, null ids last,
+    and of those the one with the least hash of its text. Texts without a word resemble nothing, so all of them stay.
     """
-    groups = jaccard_groups(docs, words, similarity, id_column, text_column)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    scratch = Scratch(docs.sparkSession)
+    keyed, _, least = _linked(docs, words, similarity, id_column, text_column, scratch)
+    kept = least.select(F.col("first.doc_id").alias("_kept_id"), F.col("first.content").alias("_kept_content"))
+    copies = keyed.where("key is not null").groupBy(F.col("doc_id").alias(ID), F.col("content").alias(CONTENT)).agg(F.count("*").alias("n")).where("n > 1")
+    copies = scratch.store(copies.join(kept, same("_kept_id", "_kept_content"), "left_semi"))
+    blank = keyed.where("key is null").select(F.col("doc_id").alias("_kept_id"), F.col("content").alias("_kept_content")).distinct()
+    rows = named(docs, id_column, text_column).join(kept.union(blank), same("_kept_id", "_kept_content"), "left_semi")
+    return mark_copies(rows, copies, scratch).where(f"not {AGAIN}").select(*docs.columns)

@@ -9,7 +9,7 @@ import pytest
 
 from lodestat.llm.line_dedup import without_repeated_lines
 from lodestat.llm.links import components
-from lodestat.llm.ngram_join import jaccard_groups
+from lodestat.llm.ngram_join import jaccard_groups, keep_one
 from lodestat.llm.packing import BestFit
 from lodestat.llm.scratch import Scratch
 from lodestat.llm.sharding import shard_documents
@@ -47,6 +47,26 @@ def test_lines(docs):
     assert rows[2] == "" and rows[1].startswith("one") and rows[3] is None
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids, and rows that repeat in full, change neither what goes nor what stays."""
+    text = "a b c d e f g h"
+    rows = [(None, "a b c d e\nfoo"), (None, "unique one\na b c d e"), (5, "left right up down\nbar"), (5, "left right up down\nbaz")]
+    rows += [(7, "six seven eight\n\nnine"), (7, "six seven eight\n\nnine"), (7, "six seven eight\n\nnine"), (None, "ten\nten"), (None, "ten\nten"), (8, None), (8, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in without_repeated_lines(docs).collect()), key=str)
+    want = [(None, "a b c d e\nfoo", 0), (None, "unique one", 1), (7, "six seven eight\n\nnine", 0), (7, "", 2), (7, "", 2), (None, "ten", 1), (None, "", 2), (8, None, 0), (8, None, 0), (8, "", 0), (8, "", 0)]
+    fives = [r for r in got if r[0] == 5]
+    assert sorted((r for r in got if r[0] != 5), key=str) == sorted(want, key=str)
+    assert sorted(n for _, _, n in fives) == [0, 1] and {t.split("\n")[-1] for _, t, _ in fives} == {"bar", "baz"}
+
+    rows = [(3, text, k) for k in range(1000)] + [(None, "p q r s t u v w x y z", 1), (None, "p q r s t u v w x y z", 2), (None, "P q r s t u v w x y  z", 3)]
+    rows += [(4, "other words in this one here", 0), (4, "still others than in that one", 0), (2, text.upper(), 9), (None, " ", 0), (None, None, 0), (None, None, 0)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in kept.collect()), key=str)
+    want = [(2, text.split()), (4, rows[-6][1].split()), (4, rows[-5][1].split()), (None, "p q r s t u v w x y z".split()), (None, []), (None, []), (None, [])]
+    assert got == sorted(want, key=str) and kept.columns == ["doc_id", "text", "n"]
+
+
 def test_shards(docs):
     rows = shard_documents(docs, shards=2).collect()
     assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in (0, 1) for k in range(3)]
