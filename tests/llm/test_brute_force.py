@@ -116,6 +116,21 @@ def test_decontamination_of_heavy_edits(spark):
     assert without_contaminated(rows, benchmark).count() == len(docs) - len({d for d, _, _ in want})
 
 
+def test_decontamination_of_long_insertions(spark):
+    draw = random.Random(31)
+    items = [draw_words(draw, n, 4000) for n in (18, 30, 42, 57)]
+    docs = []
+    for k in range(40):
+        item, third = items[k % 4], len(items[k % 4]) // 3
+        gaps = [[f"z{draw.randrange(999)}" for _ in range(int(len(item) * draw.choice([0.3, 0.4, 0.45])))] for _ in range(2)]
+        docs.append((k, [*draw_words(draw, 30, 4000), *item[:third], *gaps[0], *item[third : 2 * third], *gaps[1], *item[2 * third :], *draw_words(draw, 30, 4000)]))
+    want = contaminations(docs, items)
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in contaminated(rows, benchmark).collect())
+    assert got == want and len(want) >= 40
+
+
 def test_decontamination_of_nothing(leaks):
     docs, benchmark = leaks
     assert contaminated(docs.limit(0), benchmark).count() == 0
