@@ -114,5 +114,107 @@ from v join (select x.r, min(y.vec_id) as component_id from reach x join v y on
 """
 
 
+CRC32_ID = (
+    CRC32
+    + """
+, crc_id as (
+    select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(doc_id::varchar) + 1), lambda i: ascii((doc_id::varchar)[i::bigint])::bigint)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as h
+    from documents, crc
+)
+"""
+)
+
+
+OP11 = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+windows as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as x from d, lateral (select unnest(range(1, len(w) - 18)) as i) where len(w) >= 20),
+later as (select doc_id, i from windows qualify row_number() over (partition by x order by doc_id, i) > 1),
+gone as (select distinct doc_id, i + k as i from later, range(20) as r(k)),
+lists as (select doc_id, list(i) as l from gone group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(len(l), 0)::bigint as n_removed,
+    sha256(coalesce(array_to_string(case when l is null then w else (select list(w[k] order by k) from range(1, len(w) + 1) as r(k) where not list_contains(l, k)) end, ' '), '')) as kept_sha256
+from d left join lists using (doc_id)
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::varchar) || ':' || ({value})::varchar, '-')"
+
+
+_PLAIN = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_FORGED = " || ".join(_field("n_chars + 1" if c == "n_chars" else c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Recursive levels of the trees over `leaves` (tree, i, n, d), and the path of each leaf (tree, i, path, top)."""
+    return f"""
+, {name} as (
+    select tree, 0 as level, i, n, d from {leaves}
+    union all
+    select tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' order by i)) from {name} where n > 1 group by tree, level, i // 2, n
+), {name}_path as (
+    select l.tree, l.i, list(case when s.d is null then '' when s.i & 1 = 1 then 'R' || s.d else 'L' || s.d end order by p.level) filter (p.n > 1) as path,
+        max(p.d) filter (p.n = 1) as top
+    from {leaves} l join {name} p on p.tree is not distinct from l.tree and p.i = l.i >> p.level
+    left join {name} s on s.tree is not distinct from p.tree and s.level = p.level and s.i = xor(p.i, 1) and p.n > 1
+    group by l.tree, l.i
+)
+"""
+
+
+OP12 = (
+    CRC32_ID
+    + f"""
+, leaf as (
+    select lang as tree, row_number() over (partition by lang order by doc_id) - 1 as i, count(*) over (partition by lang) as n,
+        sha256({_PLAIN}) as d, sha256({_FORGED}) as forged, n_chars, doc_id from documents
+)"""
+    + _tree("low", "leaf")
+    + """
+, sub as (select null::varchar as tree, row_number() over (order by tree nulls first) - 1 as i, count(*) over () as n, d, tree as name from low where n = 1)
+"""
+    + _tree("high", "sub")
+    + """
+, joined as (
+    select doc_id, leaf.d as leaf, low_path.top as subroot, high_path.top as root, list_concat(coalesce(low_path.path, []), coalesce(high_path.path, [])) as path,
+        case when h % 7 = 0 and n_chars is not null then forged else leaf.d end as start
+    from leaf join crc_id using (doc_id) join low_path on low_path.tree is not distinct from leaf.tree and low_path.i = leaf.i
+    join sub on sub.name is not distinct from leaf.tree join high_path on high_path.i = sub.i
+), told as (
+    select *, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) as proof_sha256,
+        list_reduce(list_prepend(start, path), lambda a, s: sha256(case when s[1] = 'L' then substr(s, 2) || a when s[1] = 'R' then a || substr(s, 2) else a end)) as folded_root
+    from joined
+)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from told
+"""
+)
+
+
+OP13 = (
+    CRC32_ID
+    + """
+, plain as (select doc_id, h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents join crc_id using (doc_id)),
+sized as (select *, len(w) as n, h // 10 as g from plain),
+cut as (select *, g % greatest(n, 1) as a from sized),
+d as (
+    select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[(a + (i - a) % (1 + (n - a) // (3 + g % 8))) + 1] end) else w end as w
+    from cut
+), word as (select doc_id, n, unnest(range(0, n)) as i, unnest(w) as x from d),
+same as (select a.doc_id, a.i, b.i - a.i as q from word a join word b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i and 3 * (b.i - a.i) <= a.n),
+island as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as part from same),
+stretch as (select doc_id, q, min(i) as start, count(*) + q as length from island group by doc_id, q, part having count(*) + q >= greatest(24, 3 * q)),
+run as (select doc_id, start, length, min(q) as period from stretch group by doc_id, start, length),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from run),
+best as (select * from run qualify row_number() over (partition by doc_id order by length / period desc, start, period) = 1),
+told as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from run group by 1),
+kept as (select doc_id, string_agg(x, ' ' order by i) as text from word anti join gone using (doc_id, i) group by 1)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli,
+    sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join best using (doc_id) left join told using (doc_id) left join kept using (doc_id)
+"""
+)
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": OP1, "op4_ngram_join": OP4, "op5_embedding_dedup": OP5, "op7_line_dedup": OP7, "op10_sharding": OP10}
+    return {"op1_lm_scoring": OP1, "op4_ngram_join": OP4, "op5_embedding_dedup": OP5, "op7_line_dedup": OP7, "op10_sharding": OP10, "op11_substring_dedup": OP11, "op12_merkle_manifest": OP12, "op13_periodic_runs": OP13}

@@ -111,6 +111,23 @@ def ngrams(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np
     return mix(total[at]), at
 
 
+def joined_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> pa.Array:
+    """The kept words of each row, joined by one space; every row must end with white space."""
+    rows = len(offsets) - 1
+    mark = np.zeros(len(data) + 1, np.int64)
+    mark[starts[kept]] += 1
+    mark[ends[kept] + 1] -= 1
+    use = np.cumsum(mark[:-1]) > 0
+    spaced = data.copy()
+    spaced[ends] = 32
+    at = np.flatnonzero(use)
+    bounds = np.searchsorted(at, offsets)
+    full = np.diff(bounds) > 0
+    out = np.delete(spaced[at], bounds[1:][full] - 1)  # no space behind the last word
+    bounds = np.append(0, np.cumsum(np.diff(bounds) - full))
+    return pa.StringArray.from_buffers(rows, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes()))
+
+
 def lower(texts: pa.Array) -> pa.Array:
     """Lower case, null as the empty text."""
     return pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))
