@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestat.llm.scratch import Scratch
 
-#: Children of a node, as a power of two, and leaves of one builder likewise.
+#: Leaves of one builder, as a power of two.
 BUILDER = 10
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _PART = 33  # bits of the row number inside a partition in monotonically_increasing_id
@@ -69,39 +69,46 @@ def append_log(leaves: list[str], height: int) -> list[str]:
     return log
 
 
-def _built_height(total: int) -> int:
+def _built_height(total: int, bits: int) -> int:
     """Levels that a builder adds: to the root where it holds the whole tree, else as many as all aligned builders."""
-    return height_of(total) if total <= 1 << BUILDER else BUILDER
+    return height_of(total) if total <= 1 << bits else bits
 
 
 _LOG = "tree string, block long, total long, leaves int, log array<string>"
 
 
-def _build(table: pa.Table) -> pa.Table:
-    table = table.sort_by("place")
-    total = table["total"][0].as_py()
-    log = append_log(table["digest"].to_pylist(), _built_height(total))
-    row = {"tree": [table["tree"][0].as_py()], "block": [table["place"][0].as_py() >> BUILDER], "total": [total], "leaves": [table.num_rows], "log": [log]}
-    types = {"tree": pa.string(), "block": pa.int64(), "total": pa.int64(), "leaves": pa.int32(), "log": pa.list_(pa.string())}
-    return pa.table({c: pa.array(v, types[c]) for c, v in row.items()})
+def _build(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        total = table["total"][0].as_py()
+        log = append_log(table["digest"].to_pylist(), _built_height(total, bits))
+        row = {"tree": [table["tree"][0].as_py()], "block": [table["place"][0].as_py() >> bits], "total": [total], "leaves": [table.num_rows], "log": [log]}
+        types = {"tree": pa.string(), "block": pa.int64(), "total": pa.int64(), "leaves": pa.int32(), "log": pa.list_(pa.string())}
+        return pa.table({c: pa.array(v, types[c]) for c, v in row.items()})
 
+    return run
 
-def _paths(nodes: pa.Table, logs: pa.Table) -> pa.Table:
+
+def _paths(bits: int):
     """The siblings of each node: those inside the builder, found in its log, then those above it."""
-    log, leaves = logs["log"][0].as_py(), logs["leaves"][0].as_py()
-    above = logs["path"][0].as_py()
-    height = _built_height(logs["total"][0].as_py())
-    inside: dict[tuple[int, int], str] = {}
-    for level in range(height):
-        many = (leaves + (1 << level) - 1) >> level
-        for index in range(many):
-            other = index ^ 1
-            inside[level, index] = "RL"[index & 1] + log[position(level, other, leaves)] if other < many else ""
-    out = []
-    for place in nodes["place"].to_pylist():
-        own = place & ((1 << BUILDER) - 1)
-        out.append([inside[level, own >> level] for level in range(height)] + above)
-    return nodes.drop_columns(["block"]).append_column("path", pa.array(out, pa.list_(pa.string())))
+
+    def run(nodes: pa.Table, logs: pa.Table) -> pa.Table:
+        log, leaves = logs["log"][0].as_py(), logs["leaves"][0].as_py()
+        above = logs["path"][0].as_py()
+        height = _built_height(logs["total"][0].as_py(), bits)
+        inside: dict[tuple[int, int], str] = {}
+        for level in range(height):
+            many = (leaves + (1 << level) - 1) >> level
+            for index in range(many):
+                other = index ^ 1
+                inside[level, index] = "RL"[index & 1] + log[position(level, other, leaves)] if other < many else ""
+        out = []
+        for place in nodes["place"].to_pylist():
+            own = place & ((1 << bits) - 1)
+            out.append([inside[level, own >> level] for level in range(height)] + above)
+        return nodes.drop_columns(["block"]).append_column("path", pa.array(out, pa.list_(pa.string())))
+
+    return run
 
 
 def _numbered(leaves: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
@@ -122,48 +129,48 @@ def _numbered(leaves: DataFrame, order: list[str], scratch: Scratch) -> DataFram
     return scratch.store(out.withColumn("place", F.col("at") + F.col("move")).drop("at", "move", "part"))
 
 
-def _grow(leaves: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+def _grow(leaves: DataFrame, bits: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
     """Rounds of nodes (tree, place, total, digest), the leaves first, and the logs that builders wrote over each of them."""
     most = leaves.agg(F.max("total").alias("n")).first()["n"] or 0
     nodes, logs = [leaves], []
     while True:
-        block = F.shiftright("place", BUILDER).alias("block")
-        work = nodes[-1].select("tree", "place", "total", "digest").groupBy("tree", block).applyInArrow(_build, _LOG)
+        block = F.shiftright("place", bits).alias("block")
+        work = nodes[-1].select("tree", "place", "total", "digest").groupBy("tree", block).applyInArrow(_build(bits), _LOG)
         logs.append(scratch.store(work))
-        most = -(-most >> BUILDER)
+        most = -(-most >> bits)
         if most <= 1:
             return nodes, logs
-        more = logs[-1].where(F.col("total") > (1 << BUILDER))
-        total = F.shiftright(F.col("total") + ((1 << BUILDER) - 1), BUILDER)
+        more = logs[-1].where(F.col("total") > (1 << bits))
+        total = F.shiftright(F.col("total") + ((1 << bits) - 1), bits)
         nodes.append(more.select("tree", F.col("block").alias("place"), total.alias("total"), F.element_at("log", -1).alias("digest")))
 
 
-def _roots(logs: list[DataFrame]) -> DataFrame:
+def _roots(logs: list[DataFrame], bits: int) -> DataFrame:
     """(tree, digest): the last node of the log of the builder that holds the rest of the tree."""
-    done = [log.where(F.col("total") <= (1 << BUILDER)).select("tree", F.element_at("log", -1).alias("digest")) for log in logs]
+    done = [log.where(F.col("total") <= (1 << bits)).select("tree", F.element_at("log", -1).alias("digest")) for log in logs]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _with_paths(nodes: list[DataFrame], logs: list[DataFrame], above: DataFrame, scratch: Scratch) -> DataFrame:
+def _with_paths(nodes: list[DataFrame], logs: list[DataFrame], above: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     """The leaves with path; `above` (tree, path) is what lies over the roots. From the top round down."""
     upper = None
     for node, log in zip(reversed(nodes), reversed(logs), strict=True):
-        done = log.where(F.col("total") <= (1 << BUILDER)).join(above, "tree")
+        done = log.where(F.col("total") <= (1 << bits)).join(above, "tree")
         if upper is not None:
-            open_ = log.where(F.col("total") > (1 << BUILDER)).join(upper.select("tree", F.col("place").alias("block"), "path"), ["tree", "block"])
+            open_ = log.where(F.col("total") > (1 << bits)).join(upper.select("tree", F.col("place").alias("block"), "path"), ["tree", "block"])
             done = done.unionByName(open_)
-        work = node.withColumn("block", F.shiftright("place", BUILDER))
+        work = node.withColumn("block", F.shiftright("place", bits))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in node.schema) + ", path array<string>"
-        found = work.groupBy("tree", "block").cogroup(done.groupBy("tree", "block")).applyInArrow(_paths, schema)
+        found = work.groupBy("tree", "block").cogroup(done.groupBy("tree", "block")).applyInArrow(_paths(bits), schema)
         upper = scratch.store(found) if node is not nodes[0] else found
     return upper
 
 
 def merkle_manifest(
-    docs: DataFrame, fields: tuple[str, ...] = FIELDS, tree_column: str = "lang", order_column: str = "doc_id", also: Mapping[str, Column] | None = None
+    docs: DataFrame, fields: tuple[str, ...] = FIELDS, tree_column: str = "lang", order_column: str = "doc_id", also: Mapping[str, Column] | None = None, builder_bits: int = BUILDER
 ) -> DataFrame:
     """Leaf, roots and proof of every row.
 
@@ -177,7 +184,7 @@ def merkle_manifest(
     read it. `also` adds columns computed from the row. Nulls may stand in any field; a null tree value is a tree of its
     own; the text may be empty or very long and is never shuffled; other columns are ignored. No row: no row.
 
-    Builders take 2 ** BUILDER neighbouring leaves each, aligned, and write their nodes in the order in which they are
+    Builders take 2 ** builder_bits neighbouring leaves each, aligned, and write their nodes in the order in which they are
     complete; their roots are the leaves of the next round. As runs are aligned, a node's place in such a log has a closed
     form (`position`), by which proofs fetch the siblings, from the top round down. A tree that holds most rows is just
     more builders.
@@ -187,16 +194,16 @@ def merkle_manifest(
     extra = [c.alias(f"also_{k}") for k, c in enumerate((also or {}).values())]
     leaves = docs.select(tree.alias("tree"), F.col(order_column).alias("rank"), leaf_hash(*map(F.col, fields)).alias("digest"), F.monotonically_increasing_id().alias("tie"), *extra)
     leaves = _numbered(scratch.store(leaves), ["rank", "digest", "tie"], scratch).drop("tie")
-    nodes, logs = _grow(leaves, scratch)
-    subroots = scratch.store(_roots(logs))
+    nodes, logs = _grow(leaves, builder_bits, scratch)
+    subroots = scratch.store(_roots(logs, builder_bits))
     top = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     top = _numbered(scratch.store(top), ["name"], scratch)
-    top_nodes, top_logs = _grow(top, scratch)
-    root = _roots(top_logs).select(F.col("tree").alias("_top"), F.col("digest").alias("root"))
+    top_nodes, top_logs = _grow(top, builder_bits, scratch)
+    root = _roots(top_logs, builder_bits).select(F.col("tree").alias("_top"), F.col("digest").alias("root"))
     nothing = F.array().cast("array<string>")
-    top_paths = _with_paths(top_nodes, top_logs, scratch.store(_roots(top_logs)).select("tree", nothing.alias("path")), scratch)
+    top_paths = _with_paths(top_nodes, top_logs, scratch.store(_roots(top_logs, builder_bits)).select("tree", nothing.alias("path")), builder_bits, scratch)
     top_paths = scratch.store(top_paths.join(root, F.col("tree") == F.col("_top")).select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "root", "path"))
-    found = _with_paths(nodes, logs, top_paths.select("tree", "path"), scratch)
+    found = _with_paths(nodes, logs, top_paths.select("tree", "path"), builder_bits, scratch)
     found = found.join(top_paths.drop("path"), "tree")
     named = [F.col(f"also_{k}").alias(name) for k, name in enumerate(also or {})]
     return found.select(F.col("rank").alias(order_column), F.col("digest").alias("leaf"), "subroot", "root", "path", *named)

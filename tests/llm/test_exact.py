@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestat.llm import merkle_manifest as merkle
 from lodestat.llm.merkle_manifest import append_log, folded, height_of, leaf_hash, merkle_manifest, path_hash, position
 from lodestat.llm.periodic_runs import CommonExtension, find_runs, periodic_runs
 from lodestat.llm.phrase_dedup import without_recurring
@@ -110,14 +109,13 @@ def test_positions():
 
 
 @pytest.mark.parametrize(("bits", "rows"), [(2, 150), (10, 150), (1, 9), (10, 1), (10, 0)])
-def test_manifest(spark, monkeypatch, bits, rows):
-    monkeypatch.setattr(merkle, "BUILDER", bits)
+def test_manifest(spark, bits, rows):
     draw = random.Random(rows)
     table = [(draw.choice([None, *range(100)]), draw.choice(["s", None, ""]), draw.choice(["en", "en", "é", "z", None]), draw.choice([5, None]), draw.choice(["", None, "täxt", "x" * 70000])) for _ in range(rows)]
     table += table[:3]
     columns = "doc_id long, source string, lang string, n_chars long, text string"
     docs = spark.createDataFrame(table, columns).withColumn("leaf", F.lit(1)).withColumn("place", F.lit(2)).repartition(6)
-    found = merkle_manifest(docs, also={"start": leaf_hash(F.lit("forged"))})
+    found = merkle_manifest(docs, also={"start": leaf_hash(F.lit("forged"))}, builder_bits=bits)
     found = found.withColumn("back", folded(F.col("leaf"), F.col("path"))).withColumn("bad", folded(F.col("start"), F.col("path"))).withColumn("proof", path_hash(F.col("path")))
     got = sorted((r["leaf"], r["subroot"], r["root"], tuple(r["path"])) for r in found.collect())
     assert all(r["back"] == r["root"] and r["bad"] != r["root"] for r in found.collect())
