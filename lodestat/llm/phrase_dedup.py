@@ -18,8 +18,8 @@ from lodestat.llm.scratch import Scratch
 
 #: Words of a window, and of the anchors by which equal windows meet.
 WORDS, ANCHOR = 20, 8
-#: Text of one shard.
-SHARD_BYTES = 8 << 20
+#: Windows of one phrase at most; text of one shard.
+LONGEST, SHARD_BYTES = 256, 2 << 20
 
 
 def _windows(hashes: np.ndarray, rows: np.ndarray, words: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -117,20 +117,21 @@ def phrase_automaton(phrases: set[tuple[int, ...]]) -> ahocorasick.Automaton:
     return found
 
 
-def _bit_runs(mask: int) -> list[tuple[int, int]]:
-    """First and last place of each run of set bits."""
-    out, k = [], 0
-    while mask >> k:
-        if mask >> k & 1:
-            low = k
-            while mask >> k + 1 & 1:
-                k += 1
-            out.append((low, k))
-        k += 1
-    return out
+def _phrases(at: np.ndarray, hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of the phrases that cover the given windows (sorted first words).
+
+    A phrase is a stretch of consecutive windows, cut before a word whose hash ends in zeros, so that the same passage is
+    cut alike wherever it stands, and after LONGEST windows.
+    """
+    fresh = (np.diff(at, prepend=-2) != 1) | (hashes[at] % np.uint64(64) == 0)
+    begin = np.flatnonzero(fresh)
+    fresh |= (np.arange(len(at)) - begin[np.cumsum(fresh) - 1]) % LONGEST == 0
+    begin = np.flatnonzero(fresh)
+    return at[begin], at[np.append(begin[1:], len(at)) - 1] + words
 
 
 _KEPT = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string"
+_MATCH = np.dtype([("end", np.int64), ("size", np.int64)])
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -186,21 +187,17 @@ def _removed(words: int):
                     stream = np.zeros(len(starts) + high - low, np.int64)  # 0 separates documents
                     stream[np.arange(len(starts)) + rows] = numbers + 1
                     at = begin[a:b] + first[owner[a:b] - low]
+                    bit = np.arange(words)
+                    recurring, mine = (np.sort((at[:, None] + bit)[(bits[a:b, None] >> bit & 1) > 0]) for bits in (mask, own))
                     symbols = (numbers + 1).tolist()
-                    phrases = set()
-                    for s, bits in zip(at.tolist(), mask[a:b].tolist(), strict=True):
-                        for x, y in _bit_runs(bits):
-                            phrases.add(tuple(symbols[s + x : s + y + words]))
-                    found = phrase_automaton(phrases).iter(tuple(stream.tolist()))
-                    end, size = np.array(list(found), np.int64).reshape(-1, 2).T
+                    phrases = {tuple(symbols[x:y]) for x, y in zip(*(z.tolist() for z in _phrases(recurring, hashes, words)), strict=True)}
+                    found = np.fromiter(phrase_automaton(phrases).iter(tuple(stream.tolist())), _MATCH)
+                    end, size = found["end"], found["size"]
                     row_of = np.repeat(np.arange(high - low), np.diff(np.append(first, len(starts))) + 1)
                     end = end - row_of[end] + 1
                     again = _covered(end - size, end - words + 1, len(starts))  # windows that recur
-                    bit = np.arange(words)
-                    mine = (at[:, None] + bit)[(own[a:b, None] >> bit & 1) > 0]  # of which this document is the first
-                    if len(mine):
+                    if len(mine):  # windows of which this document is the first one
                         whole, place = T.ngrams(hashes, rows, words)
-                        mine = np.sort(mine)
                         frame = pd.DataFrame({"row": rows[mine], "x": whole[np.searchsorted(place, mine)]})
                         again[mine[~frame.duplicated().to_numpy()]] = False
                     later = np.flatnonzero(again)
@@ -243,8 +240,8 @@ def without_recurring(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR,
     Anchors that occur once are dropped by an aggregation and a join. Runs that are alone with their anchor recur in full;
     where an anchor has different runs, one document for each sends the hashes of its windows, and counting those
     confirms what recurs and gives the first document. The confirmed phrases of each shard of documents are compiled into
-    an automaton, which all documents of the shard are streamed through; phrases are parts of one run, so a shard's
-    automaton grows with its text only. Hot anchors meet hash aggregates with map-side combining and joins that adaptive
+    an automaton, which all documents of the shard are streamed through; phrases are of bounded length, so a shard's
+    automaton and its matches grow with its text only. Hot anchors meet hash aggregates with map-side combining and joins that adaptive
     execution splits. Runs and windows are told apart by two 64-bit hashes.
     """
     scratch = Scratch(docs.sparkSession)
