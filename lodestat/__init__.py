@@ -73,6 +73,7 @@ from lodestat.operators.univariate import (
     variance,
 )
 from lodestat.plans.series import Series, index_series
-from lodestat.sources.tables import load_dataset, read_csv, read_table, write_result
+from lodestat.sources.tables import load_dataset, read_csv, read_stream, read_table, write_result
+from lodestat.streaming.profile import covariance_stream, current, profile_stream, write_closed, write_current
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from lodestat.columns import numeric_features
 from lodestat.errors import ColumnNotFound
@@ -26,6 +27,18 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, schema
     return reader.format(kind).load(path)
 
 
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, format: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+    """The files that arrive in a folder, or match a pattern, as a stream.
+
+    Spark streams folders; to stream one file, write it as a pattern such as
+    ``data/event[s].parquet``.
+    """
+    reader = spark.readStream.schema(schema).format(format)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
+
+
 def check_target(df: DataFrame, target: str | None) -> None:
     """Raise unless the target is absent or names a numeric column."""
     if target is not None and target not in numeric_features(df):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lodestat as ls
+from lodestat.plans.checkpoints import ensure_checkpoint_dir
 from lodestat.plans.series import Series
 from registry.rounding import rounded
 
@@ -314,6 +317,27 @@ def surrogate_events(spark, d):
     return ls.surrogate_test(by_type(spark, d), 20)
 
 
+def streamed(spark: SparkSession, d: str, profile) -> DataFrame:
+    """Stream all of events through ``profile`` and read the final state of every window."""
+    events = table(spark, d, "events")
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    made = profile(ls.read_stream(spark, f"{d}/event[s].parquet", events.schema))
+    ls.write_current(made, f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = ls.current(spark, f"{folder}/out", made)
+    return out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end")
+
+
+def profile_stream_events(spark, d):
+    out = streamed(spark, d, lambda s: ls.profile_stream(s, "ts", "1 day", "2 hours", ["value", "user_id"], "event_type"))
+    return rounded(out, ["mean", "variance", "sparsity"], skewness=6)
+
+
+def covariance_stream_events(spark, d):
+    out = streamed(spark, d, lambda s: ls.covariance_stream(s, "ts", "1 day", "2 hours", ["value", "user_id"]))
+    return rounded(out.drop("column_i", "column_j"), value=6)
+
+
 def missing_documents(spark, d):
     df = table(spark, d, "documents")
     odd = df.select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source"), "n_chars")
@@ -443,7 +467,7 @@ def combined_score_lineitem(spark, d):
     return ls.combined_score(metrics, {"nonlinearity_gap": 1, "information_ratio": 0.1, "polynomial_gain": 1, "lyapunov_exponent": 1, "interaction_strength": 1})
 
 
-HELPERS = {"table", "gappy", "by_type", "whole", "by_user", "split_frame", "rounded"}
+HELPERS = {"table", "gappy", "by_type", "whole", "by_user", "split_frame", "rounded", "streamed", "ensure_checkpoint_dir"}
 
 
 def all_queries():

@@ -309,6 +309,21 @@ def all_sql() -> dict[str, str]:
     covar = "coalesce(covar_samp({a}::double, {b}::double), 0)"
     q["covariance_lineitem"] = matrix_sql("lineitem", LINEITEM, sig(covar))
     q["covariance_with_nulls"] = matrix_sql(GAPPY, GAPPY_COLUMNS, sig(covar), "l_returnflag")
+    day = "(select *, strftime(date_trunc('day', ts), '%Y-%m-%d') as day from events)"
+    q["profile_stream_events"] = union(
+        [
+            f"select event_type, '{c}' as \"column\", count(*) as rows, {sig(f'coalesce(avg({c}::double), 0)')} as mean, {sig(f'coalesce(var_samp({c}::double), 0)')} as variance,"
+            f" {dec(f'coalesce(skewness({c}::double), 0)', 6)} as skewness, {sig(f'sum(case when {c} = 0 then 1.0 else 0.0 end) / count(*)')} as sparsity, day from {day} group by day, event_type"
+            for c in ("value", "user_id")
+        ]
+    )
+    q["covariance_stream_events"] = union(
+        [
+            f"select {i} as i, {j} as j, {dec(f'coalesce(covar_samp({a}::double, {b}::double), 0)', 6)} as value, day from {day} group by day"
+            for i, a in enumerate(("value", "user_id"))
+            for j, b in enumerate(("value", "user_id"))
+        ]
+    )
     q["covariance_wide_embeddings"] = (
         f"select i::int as i, j::int as j, {dec('covar_samp(embedding[i + 1]::double, embedding[j + 1]::double)', 9)} as value from embeddings, range(64) a(i), range(64) b(j) group by i, j"
     )
