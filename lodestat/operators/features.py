@@ -184,8 +184,8 @@ def detect_type(df: DataFrame, columns=None) -> DataFrame:
     return wide.select(F.explode("__a").alias("__s")).select("__s.*")
 
 
-def profile_summary(df: DataFrame, columns=None, by=None) -> DataFrame:
+def profile_summary(df: DataFrame, columns=None, by=None, approx: bool = False) -> DataFrame:
     """:func:`profile` with distinct counts: the whole picture in one table."""
     keys = [*as_list(by), "column"]
     names = pick(df, columns, as_list(by))
-    return join_on(profile(df, names, by), unique_count(df, names, by), keys)
+    return join_on(profile(df, names, by, approx=approx), unique_count(df, names, by), keys)

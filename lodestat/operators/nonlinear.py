@@ -19,9 +19,9 @@ from lodestat.columns import filled, pick, ref, require_columns
 from lodestat.functions.scalars import ratio
 from lodestat.operators.features import mutual_information
 from lodestat.operators.matrix import correlation_matrix
-from lodestat.operators.univariate import PERCENTILE_ROWS, interpolated
 from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import join_on
+from lodestat.plans.selection import interpolated, interpolation_ranks, select_ranks
 from lodestat.plans.series import Series, with_lags
 
 # Share of rows held out when two models are compared.
@@ -134,11 +134,8 @@ def regime_switching(series: Series, cuts: int = 15, low: float = 0.15, high: fl
     shares = [low + (high - low) * k / (cuts - 1) for k in range(cuts)]
     pairs = stored(with_lags(series, [1]).where(F.col("t") >= 1).select(*keys, "x", F.col("lag1").alias("y")))
     centre = pairs.groupBy(*keys).agg(F.avg("x").alias("__mx"), F.avg("y").alias("__my"))
-    if series.rows > PERCENTILE_ROWS:
-        found = interpolated(pairs, ["y"], series.keys, shares)
-        grid = found.select(*keys, F.array(*[F.col(f"__q{i}") for i in range(cuts)]).alias("__grid"))
-    else:
-        grid = pairs.groupBy(*keys).agg(F.percentile("y", F.array(*[F.lit(p) for p in shares])).alias("__grid"))
+    found = select_ranks(pairs, ["y"], series.keys, interpolation_ranks(shares))
+    grid = found.select(*keys, F.array(*interpolated(shares)).alias("__grid"))
     rows = series.attach(pairs, join_on(centre, grid, series.keys))
     x, y = F.col("x") - F.col("__mx"), F.col("y") - F.col("__my")
     above = F.size(F.filter("__grid", lambda c: c < F.col("y")))

@@ -49,12 +49,12 @@ def iqr_bounds(df: DataFrame, columns=None, by=None, factor: float = 1.5, approx
     return q.select(*[ref(b) for b in as_list(by)], "column", (F.col("q25") - reach).alias("lower"), (F.col("q75") + reach).alias("upper"))
 
 
-def iqr_outliers(df: DataFrame, columns=None, by=None, factor: float = 1.5) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns=None, by=None, factor: float = 1.5, approx: bool = False) -> DataFrame:
     """Bounds, number and share of the values outside them."""
     by = as_list(by)
     require_columns(df, by)
     names = pick(df, columns, by)
-    return count_outside(df, names, by, iqr_bounds(df, names, by, factor))
+    return count_outside(df, names, by, iqr_bounds(df, names, by, factor, approx))
 
 
 def outlier_rate(df: DataFrame, columns=None, by=None) -> DataFrame:

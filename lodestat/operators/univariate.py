@@ -2,9 +2,8 @@
 
 All operators take ``columns`` (default: every numeric feature) and ``by``
 (grouping columns) and return one row per column and group. Each statistic is
-an aggregate over one scan however many columns there are; only exact
-quantiles and entropy of large tables need more (see
-:func:`order_statistics`).
+an aggregate over one scan however many columns there are; exact quantiles
+and entropy need one or two more (see :func:`select_ranks`).
 """
 
 from __future__ import annotations
@@ -19,11 +18,7 @@ from lodestat.errors import EmptyDataset
 from lodestat.functions.scalars import adjusted_kurtosis, adjusted_skewness, ratio
 from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import broadcast_if, join_on, packed_by_column
-from lodestat.plans.ordering import ranked_values
-
-# Up to this many rows the exact `percentile` aggregate may hold all distinct
-# values of a column in one task; larger inputs are ranked by a range sort.
-PERCENTILE_ROWS = 2_000_000
+from lodestat.plans.selection import BRACKET_ROWS, Rank, interpolated, interpolation_ranks, select_ranks
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -155,84 +150,42 @@ def unique_count(df: DataFrame, columns=None, by=None, rsd: float | None = None)
     return wide.select(*[ref(b) for b in by], F.explode(structs).alias("__s")).select(*[ref(b) for b in by], "__s.*")
 
 
-def order_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str], view, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """The values at given 0-based ranks, by range sort of the distinct values.
-
-    ``ranks`` maps an output name to an expression of the group size. Equal
-    values are merged first, then sorted across partitions, so neither a hot
-    value nor a hot group reaches one task. NULL and NaN are left out of the
-    ranking only where ``view`` yields NULL.
-    """
-    values = long_view(df, columns, by, view).where(F.col("__value").isNotNull())
-    table = ranked_values(values, [*by, "column"], "__value")
-    hit = lambda make: (F.col("__before") <= make(F.col("__total"))) & (make(F.col("__total")) < F.col("__before") + F.col("__w"))
-    wanted = None
-    for make in ranks.values():
-        wanted = hit(make) if wanted is None else wanted | hit(make)
-    keys = [*[ref(b) for b in by], "column"]
-    return table.where(wanted).groupBy(*keys).agg(*[F.max(F.when(hit(make), F.col("__value"))).alias(name) for name, make in ranks.items()])
-
-
-def is_large(df: DataFrame) -> bool:
-    """Whether the table exceeds the size that one exact aggregate may hold."""
-    return df.count() > PERCENTILE_ROWS
-
-
-def spread_small(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """The needed columns of a small table (checked by row count) over all cores.
-
-    A small file is often one scan task; its passes then run on one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.select(*[ref(c) for c in dict.fromkeys([*by, *names])]).repartition(cores)
-
-
-def interpolated(df: DataFrame, names: Sequence[str], by: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles ``__q0, __q1, ...`` from order statistics."""
-    ranks: dict[str, Callable[[Column], Column]] = {}
-    for i, p in enumerate(probabilities):
-        spot = lambda n, p=p: (n - 1) * F.lit(float(p))
-        ranks[f"__lo{i}"] = lambda n, spot=spot: F.floor(spot(n))
-        ranks[f"__hi{i}"] = lambda n, spot=spot: F.ceil(spot(n))
-    ranks["__min"] = lambda n: F.lit(0)
-    ranks["__max"] = lambda n: n - 1
-    found = order_statistics(df, names, by, number, ranks)
-    sizes = column_rows(df, names, {"__n": F.count}, by)
-    joined = join_on(sizes, found, [*by, "column"], "left")
-    cols = []
-    for i, p in enumerate(probabilities):
-        spot = (F.col("__n") - 1) * F.lit(float(p))
-        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        cols.append((low + (high - low) * (spot - F.floor(spot))).alias(f"__q{i}"))
-    return joined.select(*[ref(b) for b in by], "column", zero(F.col("__min")).alias("min"), zero(F.col("__max")).alias("max"), *cols)
-
-
-def quantiles(df: DataFrame, columns=None, by=None, approx: bool = False, large: bool | None = None) -> DataFrame:
+def moment_statistics() -> dict[str, Column]:
+    """Statistics of a column from its sizes and merged sums of powers."""
+    n, rows, var = F.col("__present").cast("double"), F.col("__rows"), F.try_divide(F.col("__m2"), F.col("__present"))
+    skew = F.when(var > 0, F.try_divide(F.col("__m3"), n * F.pow(var, F.lit(1.5)))).otherwise(F.when(F.isnan(var), var))
+    kurt = F.when(var > 0, F.try_divide(F.col("__m4"), n * var * var) - 3).otherwise(F.when(F.isnan(var), var))
+    return {
+        "count": F.col("__present"),
+        "mean": zero(F.col("__mean")),
+        "variance": zero(F.when(n > 1, F.col("__m2") / (n - 1))),
+        "std_dev": zero(F.when(n > 1, F.sqrt(F.col("__m2") / (n - 1)))),
+        "skewness": zero(F.when(n >= 3, skew * F.sqrt(n * (n - 1)) / (n - 2))),
+        "kurtosis": zero(F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6))),
+        "sparsity": ratio(F.col("__zeros"), rows),
+        "missing_count": rows - F.col("__present"),
+        "missing_rate": ratio(rows - F.col("__present"), rows),
+    }
+
+
+def selected_statistics(selected: DataFrame, by: Sequence[str], others: Sequence[str] = ()) -> DataFrame:
+    """(by, column, min, q25, median, q75, max, others) of a table of selected ranks and merged moments."""
+    made = moment_statistics() if others else {}
+    out = selected.withColumns({"min": zero(F.col("__min")), "max": zero(F.col("__max"))})
+    quartile = [F.coalesce(q, F.col("min")).alias(name) for q, name in zip(interpolated(QUARTILES), ("q25", "median", "q75"))]
+    return out.select(*[ref(b) for b in by], "column", "min", *quartile, "max", *[made[o].alias(o) for o in others])
+
+
+def quantiles(df: DataFrame, columns=None, by=None, approx: bool = False, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
     """Minimum, quartiles (linear interpolation) and maximum, NULL skipped.
 
-    ``approx=True`` uses the mergeable sketch. Otherwise the result is exact:
-    one aggregate for small inputs, a range sort of distinct values for large
-    ones (``large`` overrides the size check).
+    The quartiles are exact, by :func:`select_ranks`; ``approx=True`` takes
+    them from its buckets.
     """
     by = as_list(by)
     require_columns(df, by)
     names = pick(df, columns, by)
-    large = large if large is not None else approx or is_large(df)
-    if large and not approx:
-        out = interpolated(df, names, by, QUARTILES)
-    else:
-        df = df if large else spread_small(df, names, by)
-        points = F.array(*[F.lit(p) for p in QUARTILES])
-        fn = (lambda c: F.percentile_approx(c, points, 10_000)) if approx else (lambda c: F.percentile(c, points))
-        stats = {"min": STATISTICS["min"], "max": STATISTICS["max"], "__q": fn}
-        keys = [*[ref(b) for b in by], F.col("column")]
-        out = long_view(df, names, by, number).groupBy(*keys).agg(*[make(F.col("__value")).alias(n) for n, make in stats.items()])
-        out = out.select("*", *[F.get("__q", F.lit(i)).alias(f"__q{i}") for i in range(len(QUARTILES))])
-        if not by:
-            listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
-            out = listed.join(F.broadcast(out), "column", "left").withColumns({c: zero(F.col(c)) for c in ("min", "max")})
-    quartile = [F.coalesce(F.col(f"__q{i}"), F.col("min")).alias(n) for i, n in enumerate(("q25", "median", "q75"))]
-    return out.select(*[ref(b) for b in by], "column", "min", *quartile, "max")
+    return selected_statistics(select_ranks(df, names, by, interpolation_ranks(QUARTILES), approx, bracket_rows), by)
 
 
 def median(df: DataFrame, columns=None, by=None, approx: bool = False) -> DataFrame:
@@ -240,57 +193,27 @@ def median(df: DataFrame, columns=None, by=None, approx: bool = False) -> DataFr
     return quantiles(df, columns, by, approx).select(*[ref(b) for b in as_list(by)], "column", "median")
 
 
-def finite_min_max(c: Column) -> list[Column]:
-    """Aggregates: extremes that ignore NaN."""
-    clean = F.when(~F.isnan(c), c)
-    return [F.min(clean).alias("lo"), F.max(clean).alias("hi")]
+#: Quartiles of the histogram rule: plain order statistics of the filled values.
+HISTOGRAM_RANKS = [Rank("__q1", lambda n: F.floor(n / 4), True), Rank("__q3", lambda n: F.floor(n * 3 / 4), True)]
 
 
-def histogram_layout(df: DataFrame, names: Sequence[str], by: Sequence[str], large: bool) -> DataFrame:
-    """Per column: rows, range, bin count and width of the entropy histogram.
-
-    Quartiles are the plain order statistics at n//4 and 3n//4.
-    """
-    by_cols = [ref(b) for b in by]
-    cells = long_view(df, names, by, filled)
-    sizes = [F.count(F.lit(1)).alias("n"), *finite_min_max(F.col("__value"))]
-    if large:
-        first = {"__q1": lambda n: F.floor(n / 4), "__q3": lambda n: F.floor(n * 3 / 4)}
-        quart = order_statistics(df, names, by, filled, first)
-        base = join_on(cells.groupBy(*by_cols, "column").agg(*sizes), quart, [*by, "column"])
-    else:
-        # percentile_disc takes the first value whose cumulative share reaches
-        # p; the tiny excess makes that share strictly larger than n//4 of n.
-        disc = F.expr("percentile_disc(array(0.25D + 1e-12D, 0.75D + 1e-12D)) WITHIN GROUP (ORDER BY __value)")
-        base = cells.groupBy(*by_cols, "column").agg(*sizes, disc.alias("__q"))
-        base = base.withColumn("__q1", F.col("__q")[0]).withColumn("__q3", F.col("__q")[1])
+def histogram_layout(selected: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per column: rows, range, bin count and width of the entropy histogram."""
+    gaps, nothing = F.col("__rows") > F.col("__present"), F.lit(0.0)
+    low = F.when(gaps, F.least("__least", nothing)).otherwise(F.col("__least"))
+    high = F.when(gaps, F.greatest("__most", nothing)).otherwise(F.col("__most"))
+    base = selected.select(*[ref(b) for b in by], "column", F.col("__rows").alias("n"), low.alias("lo"), high.alias("hi"), "__q1", "__q3")
     eps = F.lit(2.220446049250313e-16)
     n = F.col("n").cast("double")
     iqr, span = F.col("__q3") - F.col("__q1"), F.col("hi") - F.col("lo")
-    by_iqr = F.greatest(F.ceil(span / (F.lit(2.0) * iqr * F.pow(n, F.lit(-1.0 / 3.0)))).cast("double"), F.lit(2.0))
+    by_iqr = F.greatest(F.ceil(F.try_divide(span, F.lit(2.0) * iqr * F.pow(n, F.lit(-1.0 / 3.0)))).cast("double"), F.lit(2.0))
     by_count = F.ceil(F.log2(n)).cast("double") + 1
     bins = F.when(iqr > eps, by_iqr).otherwise(by_count)
-    return base.select(
-        *by_cols, "column", "n", "lo", "hi", (span < eps).alias("constant"), bins.alias("bins"), (span / bins).alias("width")
-    )
+    return base.select(*[ref(b) for b in by], "column", "n", "lo", "hi", (span < eps).alias("constant"), bins.alias("bins"), (span / bins).alias("width"))
 
 
-def entropy(df: DataFrame, columns=None, by=None, large: bool | None = None) -> DataFrame:
-    """Differential entropy (nats) from a Freedman-Diaconis histogram.
-
-    NULL counts as 0.0. Sturges' rule replaces the bin rule when the quartiles
-    coincide; a constant column has entropy 0. The histogram is one
-    ``groupBy(column, bin)`` with map-side combine, so its shuffle carries
-    bins and not rows.
-    """
-    by = as_list(by)
-    require_columns(df, by)
-    names = pick(df, columns, by)
-    if not by and df.isEmpty():
-        raise EmptyDataset("entropy of a table without rows")
-    large = is_large(df) if large is None else large
-    df = df if large else spread_small(df, names, by)
-    layout = histogram_layout(df, names, by, large)
+def binned_entropy(df: DataFrame, names: Sequence[str], by: Sequence[str], layout: DataFrame) -> DataFrame:
+    """(by, column, bins, entropy): one ``groupBy(column, bin)``, so its shuffle carries bins and not rows."""
     by_cols = [ref(b) for b in by]
     fields = ("n", "lo", "width", "bins", "constant")
     if by:
@@ -299,7 +222,9 @@ def entropy(df: DataFrame, columns=None, by=None, large: bool | None = None) ->
         source, place = attach(df.select(*by_cols, *[ref(c) for c in names if c not in by])), (lambda c: F.col("__lay")[c])
     else:
         fixed = {r["column"]: r for r in layout.collect()}
-        pack = lambda r: F.struct(*[F.lit(r[f]).alias(f) for f in fields])
+        if not all(r["n"] for r in fixed.values()):
+            raise EmptyDataset("entropy of a table without rows")
+        pack = lambda r: F.struct(*[F.lit(r[f]).cast("boolean" if f == "constant" else "double").alias(f) for f in fields])
         packed = F.create_map(*[e for c in names for e in (F.lit(c), pack(fixed[c]))])
         attach = lambda t: t.withColumn("__lay", packed)
         source, place = df, (lambda c: pack(fixed[c]))
@@ -317,20 +242,35 @@ def entropy(df: DataFrame, columns=None, by=None, large: bool | None = None) ->
     return counts.groupBy(*by_cols, "column").agg(F.max(lay["bins"]).cast("long").alias("bins"), F.sum(term).alias("entropy"))
 
 
+def entropy(df: DataFrame, columns=None, by=None, approx: bool = False, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
+    """Differential entropy (nats) from a Freedman-Diaconis histogram.
+
+    NULL counts as 0.0. Sturges' rule replaces the bin rule when the quartiles
+    coincide; a constant column has entropy 0. ``approx=True`` takes the
+    quartiles that set the number of bins from buckets.
+    """
+    by = as_list(by)
+    require_columns(df, by)
+    names = pick(df, columns, by)
+    selected = select_ranks(df, names, by, HISTOGRAM_RANKS, approx, bracket_rows)
+    return binned_entropy(df, names, by, histogram_layout(selected, by))
+
+
 PROFILE_STATISTICS = ("count", "missing_count", "missing_rate", "mean", "variance", "std_dev", "skewness", "kurtosis", "sparsity")
 
 
-def profile(df: DataFrame, columns=None, by=None, target: str | None = None, large: bool | None = None) -> DataFrame:
-    """Every univariate statistic, one row per column (and group)."""
+def profile(df: DataFrame, columns=None, by=None, target: str | None = None, approx: bool = False, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
+    """Every univariate statistic, one row per column (and group), in three scans.
+
+    The first counts buckets and takes their moments, the second the quartiles
+    inside their buckets, the third the histogram; ``approx=True`` leaves out
+    the second.
+    """
     by = as_list(by)
     require_columns(df, by)
     names = pick(df, columns, by, target)
-    if large is None:
-        large = is_large(df)
-    keys = [*by, "column"]
-    moments = df if large else spread_small(df, names, by)
-    out = column_rows(moments, names, {s: STATISTICS[s] for s in PROFILE_STATISTICS}, by)
-    out = join_on(out, quantiles(df, names, by, large=large), keys)
-    out = join_on(out, entropy(df, names, by, large=large), keys)
+    selected = select_ranks(df, names, by, [*interpolation_ranks(QUARTILES), *HISTOGRAM_RANKS], approx, bracket_rows, moments=True)
+    out = selected_statistics(selected, by, PROFILE_STATISTICS)
+    out = join_on(out, binned_entropy(df, names, by, histogram_layout(selected, by)), [*by, "column"])
     order = ["count", "missing_count", "missing_rate", "mean", "variance", "std_dev", "min", "q25", "median", "q75", "max", "skewness", "kurtosis", "sparsity", "entropy"]
     return out.select(*[ref(b) for b in by], "column", *order)

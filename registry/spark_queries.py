@@ -59,7 +59,7 @@ def profile_with_nulls(spark, d):
 
 
 def profile_range_sort_lineitem(spark, d):
-    return rounded(ls.profile(table(spark, d, "lineitem"), large=True), SIG_PROFILE, skewness=6, kurtosis=6, entropy=8)
+    return rounded(ls.profile(table(spark, d, "lineitem"), bracket_rows=64), SIG_PROFILE, skewness=6, kurtosis=6, entropy=8)
 
 
 def profile_summary_customer(spark, d):
@@ -106,7 +106,7 @@ def quantiles_orders(spark, d):
 
 
 def quantiles_range_sort_by_flag(spark, d):
-    out = ls.quantiles(gappy(spark, d), ["qty", "price", "discount"], by="l_returnflag", large=True)
+    out = ls.quantiles(gappy(spark, d), ["qty", "price", "discount"], by="l_returnflag", bracket_rows=16)
     return rounded(out, ["min", "q25", "median", "q75", "max"])
 
 
@@ -131,7 +131,7 @@ def entropy_with_nulls_by_flag(spark, d):
 
 
 def entropy_range_sort_events(spark, d):
-    return rounded(ls.entropy(table(spark, d, "events"), "value", by="event_type", large=True), entropy=8)
+    return rounded(ls.entropy(table(spark, d, "events"), "value", by="event_type", bracket_rows=16), entropy=8)
 
 
 def unique_count_lineitem(spark, d):

@@ -54,18 +54,18 @@ def test_null_rules(gaps):
     assert by_column(ls.entropy(gaps, "a"), "entropy")["a"] == pytest.approx(plain_entropy(a))
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_both_quantile_paths(gaps, large):
-    out = {r["column"]: r for r in ls.quantiles(gaps, ["a", "b", "c"], large=large).collect()}
+@pytest.mark.parametrize("bracket_rows", [1, 10, 65_536])
+def test_quantiles_with_buckets_cut_again(gaps, bracket_rows):
+    out = {r["column"]: r for r in ls.quantiles(gaps, ["a", "b", "c"], bracket_rows=bracket_rows).collect()}
     for c in ("a", "b", "c"):
         v = np.array([x for x in column(gaps, c) if x is not None], dtype=float)
         want = [v.min(), *np.quantile(v, [0.25, 0.5, 0.75]), v.max()]
         assert [out[c][k] for k in ("min", "q25", "median", "q75", "max")] == pytest.approx(want)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_both_entropy_paths_by_group(gaps, large):
-    got = {(r["grp"], r["column"]): r["entropy"] for r in ls.entropy(gaps, ["a", "b", "k"], by="grp", large=large).collect()}
+@pytest.mark.parametrize("bracket_rows", [1, 65_536])
+def test_entropy_by_group(gaps, bracket_rows):
+    got = {(r["grp"], r["column"]): r["entropy"] for r in ls.entropy(gaps, ["a", "b", "k"], by="grp", bracket_rows=bracket_rows).collect()}
     rows = gaps.collect()
     for g in {r["grp"] for r in rows}:
         for c in ("a", "b", "k"):
