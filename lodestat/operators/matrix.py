@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,74 +20,92 @@ from lodestat.columns import as_list, filled, number, pick, ref, require_columns
 from lodestat.errors import NotEnoughColumns
 from lodestat.functions.scalars import ratio
 
-# One aggregate holds the m(m+1)/2 cells up to this many columns; its code grows
-# with the cells, so wider tables use partition-local cross-product matrices.
-AGGREGATE_COLUMNS = 4
+# Matrix cells that a task holds for its groups before it hands the sums on.
+HELD_CELLS = 1 << 20
 # Largest number of multiply-adds written out as column expressions per row.
 EXPRESSION_TERMS = 2_000
 
 
-def upper_by_aggregate(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by, cells): the upper triangle as one array, from one aggregate."""
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    cells = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.lit(j).alias("j"),
-            F.coalesce(F.covar_samp(number(names[i]), number(names[j])), F.lit(0.0)).alias("value"),
-        )
-        for i, j in pairs
-    ]
-    return df.groupBy(*[ref(b) for b in by]).agg(F.array(*cells).alias("cells"))
-
+def gram_sums(width: int, keys: Sequence[str], shift: np.ndarray):
+    """Arrow function: products of the batches, summed per group, one row per group and matrix row.
 
-def upper_by_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(cells) for wide tables: partition-local products, summed by cell.
-
-    Each partition multiplies its batches into m x m sums of the mean-shifted
-    values, with a presence mask for pairwise deletion, and emits one row per
-    cell; rows never leave their partition.
+    A cell adds up over the rows where both columns are present. ``bad`` counts
+    those with NaN or an infinity in either, which make the covariance NaN.
     """
-    m = len(names)
-    shift_row = df.agg(*[F.coalesce(F.avg(number(c)), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(names)]).first()
-    shift = np.array(list(shift_row), dtype=float)
-    upper_i, upper_j = np.triu_indices(m)
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair_n, pair_xy, pair_x, pair_y = (np.zeros((m, m)) for _ in range(4))
+    def rows(states: dict) -> dict[str, list]:
+        columns = {k: [] for k in (*keys, "i", "n", "xy", "x", "y", "bad")}
+        for key, sums in states.items():
+            for i in range(width):
+                for k, value in zip(keys, key):
+                    columns[k].append(value)
+                columns["i"].append(i)
+                for name, total in zip(("n", "xy", "x", "y", "bad"), sums):
+                    columns[name].append(total[i, i:])
+        return columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, np.ndarray] = {}
+        types: list[pa.Field] = []
+
+        def flushed() -> pa.RecordBatch:
+            columns = rows(states)
+            states.clear()
+            kinds = {f.name: f.type for f in types} | {"i": pa.int32()}
+            return pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.list_(pa.float64()))) for c, v in columns.items()})
+
         for batch in batches:
-            values = batch.to_numpy(dtype=float)
-            present = (~batch.isna().to_numpy()).astype(float)
-            centred = np.where(present > 0, values - shift, 0.0)
-            pair_n += present.T @ present
-            pair_xy += centred.T @ centred
-            pair_x += centred.T @ present
-            pair_y += present.T @ centred
-        yield pd.DataFrame(
-            {
-                "i": upper_i.astype("int32"),
-                "j": upper_j.astype("int32"),
-                "n": pair_n[upper_i, upper_j],
-                "xy": pair_xy[upper_i, upper_j],
-                "x": pair_x[upper_i, upper_j],
-                "y": pair_y[upper_i, upper_j],
-            }
-        )
-
-    partial = df.select(*[number(c).alias(f"c{k}") for k, c in enumerate(names)]).mapInPandas(
-        products, "i int, j int, n double, xy double, x double, y double"
-    )
-    sums = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y")])
-    value = F.when(F.col("n") > 1, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1))
-    cells = sums.select("i", "j", F.coalesce(value, F.lit(0.0)).alias("value"))
-    return cells.agg(F.sort_array(F.collect_list(F.struct("i", "j", "value"))).alias("cells"))
+            types = [batch.schema.field(k) for k in keys]
+            cells = [batch.column(f"c{j}") for j in range(width)]
+            present = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in cells], axis=1).astype(float)
+            values = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in cells], axis=1)
+            wrong = ~np.isfinite(values)
+            centred = np.where(wrong | (present == 0), 0.0, values - shift)
+            wrong = wrong.astype(float)
+            group = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                group = np.unique(group * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+            order = np.argsort(group, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+            for low, high in zip(cuts, cuts[1:]):
+                at = order[low:high]
+                p, c, w = present[at], centred[at], wrong[at]
+                sums = np.stack([p.T @ p, c.T @ c, c.T @ p, p.T @ c, w.T @ p + p.T @ w])
+                key = tuple(batch.column(k)[int(at[0])].as_py() for k in keys)
+                states[key] = states[key] + sums if key in states else sums
+            if len(states) * width * width > HELD_CELLS:
+                yield flushed()
+        if states:
+            yield flushed()
+
+    return run
 
 
 def upper_triangle(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The covariance cells of each group, by whichever path fits the width."""
-    if len(names) <= AGGREGATE_COLUMNS or by:
-        return upper_by_aggregate(df, names, by)
-    return upper_by_products(df, names)
+    """(by, cells): the upper triangle of each group's covariance, pairwise without NULL.
+
+    Tasks multiply their batches into sums of mean-shifted products and emit
+    one row per group and matrix row; rows never leave their partition, and
+    the same path serves any width. Undefined cells are 0.
+    """
+    m, keys = len(names), [f"k{k}" for k in range(len(by))]
+    finite = lambda c: F.when(~F.isnan(number(c)) & (F.abs(number(c)) < F.lit(float("inf"))), number(c))
+    means = df.agg(*[F.coalesce(F.avg(finite(c)), F.lit(0.0)).alias(f"c{j}") for j, c in enumerate(names)]).first()
+    shift = np.nan_to_num(np.array(list(means), dtype=float), posinf=0.0, neginf=0.0)
+    source = df.select(*[ref(b).alias(k) for b, k in zip(by, keys)], *[number(c).alias(f"c{j}") for j, c in enumerate(names)])
+    kinds = [f"{k} {source.schema[k].dataType.simpleString()}" for k in keys]
+    sums = ("n", "xy", "x", "y", "bad")
+    partial = source.mapInArrow(gram_sums(m, keys, shift), ", ".join([*kinds, "i int", *[f"{s} array<double>" for s in sums]]))
+    flat = partial.select(*keys, "i", F.posexplode(F.arrays_zip(*sums)).alias("__p", "__z")).select(*keys, "i", (F.col("i") + F.col("__p")).alias("j"), "__z.*")
+    flat = flat.groupBy(*keys, "i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    value = F.when(F.col("n") > 1, F.when(F.col("bad") > 0, F.lit(float("nan"))).otherwise((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1)))
+    cells = flat.select(*keys, "i", "j", F.coalesce(value, F.lit(0.0)).alias("value"))
+    if not by:  # a table without rows still has every cell
+        listed = df.sparkSession.createDataFrame([(i, j) for i in range(m) for j in range(i, m)], "i int, j int")
+        cells = listed.join(F.broadcast(cells), ["i", "j"], "left").select("i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
+    packed = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "value"))).alias("cells"))
+    return packed.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "cells")
 
 
 def spread(packed: DataFrame, names: Sequence[str], by: Sequence[str], value: Column) -> DataFrame:

@@ -156,6 +156,12 @@ def covariance_wide_embeddings(spark, d):
     return rounded(ls.covariance_matrix(wide).select("i", "j", "value"), value=9)
 
 
+def covariance_embeddings_by_label(spark, d):
+    df = table(spark, d, "embeddings")
+    wide = df.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i:02d}") for i in range(64)])
+    return rounded(ls.covariance_matrix(wide, by="label").select("label", "i", "j", "value"), value=9)
+
+
 def correlation_lineitem(spark, d):
     return rounded(ls.correlation_matrix(table(spark, d, "lineitem")), value=8)
 

@@ -324,6 +324,9 @@ def all_sql() -> dict[str, str]:
             for j, b in enumerate(("value", "user_id"))
         ]
     )
+    q["covariance_embeddings_by_label"] = (
+        f"select label, i::int as i, j::int as j, {dec('coalesce(covar_samp(embedding[i + 1]::double, embedding[j + 1]::double), 0)', 9)} as value from embeddings, range(64) a(i), range(64) b(j) group by label, i, j"
+    )
     q["covariance_wide_embeddings"] = (
         f"select i::int as i, j::int as j, {dec('covar_samp(embedding[i + 1]::double, embedding[j + 1]::double)', 9)} as value from embeddings, range(64) a(i), range(64) b(j) group by i, j"
     )

@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import lodestat as ls
 from lodestat.errors import ColumnNotFound, InvalidPredictionTask, NotEnoughColumns
-from lodestat.operators.matrix import upper_by_aggregate, upper_by_products
 
 
 def cells(df):
@@ -30,10 +30,37 @@ def test_pairwise_nulls_and_constant_column(gaps):
     assert r["a", "k"] == 0.0 and r["k", "k"] == 1.0
 
 
-def test_both_covariance_paths_agree(gaps):
-    names = ["id", "a", "b", "c", "k"]
-    flat = lambda df: [c["value"] for c in df.first()["cells"]]
-    assert flat(upper_by_products(gaps, names)) == pytest.approx(flat(upper_by_aggregate(gaps, names, [])), abs=1e-9)
+@pytest.mark.parametrize("width", [2, 4, 5, 9])
+def test_one_rule_for_every_width(spark, width):
+    """NULL is deleted pairwise, NaN and infinities make a cell NaN, in any group and width."""
+    rng = np.random.default_rng(width)
+    rows = []
+    for i in range(300):
+        x = [float(v) if rng.random() > 0.2 else None for v in rng.normal(1e6, 3, width)]
+        if i % 40 == 0:
+            x[i // 40 % width] = [np.nan, np.inf, None, 7.0][i // 40 % 4]
+        rows.append(([None, "a", "b"][i % 3], i % 2, *x))
+    columns = [f"x{j}" for j in range(width)]
+    df = spark.createDataFrame(rows, "g string, h int, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    got = {(r["g"], r["h"], r["i"], r["j"]): r["value"] for r in ls.covariance_matrix(df, columns, by=["g", "h"]).collect()}
+    assert len(got) == 6 * width * width
+    alone = cells(ls.covariance_matrix(df, columns))
+    aggregates = df.agg(*[F.coalesce(F.covar_samp(a, b), F.lit(0.0)).alias(f"{a}{b}") for a in columns for b in columns]).first()
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            assert alone[a, b] == pytest.approx(aggregates[f"{a}{b}"], nan_ok=True, rel=1e-6, abs=1e-9)
+            for g in (None, "a", "b"):
+                for h in (0, 1):
+                    pairs = np.array([(r[2 + i], r[2 + j]) for r in rows if r[:2] == (g, h) and r[2 + i] is not None and r[2 + j] is not None])
+                    with np.errstate(invalid="ignore"):
+                        want = np.nan if not np.isfinite(pairs).all() else np.cov(pairs[:, 0], pairs[:, 1])[0, 1]
+                    assert got[g, h, i, j] == pytest.approx(want, nan_ok=True, rel=1e-6, abs=1e-9)
+
+
+def test_covariance_without_rows(spark):
+    none = spark.createDataFrame([], "a double, b double, g string")
+    assert cells(ls.covariance_matrix(none)) == {(x, y): 0.0 for x in "ab" for y in "ab"}
+    assert ls.covariance_matrix(none, by="g").count() == 0
 
 
 def test_eigenvalues_and_full_reconstruction(sample):
