@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from lodestat.columns import as_list, filled, pick, ref, require_columns
 from lodestat.errors import InsufficientData
 from lodestat.plans.checkpoints import stored
-from lodestat.plans.joins import broadcast_if, join_on
-from lodestat.plans.ordering import with_position
+from lodestat.plans.joins import BROADCAST_ROWS, broadcast_if, join_on
+from lodestat.plans.ordering import positioned
 
 CHUNK = 8_192
 
@@ -97,8 +97,9 @@ def index_series(df: DataFrame, column: str, order_by: str | Sequence[str], keys
     keys = [f"__key{i}" for i in range(max(len(names), 1))]
     key_cols = [ref(name).alias(k) for name, k in zip(names, keys)] or [F.lit(0).alias(keys[0])]
     rows = df.select(*key_cols, *[ref(o).alias(f"__o{i}") for i, o in enumerate(order)], filled(column).alias("x"))
-    placed = with_position(rows, keys, [f"__o{i}" for i in range(len(order))])
-    return measured(stored(placed.select(*keys, F.col("__pos").alias("t"), F.col("__size").alias("n"), "x")), keys, names)
+    placed, lookup = positioned(rows, keys, [f"__o{i}" for i in range(len(order))])
+    indexed = placed.select(*keys, F.col("__pos").alias("t"), F.col("__size").alias("n"), "x")
+    return measured(indexed if lookup <= BROADCAST_ROWS else stored(indexed), keys, names)
 
 
 def with_lags(series: Series, lags: Sequence[int], df: DataFrame | None = None, column: str = "x", prefix: str = "lag") -> DataFrame:
