@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestat.llm import text as T
 
@@ -261,7 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id
     out = None
     for items in _blocks(benchmark, item_column, "text"):
         _choose_seeds(rows.select("text"), items, score)
-        kind = pa.int64() if item_type in ("bigint", "long") else pa.int32() if item_type == "int" else pa.string()
+        kind = to_arrow_type(benchmark.schema[item_column].dataType)
         found = rows.mapInArrow(_aligned(items, score, kind), f"doc_id {id_type}, item_id {item_type}, score double")
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {id_type}, item_id {item_type}, score double")

@@ -39,7 +39,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spaces.append(None)
             else:
                 spaces.append(f"{len(values)}|{label}")
-                keys.append(hashlib.blake2b(values.tobytes(), digest_size=16, key=spaces[-1].encode()[:64]).digest())
+                keys.append(hashlib.blake2b(spaces[-1].encode() + b"\0" + values.tobytes(), digest_size=16).digest())
             kept.append(values)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(spaces, pa.string()), pa.array(kept, pa.list_(pa.float64()))], ["vec_id", "key", "space", "vector"])
 

@@ -44,10 +44,15 @@ class Lines:
         row = np.searchsorted(offsets, starts, "right") - 1
         number = np.arange(len(starts)) - np.searchsorted(row, np.arange(len(offsets) - 1))[row]
         h, line = T.word_hashes(data, np.append(starts, len(data)).astype(np.int64)) if len(starts) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        packed = np.sort(line.astype(np.uint64) << np.uint64(64 - _LINE_BITS) | h >> np.uint64(_LINE_BITS))
-        packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
-        line = (packed >> np.uint64(64 - _LINE_BITS)).astype(np.int64)
-        self.words = packed & np.uint64((1 << (64 - _LINE_BITS)) - 1)
+        h >>= np.uint64(_LINE_BITS)
+        if len(starts) <= 1 << _LINE_BITS:
+            packed = np.sort(line.astype(np.uint64) << np.uint64(64 - _LINE_BITS) | h)
+            line, h = (packed >> np.uint64(64 - _LINE_BITS)).astype(np.int64), packed & np.uint64((1 << (64 - _LINE_BITS)) - 1)
+        else:  # a text of so many lines: their numbers do not fit beside the words
+            order = np.lexsort((h, line))
+            line, h = line[order], h[order]
+        fresh = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        line, self.words = line[fresh], h[fresh]
         counts = np.bincount(line, minlength=len(starts))
         self.has = np.flatnonzero(counts)  # lines with a word
         self.row, self.number, self.size = row[self.has], number[self.has], counts[self.has]
@@ -101,6 +106,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = pa.ListArray.from_arrays(lists, pa.array((found % _BLOCK).astype(np.int32)))
     n = pa.ListArray.from_arrays(lists, pa.array(counts[found].astype(np.int32)))
     yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), t) for t in types[:5]), pa.array(some, pa.int32()), at, n], names)
+    del counts
+    T.give_back()
 
 
 def _slot(words: np.ndarray) -> np.ndarray:
@@ -160,6 +167,8 @@ def _prefixes(counters, similarity: float, buckets: int):
                     parts, held = [], 0
         if held:
             yield dealt(parts)
+        parts.clear()
+        T.give_back()
 
     return run
 
@@ -255,10 +264,12 @@ def _words_of(wanted):
                 at = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7) & 1)
                 names = [keys[k].tobytes() for k in at]
                 fresh = [k for k, name in zip(at, names, strict=True) if name not in seen]
-                if len(seen) < 500_000:  # only to save work on copies
+                if len(seen) < 100_000:  # only to save work on copies
                     seen.update(names)
                 sets = [lines.words[lines.starts[k] : lines.ends[k]].view(np.int64) for k in fresh]
                 yield pa.RecordBatch.from_arrays([_binary(keys[fresh, 0]), _binary(keys[fresh]), pa.array(sets, pa.list_(pa.int64()))], ["node", "key", "values"])
+        seen.clear()
+        T.give_back()
 
     return run
 
@@ -271,7 +282,7 @@ def _filter_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(slot >> 3), pa.array(1 << (slot & 7), pa.int64())], ["i", "bits"])
 
 
-def _cut(column: int):
+def _cut(column: int, counted: str):
     """Texts without the lines whose numbers are in the last column but one, or without all words if the last is true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +297,7 @@ def _cut(column: int):
                     text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
                 out.append(text)
             columns = [pa.array(out, pa.string()) if k == column else c for k, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(removed, pa.int32())], [*batch.schema.names[:-2], "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns[:-2], pa.array(removed, pa.int32())], [*batch.schema.names[:-2], counted])
 
     return run
 
@@ -332,18 +343,20 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: s
     return out
 
 
-def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are but the text, which loses its repeated lines (see repeated_lines); and n_removed.
+def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text", counted: str = "n_removed") -> DataFrame:
+    """The rows of docs, all columns as they are but the text, which loses its repeated lines (see repeated_lines).
+
+    The number of these is added as `counted`, in place of a column of that name.
 
     Each row is a document of its own, also where ids are null or repeat; of rows equal in id and text one stays whole.
     Null and empty texts stay as they are.
     """
-    scratch = Scratch(docs.sparkSession)
+    docs, scratch = docs.drop(counted), Scratch(docs.sparkSession)
     gone = repeated_lines(docs, similarity, id_column, text_column, scratch)
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("content").alias("_gone_content")).agg(F.collect_set("line").alias("_gone"))
     rows = named(docs, id_column, text_column)
     copies = scratch.store(rows.where(F.length(text_column) > 0).groupBy(ID, CONTENT).agg(F.count("*").alias("n")).where("n > 1"))
     rows = mark_copies(rows, copies, scratch)
     joined = rows.join(gone, same("_gone_id", "_gone_content"), "left").select(*docs.columns, "_gone", AGAIN)
-    schema = T_.StructType([*docs.schema.fields, T_.StructField("n_removed", T_.IntegerType())])
-    return joined.mapInArrow(_cut(docs.columns.index(text_column)), schema)
+    schema = T_.StructType([*docs.schema.fields, T_.StructField(counted, T_.IntegerType())])
+    return joined.mapInArrow(_cut(docs.columns.index(text_column), counted), schema)

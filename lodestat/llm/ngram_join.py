@@ -75,9 +75,10 @@ def _signed(words: int, depth: int):
                 key = fingerprint(values) if len(values) else None
                 labels.append(None if key is None or key in seen else signature(values, depth))
                 keys.append(key)
-                if len(seen) < 1_000_000:  # only to save work on copies
+                if len(seen) < 100_000:  # only to save work on copies
                     seen.add(key)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "content", "key", "labels"])
+        T.give_back()
 
     return run
 

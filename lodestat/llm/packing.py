@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Documents of a bucket: one run of the packer, with its own open bins.
 BUCKET_ROWS = 65536
 #: Distinct words whose ids a Python worker remembers.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 

@@ -6,6 +6,7 @@ modulo 2**64, mixed at the end.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 1 << 21
 _powers: dict[str, np.ndarray] = {}
 
+#: Powers that a worker keeps from one task to the next.
+KEPT_POWERS = 1 << 20
+
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -34,6 +38,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def give_back() -> None:
+    """At the end of a task: return memory that is free but held, as Spark reuses Python workers for later stages."""
+    if "up" in _powers and len(_powers["up"]) > KEPT_POWERS:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to return
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(32))
