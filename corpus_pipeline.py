@@ -21,8 +21,8 @@ def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line resembles; those with no line left go."""
-    kept = without_repeated_lines(docs).where("n_removed = 0 or trim(text) != ''")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    kept = without_repeated_lines(docs, counted="_n_removed").where("_n_removed = 0 or trim(text) != ''")
+    n_chars = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Models, hashed counts and a tokenizer decide: the rows are tested against a brute-force version instead.
+#: A fitted model and a tokenizer decide, which SQL can not express.
 ORACLE_SQL = None
 
 
