@@ -143,7 +143,9 @@ def select_ranks(df: DataFrame, names: Sequence[str], by: Sequence[str], ranks:
     interpolates inside the bucket, off by at most 0.3 % of the value, and
     needs no second scan.
     """
-    keys = [*by, "column"]
+    shown = {f"__by{k}": b for k, b in enumerate(by)}  # working names, which no grouping column can meet
+    df = df.withColumns({k: ref(b) for k, b in shown.items()}) if by else df
+    by, keys = list(shown), [*shown, "column"]
     key_cols = [ref(k) for k in keys]
     v, b = F.col("__value"), F.col("b")
     kept = _PER_BUCKET | (_BUCKET_MOMENTS if moments else {})
@@ -199,7 +201,7 @@ def select_ranks(df: DataFrame, names: Sequence[str], by: Sequence[str], ranks:
     values = [F.coalesce(known(i), F.col("__at")[F.lit(i)]).alias(r.name) for i, r in enumerate(ranks)]
     out = stored(join_on(table, packed, keys, "left").select(*key_cols, *sizes, *values))
     if by:
-        return out
+        return out.withColumnsRenamed(shown)
     # A table without rows still has one line per column.
     listed = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
     zeros = [F.coalesce(n, F.lit(0)).alias(n) for n in ("__rows", "__present", "__zeros")]
