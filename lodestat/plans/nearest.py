@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import join_on
-from lodestat.plans.ordering import with_position
-from lodestat.plans.series import Series, embedded, measured, with_lags
+from lodestat.plans.series import Series, embedded
+from lodestat.plans.spacetree import nearest_points
 from lodestat.plans.tiles import BROADCAST_VALUES, PAIRS_PER_TASK, TILE, chunk_arrays
 
 BEST = StructType([StructField("d", ArrayType(DoubleType())), StructField("j", ArrayType(LongType()))])
@@ -88,103 +88,28 @@ def neighbours_by_tiles(series: Series, dim: int, tau: int) -> DataFrame:
     return nearest.select(*keys, "n", "i", F.col("__z.j").alias("j"), F.col("__z.d").alias("d"))
 
 
-# The grid uses the first coordinates only; distances always use all of them.
-GRID_DIMS = 3
 # Measured core seconds per ordered pair of vectors and per searched vector.
 TILE_PAIR_SECONDS = 1.1e-8
-GRID_ROW_SECONDS = 4e-3
-FINEST_LEVEL = 20
+TREE_ROW_SECONDS = 4e-3
 
 
-def distance(a: Column, b: Column, dim: int) -> Column:
-    """Euclidean distance of two array columns."""
-    return F.sqrt(sum(((a[k] - b[k]) * (a[k] - b[k]) for k in range(1, dim)), (a[0] - b[0]) * (a[0] - b[0])))
-
-
-def curve_code(v: Column, dim: int, low: Column, span: Column) -> Column:
-    """Interleaved bits of the coordinates: near codes are near in space."""
-    axes = min(dim, 6)
-    bits = min(62 // axes, 16)
-    levels = [F.floor(F.coalesce(F.try_divide(v[k] - low, span), F.lit(0.0)) * ((1 << bits) - 1)).cast("long") for k in range(axes)]
-    code = F.lit(0).cast("long")
-    for bit in range(bits):
-        for k, level in enumerate(levels):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(level, bit).bitwiseAND(F.lit(1).cast("long")), bit * axes + k))
-    return code
-
-
-def bounded_vectors(series: Series, points: DataFrame, dim: int, keep: int) -> DataFrame:
-    """(keys, id, v, times, reach): distinct vectors with a safe search radius.
-
-    Vectors are ordered along a space-filling curve; ``reach`` is the largest
-    distance to the ``keep`` distinct vectors around a vector in that order.
-    They hold at least ``keep`` different times, more than the exclusion
-    window can remove, so an allowed neighbour lies within ``reach`` whatever
-    the time of the query. The few vectors at the ends have no radius.
-    """
-    keys = series.key_cols()
-    placed = with_position(points, series.keys, ["code", "v"])
-    columns = [*keys, F.col("__pos").alias("t"), F.col("__size").alias("n"), F.struct("v", "times", "low", "span").alias("x")]
-    line = measured(stored(placed.select(*columns)), series.keys, series.names)
-    half = keep // 2
-    lagged = with_lags(line, range(1, keep + 1)).where(F.col("t") >= keep)
-    centre = F.col(f"lag{half}")
-    others = [F.col("x")] + [F.col(f"lag{k}") for k in range(1, keep + 1) if k != half]
-    reach = F.greatest(*[distance(centre["v"], o["v"], dim) for o in others])
-    inner = lagged.select(*keys, (F.col("t") - half).alias("id"), centre.alias("x"), reach.alias("reach"))
-    ends = line.df.where((F.col("t") < keep - half) | (F.col("t") >= F.col("n") - half))
-    ends = ends.select(*keys, F.col("t").alias("id"), "x", F.lit(None).cast("double").alias("reach"))
-    return inner.unionByName(ends).select(*keys, "id", "x.*", "reach")
-
-
-def neighbours_by_grid(series: Series, dim: int, tau: int) -> DataFrame:
-    """(keys, n, i, j, d) by searching grid cells of a fitting size.
+def neighbours_by_tree(series: Series, dim: int, tau: int) -> DataFrame:
+    """(keys, n, i, j, d) by searching the leaves of a balanced space partition.
 
     Equal vectors are one point with its earliest times: an exclusion window
     removes fewer than ``keep`` = 2 apart times, so the ``keep`` smallest
-    (distance, time) pairs of a vector answer every row that has it. Each
-    vector looks into the at most two cells per axis that its radius touches,
-    at the level whose cells are at least twice the radius.
+    (distance, time) pairs of a vector answer every row that has it.
     """
-    keys, axes = series.key_cols(), min(dim, GRID_DIMS)
+    keys = series.key_cols()
     apart = (dim - 1) * tau + 1
     keep = 2 * apart
     vectors = stored(embedded(series, dim, tau))
     earliest = F.row_number().over(Window.partitionBy(*keys, "v").orderBy("i"))
-    times = vectors.withColumn("__r", earliest).where(F.col("__r") <= keep).groupBy(*keys, "v").agg(F.collect_list("i").alias("times"))
-    scale = series.df.groupBy(*keys).agg(F.min("x").alias("low"), (F.max("x") - F.min("x")).alias("span"))
-    points = series.attach(times, scale)
-    points = points.withColumn("code", curve_code(F.col("v"), dim, F.col("low"), F.col("span")))
-
-    bounded = bounded_vectors(series, points, dim, keep)
-    # A hair more than the radius, so that rounding never loses a neighbour.
-    wide = F.col("reach") * (1 + 1e-9) + F.col("span") * 1e-12
-    fitting = F.floor(F.log2(F.try_divide(F.col("span"), 2 * wide)))
-    level = F.greatest(F.least(F.coalesce(fitting, F.lit(0)), F.lit(FINEST_LEVEL)), F.lit(0)).cast("int")
-    bounded = stored(bounded.withColumn("reach", wide).withColumn("level", level))
-    levels = [r["level"] for r in bounded.select("level").distinct().collect()]
-    cell = lambda value, lvl: F.floor(F.coalesce(F.try_divide(value - F.col("low"), F.col("span")), F.lit(0.0)) * F.pow(F.lit(2.0), lvl)).cast("long")
-
-    spread = bounded.repartition(series.tasks(len(levels) + 2**axes), *keys, "id")
-    targets = spread.select(*keys, "v", "times", "low", "span", F.explode(F.array(*[F.lit(k) for k in levels] or [F.lit(0)])).alias("level"))
-    targets = targets.select(*keys, "level", *[cell(F.col("v")[k], F.col("level")).alias(f"c{k}") for k in range(axes)], F.col("v").alias("w"), "times")
-    lookups = spread.select(*keys, "id", "v", "reach", "level", "low", "span")
-    top = F.pow(F.lit(2.0), F.col("level")).cast("long")
-    for k in range(axes):
-        x = F.col("v")[k]
-        first = F.when(F.col("reach").isNull(), F.lit(0).cast("long")).otherwise(F.greatest(cell(x - F.col("reach"), F.col("level")), F.lit(0).cast("long")))
-        last = F.when(F.col("reach").isNull(), top).otherwise(F.least(cell(x + F.col("reach"), F.col("level")), top))
-        lookups = lookups.withColumn(f"c{k}", F.explode(F.sequence(first, last)))
-    lookups = lookups.drop("low", "span")
-
-    d = distance(F.col("v"), F.col("w"), dim)
-    met = join_on(lookups, targets, [*series.keys, "level", *[f"c{k}" for k in range(axes)]])
-    near = met.withColumn("d", d).where((F.col("d") > 0) & (F.col("reach").isNull() | (F.col("d") <= F.col("reach"))))
-    near = near.select(*keys, "id", "d", F.explode("times").alias("j"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("d", "j"))
-    best = near.withColumn("__r", rank).where(F.col("__r") <= keep)
-    best = best.groupBy(*keys, "id").agg(F.sort_array(F.collect_list(F.struct("d", "j"))).alias("near"))
-    answers = join_on(bounded.select(*keys, "id", "v"), best, [*series.keys, "id"]).drop("id")
+    times = vectors.withColumn("__r", earliest).where(F.col("__r") <= keep).groupBy(*keys, "v").agg(F.sort_array(F.collect_list("i")).alias("times"))
+    # A vector's first time names it within its series.
+    points = stored(times.select(*keys, F.col("times")[0].alias("id"), "v", "times"))
+    near = nearest_points(points, series.keys, dim, keep)
+    answers = join_on(points.select(*keys, "id", "v"), near, [*series.keys, "id"]).drop("id")
 
     rows = join_on(vectors, answers, [*series.keys, "v"])
     allowed = F.filter("near", lambda c: F.abs(c["j"] - F.col("i")) >= apart)
@@ -195,9 +120,9 @@ def neighbours_by_grid(series: Series, dim: int, tau: int) -> DataFrame:
 def nearest_neighbours(series: Series, dim: int, tau: int, method: str = "auto") -> DataFrame:
     """(keys, n, i, j, d): the nearest allowed neighbour of every delay vector.
 
-    ``method`` is "tiles" (all chunk pairs), "grid" (by cells of value) or "auto",
-    which compares their estimated core seconds.
+    ``method`` is "tiles" (all chunk pairs), "tree" (by leaves of a space
+    partition) or "auto", which compares their estimated core seconds.
     """
     if method == "auto":
-        method = "tiles" if series.squares * TILE_PAIR_SECONDS <= series.rows * GRID_ROW_SECONDS else "grid"
-    return neighbours_by_tiles(series, dim, tau) if method == "tiles" else neighbours_by_grid(series, dim, tau)
+        method = "tiles" if series.squares * TILE_PAIR_SECONDS <= series.rows * TREE_ROW_SECONDS else "tree"
+    return neighbours_by_tiles(series, dim, tau) if method == "tiles" else neighbours_by_tree(series, dim, tau)

@@ -316,7 +316,7 @@ def delay_information_by_user(spark, d):
 
 
 def lyapunov_grid_events(spark, d):
-    return rounded(ls.lyapunov_exponent(by_type(spark, d), 3, 1, method="grid"), lyapunov_exponent=9)
+    return rounded(ls.lyapunov_exponent(by_type(spark, d), 3, 1, method="tree"), lyapunov_exponent=9)
 
 
 def surrogate_events(spark, d):

@@ -106,7 +106,7 @@ NEIGHBOUR_CASES = {
 }
 
 
-@pytest.mark.parametrize("method", ["tiles", "grid"])
+@pytest.mark.parametrize("method", ["tiles", "tree"])
 @pytest.mark.parametrize("case", NEIGHBOUR_CASES)
 def test_nearest_neighbours(series, case, method):
     x, dim, tau = NEIGHBOUR_CASES[case]
