@@ -54,7 +54,7 @@ def autocorrelation(series: Series, max_lag: int) -> DataFrame:
     return series.present(out, (F.col("__p") + 1).alias("lag"), "autocorrelation")
 
 
-def lag_ranges(series: Series, max_lag: int) -> DataFrame:
+def lag_ranges(series: Series, max_lag: int, first: int = 1) -> DataFrame:
     """(keys, lag, ulo, uhi, vlo, vhi, bins) of the earlier and the later values.
 
     All lags share the rows at least ``max_lag`` away from both ends, so one
@@ -64,7 +64,7 @@ def lag_ranges(series: Series, max_lag: int) -> DataFrame:
     t, n, x = F.col("t"), F.col("n"), F.col("x")
     middle = (t >= max_lag) & (t < n - max_lag)
     inner = series.df.where(middle).groupBy(*keys).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
-    ends = series.df.where(~middle).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
+    ends = series.df.where(~middle).withColumn("lag", F.explode(F.sequence(F.lit(first), F.lit(max_lag))))
     ends = ends.where(F.col("lag") < n)
     earlier, later = F.when(t < n - F.col("lag"), x), F.when(t >= F.col("lag"), x)
     edge = ends.groupBy(*keys, "lag", "n").agg(
@@ -77,18 +77,18 @@ def lag_ranges(series: Series, max_lag: int) -> DataFrame:
     return both.select(*keys, "lag", low("ulo"), high("uhi"), low("vlo"), high("vhi"), bins.alias("bins"))
 
 
-def delay_information(series: Series, max_lag: int) -> DataFrame:
-    """(keys, lag, mutual_information) with sqrt(n) bins per lag.
+def delay_information(series: Series, max_lag: int, first: int = 1) -> DataFrame:
+    """(keys, lag, mutual_information) with sqrt(n) bins per lag, from lag ``first`` on.
 
     The ranges of all lags form one small table. The lagged pairs are binned
     against it, merged on the map side and shuffled as counts.
     """
-    lags = list(range(1, max_lag + 1))
+    lags = list(range(first, max_lag + 1))
     keys = series.key_cols()
     wide = with_lags(series, lags)
     pairs = wide.select(*keys, "t", "x", F.posexplode(F.array(*[F.col(f"lag{k}") for k in lags])).alias("__p", "u"))
-    pairs = pairs.where(F.col("t") > F.col("__p")).withColumn("lag", F.col("__p") + 1)
-    ranges = broadcast_if(lag_ranges(series, max_lag), series.count * max_lag)
+    pairs = pairs.withColumn("lag", F.col("__p") + first).where(F.col("t") >= F.col("lag"))
+    ranges = broadcast_if(lag_ranges(series, max_lag, first), series.count * len(lags))
     placed = join_on(pairs, ranges, [*series.keys, "lag"])
     flat = (F.col("uhi") == F.col("ulo")) | (F.col("vhi") == F.col("vlo"))
     a = F.when(flat, F.lit(0)).otherwise(equal_bin(F.col("u"), F.col("ulo"), F.col("uhi"), F.col("bins")))

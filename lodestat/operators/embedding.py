@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from lodestat.errors import InsufficientData
 from lodestat.operators.dependence import delay_information
 from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import join_on
-from lodestat.plans.series import Series
+from lodestat.plans.series import Series, measured
 from lodestat.plans.tiles import BROADCAST_VALUES, TILE, chunk_arrays
 
 # Fixed values of the false-neighbour method.
@@ -23,23 +25,40 @@ QUERY_POINTS = 200
 FALSE_SHARE = 0.01
 LONGEST_DELAY = 50
 
+#: Lags tried at once end here.
+LAG_BLOCKS = (8, 24, LONGEST_DELAY)
+
 FOUND = StructType(
     [StructField("d", ArrayType(DoubleType())), StructField("j", ArrayType(LongType())), StructField("ahead", ArrayType(DoubleType()))]
 )
 
 
 def optimal_delay(series: Series) -> DataFrame:
-    """(keys, n, tau): first interior minimum of the lagged information, else 1."""
+    """(keys, n, tau): first interior minimum of the lagged information, else 1.
+
+    Lags are tried a block at a time, each block only for the series that have
+    no minimum yet.
+    """
     keys = series.key_cols()
-    longest = max(min(series.longest // 4, LONGEST_DELAY), 1)
-    lengths = series.df.where(F.col("t") == 0).select(*keys, "n")
-    info = series.attach(delay_information(series, longest), lengths)
-    info = info.where(F.col("lag") <= F.least(F.floor(F.col("n") / 4), F.lit(LONGEST_DELAY)))
-    order = Window.partitionBy(*keys).orderBy("lag")
-    mi = F.col("mutual_information")
-    low = (mi < F.lag(mi).over(order)) & (mi <= F.lead(mi).over(order))
-    minima = info.select(*keys, F.when(low, F.col("lag")).alias("lag")).groupBy(*keys).agg(F.min("lag").alias("tau"))
-    return join_on(lengths, minima, series.keys, "left").select(*keys, "n", F.coalesce(F.col("tau"), F.lit(1)).cast("long").alias("tau"))
+    lengths = stored(series.df.where(F.col("t") == 0).select(*keys, "n"))
+    last_lag = F.least(F.floor(F.col("n") / 4), F.lit(LONGEST_DELAY))
+    left, before, found, first = series, None, [], 1
+    while left.count and first <= min(left.longest // 4, LONGEST_DELAY):
+        last = min(next(b for b in LAG_BLOCKS if b >= first), left.longest // 4)
+        info = series.attach(delay_information(left, last, first), lengths).where(F.col("lag") <= last_lag)
+        info = info.select(*keys, "lag", "mutual_information")
+        # The last two lags of a block are the neighbours of the next one's first.
+        info = stored(info if before is None else info.unionByName(left.attach(before, left.df.where(F.col("t") == 0).select(*keys))))
+        order = Window.partitionBy(*keys).orderBy("lag")
+        mi = F.col("mutual_information")
+        low = (mi < F.lag(mi).over(order)) & (mi <= F.lead(mi).over(order))
+        minima = info.select(*keys, F.when(low, F.col("lag")).alias("lag")).groupBy(*keys).agg(F.min("lag").alias("tau"))
+        found.append(stored(minima.where(F.col("tau").isNotNull())))
+        before, first = info.where(F.col("lag") >= last - 1), last + 1
+        more = join_on(lengths.where(last_lag > last), found[-1], series.keys, "left").where(F.col("tau").isNull()).select(*keys)
+        left = measured(series.attach(left.df, more), series.keys, series.names)
+    chosen = reduce(DataFrame.unionByName, found) if found else lengths.select(*keys, F.lit(1).alias("tau")).limit(0)
+    return join_on(lengths, chosen, series.keys, "left").select(*keys, "n", F.coalesce(F.col("tau"), F.lit(1)).cast("long").alias("tau"))
 
 
 def query_points(series: Series, plan: DataFrame, max_dim: int) -> DataFrame:

@@ -11,9 +11,13 @@ from lodestat.errors import ColumnNotFound
 from lodestat.functions.scalars import ratio
 from lodestat.operators.matrix import correlation_matrix
 from lodestat.operators.univariate import column_stats, long_view, profile, unique_count
+from lodestat.plans.checkpoints import stored
 from lodestat.plans.joins import join_on
 from lodestat.plans.ordering import ranked_values
 
+#: Values of all broadcast rank maps together.
+MAP_VALUES = 500_000
+
 
 def correlation_pairs(df: DataFrame, threshold: float, columns=None) -> DataFrame:
     """Column pairs with abs(r) at or above the threshold, strongest first."""
@@ -34,17 +38,23 @@ def correlation_with_target(df: DataFrame, target: str, columns=None) -> DataFra
 def average_ranks(df: DataFrame, columns=None) -> DataFrame:
     """Each numeric column replaced by its average ranks over non-NULL rows.
 
-    All columns are ranked in one range sort of their distinct values; the
-    ranks come back to the rows by an equi-join on (column, value).
+    The values of all columns are counted, merged on the map side, and the
+    distinct ones ranked in one range sort: a map from value to rank for each
+    column. Every row stays whole and looks its ranks up, in broadcast maps as
+    far as they hold MAP_VALUES values together, the smallest first; beyond,
+    in shuffled ones, where adaptive execution splits hot values.
     """
     names = pick(df, columns)
-    rows = df.select(F.monotonically_increasing_id().alias("__row"), *[number(c).alias(c) for c in names])
-    cells = long_view(rows, names, ["__row"], number).where(F.col("__value").isNotNull())
+    cells = long_view(df, names, [], number).where(F.col("__value").isNotNull())
     table = ranked_values(cells, ["column"], "__value")
-    ranks = table.select("column", "__value", (F.col("__before") + (F.col("__w") + 1) / F.lit(2.0)).alias("rank"))
-    ranked = join_on(cells, ranks, ["column", "__value"])
-    per_column = [F.max(F.when(F.col("column") == F.lit(c), F.col("rank"))).alias(c) for c in names]
-    return ranked.groupBy("__row").agg(*per_column).drop("__row")
+    ranks = stored(table.select("column", "__value", (F.col("__before") + (F.col("__w") + 1) / F.lit(2.0)).alias("rank")))
+    sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
+    rows, held = df.select(*[number(c).alias(f"__v{i}") for i, c in enumerate(names)]), 0
+    for i, c in sorted(enumerate(names), key=lambda at: sizes.get(at[1], 0)):
+        held += sizes.get(c, 0)
+        own = ranks.where(F.col("column") == F.lit(c)).select(F.col("__value").alias(f"__v{i}"), F.col("rank").alias(f"__r{i}"))
+        rows = join_on(rows, F.broadcast(own) if held <= MAP_VALUES else own, [f"__v{i}"], "left")
+    return rows.select(*[F.col(f"__r{i}").alias(c) for i, c in enumerate(names)])
 
 
 def spearman_correlation_matrix(df: DataFrame, columns=None) -> DataFrame:

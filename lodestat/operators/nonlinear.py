@@ -52,7 +52,8 @@ def nonlinearity_gap(df: DataFrame, features: Sequence[str], target: str, key: s
     keys = [key] if isinstance(key, str) else list(key)
     require_columns(df, keys)
     pick(df, [*features, target])
-    mark = (F.pmod(F.xxhash64(*[ref(k) for k in keys]), F.lit(1000)) < int(HOLD_OUT * 1000)).alias("__held")
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(ref(k).cast("string"), F.lit("")) for k in keys]))
+    mark = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000 < int(HOLD_OUT * 1000)).alias("__held")
     data = stored(assembled(df, features, target, [mark]))
     train, test = data.where(~F.col("__held")), data.where(F.col("__held"))
     linear = r_squared(LinearRegression(solver="normal").fit(train).transform(test))

@@ -70,8 +70,11 @@ def repeated_rows(df: DataFrame) -> DataFrame:
 def duplicate_columns(df: DataFrame) -> DataFrame:
     """Pairs of same-typed columns that agree on every row (NULL equals NULL).
 
-    One aggregate of order-free checksums finds candidates; a second compares
-    the candidates value by value.
+    Order-free checksums sort the columns into classes. Each member is then
+    compared with the first of its class, value by value; those that differ
+    form a class of their own, until none is left. So the comparisons of a
+    pass are fewer than the columns, and a second pass only follows a checksum
+    that unequal columns share.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
@@ -86,9 +89,11 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     groups: dict[tuple, list[str]] = {}
     for i, c in enumerate(names):
         groups.setdefault((kinds[c].simpleString(), sums[i][0]), []).append(c)
-    pairs = [p for g in groups.values() for p in combinations(g, 2)]
-    schema = "column_a string, column_b string"
-    if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
-    differ = df.agg(*[F.count_if(~ref(a).eqNullSafe(ref(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return df.sparkSession.createDataFrame([p for i, p in enumerate(pairs) if differ[i] == 0], schema)
+    open_classes, pairs = [g for g in groups.values() if len(g) > 1], []
+    while open_classes:
+        tested = [(g[0], c) for g in open_classes for c in g[1:]]
+        differ = df.agg(*[F.count_if(~ref(a).eqNullSafe(ref(b))).alias(f"p{i}") for i, (a, b) in enumerate(tested)]).first()
+        unequal = {c for i, (_, c) in enumerate(tested) if differ[i]}
+        pairs += [p for g in open_classes for p in combinations([c for c in g if c not in unequal], 2)]
+        open_classes = [left for g in open_classes if len(left := [c for c in g if c in unequal]) > 1]
+    return df.sparkSession.createDataFrame(pairs, "column_a string, column_b string")

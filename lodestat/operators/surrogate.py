@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -14,6 +14,12 @@ from lodestat.plans.joins import join_on
 from lodestat.plans.series import Series, detrended, with_lags
 from lodestat.plans.tiles import TILE
 
+#: Chunk summaries that one step of the scan composes.
+FAN_IN = 64
+#: Hexadecimal digits of the hash that orders a surrogate.
+HASH_DIGITS = 15
+
+
 def fitted_ar1(series: Series) -> tuple[DataFrame, DataFrame]:
     """(keys, mean, phi, statistic_real) and (keys, t, n, e) of the detrended series."""
     keys = series.key_cols()
@@ -67,21 +73,36 @@ def chunk_summary(e: np.ndarray, phi: float, mean: float, first: bool) -> list[f
     return last + [float(t.sum()) for t in terms]
 
 
+def composed(first: Column, second: Column) -> Column:
+    """Summary of two neighbouring stretches from theirs, each as :func:`chunk_summary` gives it."""
+    a, f = first[0], first[1]
+    c0, c1, c2, c3 = (second[k] for k in range(2, 6))
+    cubic = (
+        c0 + a * (c1 + a * (c2 + a * c3)),
+        f * (c1 + a * (c2 * 2 + a * c3 * 3)),
+        f * f * (c2 + a * c3 * 3),
+        f * f * f * c3,
+    )
+    return F.array(second[0] + second[1] * a, second[1] * f, *[first[k + 2] + gain for k, gain in enumerate(cubic)])
+
+
 def hashed_statistics(series: Series, model: DataFrame, residuals: DataFrame, surrogates: int, seed: int) -> DataFrame:
     """(keys, b, statistic): AR(1) driven by residuals in hashed order.
 
     The order of surrogate b sorts the residuals by a hash of (seed, b, t).
     Its leading bits assign rows to chunks of about TILE rows, its value sorts
-    them inside: one shuffle of rows however long a series is. A chunk's
-    effect is a cubic in the value it starts from, so chunks are independent
-    and a short fold over their summaries finishes the surrogate.
+    them inside: one shuffle of rows however long a series is. A chunk maps
+    the value it starts from to its last one and adds a cubic of it. Such maps
+    compose, so a tree that merges FAN_IN of them a step finishes surrogates
+    of any length.
     """
     keys = series.key_cols()
-    spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("b"), F.col("t")), 1)
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("b"), F.col("t")))
+    spot = F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
     chunks = F.greatest(F.ceil(F.col("n") / TILE), F.lit(1)).cast("double")
     spread = residuals.repartition(series.tasks(surrogates), *keys, "t")
     rows = spread.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(surrogates - 1)))).withColumn("h", spot)
-    rows = rows.withColumn("chunk", F.floor(F.col("h").cast("double") / F.lit(float(1 << 63)) * chunks))
+    rows = rows.withColumn("chunk", F.floor(F.col("h").cast("double") / F.lit(float(1 << 4 * HASH_DIGITS)) * chunks).cast("long"))
     packed = rows.groupBy(*keys, "b", "chunk", "n").agg(F.sort_array(F.collect_list(F.struct("h", "t", "e"))).alias("__r"))
     packed = series.attach(packed.withColumn("e", F.transform("__r", lambda r: r["e"])).drop("__r"), model.select(*keys, "phi", "mean"))
     lowest = F.col("chunk") == F.lit(0)
@@ -90,17 +111,17 @@ def hashed_statistics(series: Series, model: DataFrame, residuals: DataFrame, su
     def summary(e: pd.Series, phi: pd.Series, mean: pd.Series, first: pd.Series) -> pd.Series:
         return pd.Series([chunk_summary(np.asarray(x), p, m, s) for x, p, m, s in zip(e, phi, mean, first)])
 
-    parts = packed.select(*keys, "b", "n", F.struct("chunk", summary("e", "phi", "mean", lowest).alias("s")).alias("part"))
-    ordered = parts.groupBy(*keys, "b", "n").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    start = F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("total"))
-
-    def extend(acc, part):
-        y, s = acc["y"], part["s"]
-        gain = s[2] + y * (s[3] + y * (s[4] + y * s[5]))
-        return F.struct((s[0] + y * s[1]).alias("y"), (acc["total"] + gain).alias("total"))
-
-    total = F.aggregate("parts", start, extend)["total"]
-    return ordered.select(*keys, "b", (total / (F.col("n") - 2)).alias("statistic"))
+    parts = packed.select(*keys, "b", "n", "chunk", summary("e", "phi", "mean", lowest).alias("s"))
+    spans = max(-(-series.longest // TILE), 1)
+    while True:
+        spans = -(-spans // FAN_IN)
+        near = F.floor(F.col("chunk") / FAN_IN).cast("long").alias("chunk")
+        listed = parts.groupBy(*keys, "b", "n", near).agg(F.sort_array(F.collect_list(F.struct("chunk", "s"))).alias("parts"))
+        nothing = F.array(*[F.lit(v) for v in (0.0, 1.0, 0.0, 0.0, 0.0, 0.0)])
+        parts = listed.select(*keys, "b", "n", "chunk", F.aggregate("parts", nothing, lambda done, part: composed(done, part["s"])).alias("s"))
+        if spans == 1:
+            break
+    return parts.select(*keys, "b", (F.col("s")[2] / (F.col("n") - 2)).alias("statistic"))
 
 
 def surrogate_test(series: Series, num_surrogates: int = 100, seed: int = 12345) -> DataFrame:

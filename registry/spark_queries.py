@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lodestat as ls
+from lodestat.operators.nonlinear import SCORE_METRICS
 from lodestat.plans.checkpoints import ensure_checkpoint_dir
 from lodestat.plans.series import Series
 from registry.rounding import rounded
@@ -265,16 +266,16 @@ def dependence_events(spark, d):
 
 
 def memory_events(spark, d):
-    out = ls.memory_profile(by_type(spark, d), 2)
+    out = ls.memory_profile(by_type(spark, d), 10)
+    lags = range(1, 11)
     flat = out.select(
         "event_type",
-        F.col("partial_autocorrelations")[0].alias("pacf1"),
-        F.col("partial_autocorrelations")[1].alias("pacf2"),
+        *[F.col("partial_autocorrelations")[k - 1].alias(f"pacf{k}") for k in lags],
+        *[F.col("delay_mutual_informations")[k - 1].alias(f"mi{k}") for k in lags],
         "active_information_storage",
-        F.col("delay_mutual_informations")[0].alias("mi1"),
         "memory_length",
     )
-    return rounded(flat, pacf1=8, pacf2=8, active_information_storage=8, mi1=8)
+    return rounded(flat, active_information_storage=8, **{f"{c}{k}": 8 for c in ("pacf", "mi") for k in lags})
 
 
 def correlation_integral_events(spark, d):
@@ -286,12 +287,12 @@ def triple_correlation_events(spark, d):
 
 
 def bds_events(spark, d):
-    out = ls.bds_test(by_type(spark, d), 2, 40.0)
+    out = ls.bds_test(by_type(spark, d), 3, 40.0)
     return rounded(out, c1=10, cm=10, k=10, statistic=7, p_value=7)
 
 
 def bds_rank_boxes_events(spark, d):
-    out = ls.bds_test(by_type(spark, d), 2, 40.0, method="boxes")
+    out = ls.bds_test(by_type(spark, d), 3, 40.0, method="boxes")
     return rounded(out, c1=10, cm=10, k=10, statistic=7, p_value=7)
 
 
@@ -304,7 +305,7 @@ def false_neighbours_events(spark, d):
 
 
 def delay_embedding_events(spark, d):
-    return ls.delay_embedding(by_type(spark, d), 4)
+    return ls.delay_embedding(by_type(spark, d), 10)
 
 
 def ar1_fit_events(spark, d):
@@ -320,7 +321,8 @@ def lyapunov_grid_events(spark, d):
 
 
 def surrogate_events(spark, d):
-    return ls.surrogate_test(by_type(spark, d), 20)
+    out = ls.surrogate_test(by_type(spark, d))
+    return rounded(out, statistic_real=3, surrogate_mean=3, surrogate_std=3, z_score=5)
 
 
 def streamed(spark: SparkSession, d: str, profile) -> DataFrame:
@@ -454,7 +456,30 @@ def nonlinearity_gap_part(spark, d):
 
 def interaction_strength_lineitem(spark, d):
     df = table(spark, d, "lineitem").withColumn("charge", F.col("l_quantity") * F.col("l_tax"))
-    return ls.interaction_strength(df, ["l_quantity", "l_tax"], "charge", rounds=8)
+    return ls.interaction_strength(df, ["l_quantity", "l_tax"], "charge")
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem with indicators that a regression tree learns exactly."""
+    late, back = (F.col("l_linenumber") > 3).cast("double"), (F.col("l_returnflag") == "R").cast("double")
+    return table(spark, d, "lineitem").withColumns({"late": late, "back": back, "both": late * back})
+
+
+def nonlinearity_gap_lineitem(spark, d):
+    out = ls.nonlinearity_gap(steps(spark, d), ["l_linenumber"], "late", ["l_orderkey", "l_linenumber"])
+    return rounded(out, r2_linear=6, r2_nonlinear=6, nonlinearity_gap=6)
+
+
+def interaction_strength_steps(spark, d):
+    return rounded(ls.interaction_strength(steps(spark, d), ["late", "back"], "both"), interaction_strength=6)
+
+
+def combined_score_steps(spark, d):
+    chaos = ls.lyapunov_exponent(by_type(spark, d), 3, 1).agg(F.avg("lyapunov_exponent").alias("lyapunov_exponent"))
+    parts = [nonlinearity_gap_lineitem(spark, d), information_ratio_orders(spark, d), polynomial_gain_part(spark, d), chaos, interaction_strength_steps(spark, d)]
+    metrics = spark.range(1).select(*[p.select(m).scalar().alias(m) for p, m in zip(parts, SCORE_METRICS)])
+    out = ls.combined_score(metrics, {m: 0.1 if m == "information_ratio" else 1 for m in SCORE_METRICS})
+    return rounded(out, information_ratio=3, score=3, **{m: 6 for m in SCORE_METRICS if m != "information_ratio"})
 
 
 def regime_switching_events(spark, d):
@@ -463,17 +488,17 @@ def regime_switching_events(spark, d):
 
 def combined_score_lineitem(spark, d):
     df = table(spark, d, "lineitem")
-    gap = ls.nonlinearity_gap(df, ["l_quantity", "l_discount"], "l_extendedprice", ["l_orderkey", "l_linenumber"], trees=5, depth=4)
+    gap = ls.nonlinearity_gap(df, ["l_quantity", "l_discount"], "l_extendedprice", ["l_orderkey", "l_linenumber"])
     ratio = ls.information_ratio(df, "l_quantity", "l_extendedprice").select("information_ratio")
     gain = ls.polynomial_gain(df, ["l_quantity", "l_discount"], "l_extendedprice").select("polynomial_gain")
     chaos = ls.lyapunov_exponent(by_type(spark, d), 2, 1).agg(F.avg("lyapunov_exponent").alias("lyapunov_exponent"))
-    tied = ls.interaction_strength(df, ["l_quantity", "l_discount"], "l_extendedprice", rounds=3)
+    tied = ls.interaction_strength(df, ["l_quantity", "l_discount"], "l_extendedprice")
     scalar = lambda t: t.scalar()
     metrics = gap.select("nonlinearity_gap", scalar(ratio).alias("information_ratio"), scalar(gain).alias("polynomial_gain"), scalar(chaos).alias("lyapunov_exponent"), scalar(tied).alias("interaction_strength"))
     return ls.combined_score(metrics, {"nonlinearity_gap": 1, "information_ratio": 0.1, "polynomial_gain": 1, "lyapunov_exponent": 1, "interaction_strength": 1})
 
 
-HELPERS = {"table", "gappy", "by_type", "whole", "by_user", "split_frame", "rounded", "streamed", "ensure_checkpoint_dir"}
+HELPERS = {"table", "gappy", "steps", "by_type", "whole", "by_user", "split_frame", "rounded", "streamed", "ensure_checkpoint_dir"}
 
 
 def all_queries():

@@ -169,17 +169,83 @@ def cm_sql(dim: int, eps: float) -> str:
     return f"""cm as (select a.g, count(*) * 2.0 / ((max(a.n) - {dim - 1}) * (max(a.n) - {dim})) cm from v a join v b on a.g = b.g and a.i < b.i and {near} group by a.g)"""
 
 
-def bds_sql() -> str:
+def bds_sql(m: int) -> str:
+    middle = " + ".join(f"power(k, {m - j}) * power(c1, {2 * j})" for j in range(1, m))
     return f"""
-    with {SERIES}, {DETRENDED}, {near_sql('d', 40.0)}, {vector_sql('d', 2)}, {cm_sql(2, 40.0)},
-    q as (select c1.g, n, c1, cm, k, 4 * (k * k + 2 * k * c1 * c1 + power(c1, 4) - 4 * k * c1 * c1) v from c1 join cm on c1.g = cm.g),
-    z as (select *, coalesce(case when v > 0 then sqrt(n - 1) * (cm - c1 * c1) / sqrt(v) end, 0) st from q),
+    with {SERIES}, {DETRENDED}, {near_sql('d', 40.0)}, {vector_sql('d', m)}, {cm_sql(m, 40.0)},
+    q as (select c1.g, n, c1, cm, k, 4 * (power(k, {m}) + 2 * ({middle}) + {(m - 1) ** 2} * power(c1, {2 * m}) - {m * m} * k * power(c1, {2 * m - 2})) v from c1 join cm on c1.g = cm.g),
+    z as (select *, coalesce(case when v > 0 then sqrt(n - {m - 1}) * (cm - power(c1, {m})) / sqrt(v) end, 0) st from q),
     e as (select *, 1.0 / (1.0 + 0.3275911 * abs(st) / sqrt(2.0)) tt from z)
     select g event_type, {dec('c1', 10)} c1, {dec('cm', 10)} cm, {dec('k', 10)} k, {dec('st', 7)} as statistic,
       {dec('2 * (1 - 0.5 * (1 + (1 - (((((1.061405429 * tt - 1.453152027) * tt) + 1.421413741) * tt - 0.284496736) * tt + 0.254829592) * tt * exp(-st * st / 2))))', 7)} p_value
     from e"""
 
 
+def pacf_sql(max_lag: int) -> str:
+    """dl<max_lag>(g, p1, ..): partial autocorrelations of acf(g, lag, r), order by order."""
+    ctes = ["dl0 as (select g, " + ", ".join(f"max(r) filter (lag = {k}) r{k}" for k in range(1, max_lag + 1)) + " from acf group by g)"]
+    for k in range(1, max_lag + 1):
+        top = " - ".join([f"r{k}", *[f"a{k - 1}_{j} * r{k - j}" for j in range(1, k)]])
+        bottom = " - ".join(["1", *[f"a{k - 1}_{j} * r{j}" for j in range(1, k)]])
+        rest = "".join(f", a{k - 1}_{j} - p{k} * a{k - 1}_{k - j} a{k}_{j}" for j in range(1, k))
+        ctes += [f"dn{k} as (select *, ({top}) / ({bottom}) p{k} from dl{k - 1})", f"dl{k} as (select *, p{k} a{k}_{k}{rest} from dn{k})"]
+    return ", ".join(ctes)
+
+
+def memory_sql(max_lag: int) -> str:
+    lags = range(1, max_lag + 1)
+    wide = "mw as (select g, sum(mi) total, " + ", ".join(f"max(mi) filter (lag = {k}) m{k}" for k in lags) + " from mi group by g)"
+    out = ", ".join([f"{dec(f'p{k}', 8)} as pacf{k}" for k in lags] + [f"{dec(f'm{k}', 8)} as mi{k}" for k in lags])
+    longest = "greatest(" + ", ".join(f"case when abs(p{k}) > 2 / sqrt(n) then {k} else 0 end" for k in lags) + ")::int"
+    return (
+        f"with {SERIES}, {acf_sql(max_lag)}, {pacf_sql(max_lag)}, {mi_sql(max_lag)}, {wide}, ns as (select g, count(*) n from s group by g)"
+        f" select dl.g as event_type, {out}, {dec('total', 8)} as active_information_storage, {longest} as memory_length"
+        f" from dl{max_lag} dl join mw on mw.g = dl.g join ns on ns.g = dl.g"
+    )
+
+
+def surrogate_sql(surrogates: int) -> str:
+    """AR(1) driven by residuals in the order of a hash, folded row after row."""
+    step, value = "(a.y * phi + z.y)", "(mu + a.y)"
+    return f"""
+    with {SERIES}, {DETRENDED}, m as (select g, avg(x) mu from d group by g),
+    p as (select u.g, w.t, w.n, u.x y, w.x x, mu from d u join d w on w.g = u.g and w.t = u.t + 1 join m on m.g = u.g),
+    model as (select g, max(n) n, max(mu) mu, sum((x - mu) * (y - mu)) / sum((y - mu) * (y - mu)) phi, avg(x * x * y - x * y * y) real from p group by g),
+    o as (select p.g, b, list((x - p.mu) - phi * (y - p.mu) order by ('0x' || substr(md5('12345:' || b || ':' || t), 1, 15))::bigint, t) es
+          from p join model on model.g = p.g cross join range({surrogates}) q(b) group by p.g, b),
+    st as (select o.g, list_reduce(list_transform(es, lambda e: {{'y': e, 's': 0.0::double}}),
+             lambda a, z: {{'y': {step}, 's': a.s + (mu + {step}) * {value} * ({step} - a.y)}}).s / (n - 2) v from o join model on model.g = o.g),
+    f2 as (select g, avg(v) sm, stddev_samp(v) sd from st group by g)
+    select model.g as event_type, {dec('real', 3)} as statistic_real, {dec('sm', 3)} as surrogate_mean, {dec('sd', 3)} as surrogate_std,
+      {dec('(real - sm) / sd', 5)} as z_score, abs((real - sm) / sd) > 2 as is_nonlinear from model join f2 on f2.g = model.g"""
+
+
+STEPS = "(select l_orderkey, l_linenumber, (l_linenumber > 3)::int::double late, (l_returnflag = 'R')::int::double back, late * back \"both\" from lineitem)"
+
+
+def gap_sql() -> str:
+    held = "('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8))::bigint % 1000 < 250"
+    linear = "1 - sum(power(late - (a + b * l_linenumber), 2)) / (var_pop(late) * count(*))"
+    return (
+        f"with t as (select *, {held} held from {STEPS}), f as (select regr_slope(late, l_linenumber) b, regr_intercept(late, l_linenumber) a from t where not held),"
+        f" r as (select {linear} lin from t, f where held) select {dec('lin', 6)} as r2_linear, 1.0::double as r2_nonlinear, {dec('1 - lin', 6)} as nonlinearity_gap from r"
+    )
+
+
+def interaction_sql() -> str:
+    return (
+        f'with c as (select corr("both", late) a, corr("both", back) b, corr(late, back) d from {STEPS})'
+        f" select {dec('1 - (a * a + b * b - 2 * a * b * d) / (1 - d * d)', 6)} as interaction_strength from c"
+    )
+
+
+def equal_columns_sql(source: str, kinds: dict[str, list[str]]) -> str:
+    """Every pair of columns of one type, compared row by row."""
+    pairs = [(a, b) for names in kinds.values() for i, a in enumerate(names) for b in names[i + 1 :]]
+    tests = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'same': bool_and({a} is not distinct from {b})}}" for a, b in pairs)
+    return f"select p.a as column_a, p.b as column_b from (select unnest([{tests}]) p from {source}) where p.same"
+
+
 def fnn_sql(dims: int) -> str:
     """fnn(g, dim, tau, nc, share) for plan(g, n, tau)."""
     values = ", ".join(f"lead(s.x, {k} * tau::int) over (partition by s.g order by s.t) x{k}" for k in range(dims + 1))
@@ -382,16 +448,12 @@ def all_sql() -> dict[str, str]:
         f"with {SERIES}, {acf_sql(10)}, {mi_sql(10)}, b as (select acf.g, acf.lag, r, mi, mi > 1.5 * -0.5 * ln(1 - r * r) hit from acf join mi on acf.g = mi.g and acf.lag = mi.lag)"
         f" select g as event_type, lag::int as lag, {dec('r', 8)} as autocorrelation, {dec('mi', 8)} as mutual_information, bool_or(hit) over (partition by g) as nonlinear_dominance from b"
     )
-    q["memory_events"] = (
-        f"with {SERIES}, {acf_sql(2)}, {two}, {mi_sql(2)}, ns as (select g, count(*) n from s group by g)"
-        f" select pc2.g as event_type, {dec('r1', 8)} as pacf1, {dec('p2', 8)} as pacf2, {dec('m1.mi + m2.mi', 8)} as active_information_storage, {dec('m1.mi', 8)} as mi1,"
-        " (case when abs(p2) > 2 / sqrt(n) then 2 when abs(r1) > 2 / sqrt(n) then 1 else 0 end)::int as memory_length"
-        " from pc2 join mi m1 on m1.g = pc2.g and m1.lag = 1 join mi m2 on m2.g = pc2.g and m2.lag = 2 join ns on ns.g = pc2.g"
-    )
+    q["memory_events"] = memory_sql(10)
+    q["surrogate_events"] = surrogate_sql(100)
     q["correlation_integral_events"] = f"with {SERIES}, {vector_sql('s', 3)}, {cm_sql(3, 25.0)} select g as event_type, {dec('cm', 10)} as correlation_integral from cm"
     q["triple_correlation_events"] = f"with {SERIES}, {near_sql('s', 25.0)} select g as event_type, {dec('k', 10)} as triple_correlation from c1"
-    q["bds_events"] = bds_sql()
-    q["bds_rank_boxes_events"] = bds_sql()
+    q["bds_events"] = bds_sql(3)
+    q["bds_rank_boxes_events"] = bds_sql(3)
     q["lyapunov_events"] = lyapunov_sql()
     q["lyapunov_grid_events"] = lyapunov_sql()
     q["delay_information_by_user"] = (
@@ -407,7 +469,7 @@ def all_sql() -> dict[str, str]:
     q["delay_embedding_events"] = (
         f"with {SERIES}, {mi_sql(50)}, mm as (select g, lag, mi, lag(mi) over (partition by g order by lag) pm, lead(mi) over (partition by g order by lag) nm from mi),"
         " plan as (select s.g, max(s.n) n, coalesce((select min(lag) from mm where mm.g = s.g and mi < pm and mi <= nm), 1) tau from s group by s.g),"
-        f" {fnn_sql(4)} select g as event_type, max(tau)::bigint as optimal_delay, coalesce(min(case when share < 0.01 then dim end), max(dim))::int as embedding_dimension from fnn where nc >= 20 group by g"
+        f" {fnn_sql(10)} select g as event_type, max(tau)::bigint as optimal_delay, coalesce(min(case when share < 0.01 then dim end), max(dim))::int as embedding_dimension from fnn where nc >= 20 group by g"
     )
     odd = "(select doc_id, nullif(lang, 'en') lang, case when doc_id % 4 <> 0 then source end source, n_chars from documents)"
     q["missing_documents"] = union(
@@ -423,10 +485,13 @@ def all_sql() -> dict[str, str]:
         " from (select count(*) c from lineitem group by l_quantity, l_discount, l_tax, l_returnflag)"
     )
     q["repeated_documents"] = "select md5(text) as digest, lang, count(*) as copies from documents group by text, lang having count(*) > 1"
-    agree = "(select bool_and(l_quantity is not distinct from l_quantity) from lineitem)"
-    q["duplicate_columns_lineitem"] = (
-        f"select 'l_quantity' as column_a, 'qty_again' as column_b where {agree} union all select 'l_returnflag', 'flag_again'"
-        " union all select 'l_quantity', 'l_extendedprice' where (select bool_and(l_quantity = l_extendedprice) from lineitem)"
+    q["duplicate_columns_lineitem"] = equal_columns_sql(
+        "(select *, l_quantity qty_again, l_returnflag flag_again from lineitem)",
+        {
+            "bigint": ["l_orderkey", "l_partkey", "l_suppkey"],
+            "double": ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "qty_again"],
+            "string": ["l_returnflag", "l_linestatus", "flag_again"],
+        },
     )
     q["top_part_types"] = "select p_type as value, count(*) as count from part group by 1 order by 2 desc, 1 limit 10"
     q["top_types_per_brand"] = (
@@ -487,5 +552,19 @@ def all_sql() -> dict[str, str]:
         " c as (select corr(y, x) a, corr(y, x * x) b, corr(x, x * x) d from z), e as (select a * a lin, (a * a + b * b - 2 * a * b * d) / (1 - d * d) pol from c)"
         f" select {dec('lin', 6)} as r2_linear, {dec('pol', 6)} as r2_polynomial, {dec('pol - lin', 6)} as polynomial_gain from e"
     )
+    q["nonlinearity_gap_lineitem"] = gap_sql()
+    q["interaction_strength_steps"] = interaction_sql()
+    chaos = f"select avg(lyapunov_exponent) lyapunov_exponent from ({lyapunov_sql()})"
+    parts = {
+        "nonlinearity_gap": q["nonlinearity_gap_lineitem"],
+        "information_ratio": q["information_ratio_orders"],
+        "polynomial_gain": q["polynomial_gain_part"],
+        "lyapunov_exponent": chaos,
+        "interaction_strength": q["interaction_strength_steps"],
+    }
+    metrics = ", ".join(f"(select {m} from ({sql})) {m}" for m, sql in parts.items())
+    digits = ", ".join(f"{dec(m, 3 if m == 'information_ratio' else 6)} as {m}" for m in parts)
+    total = " + ".join(f"{m} * 0.1" if m == "information_ratio" else m for m in parts)
+    q["combined_score_steps"] = f"with metrics as (select {metrics}) select {digits}, {dec(total, 3)} as score from metrics"
     q["regime_switching_events"] = regime_sql()
     return q
