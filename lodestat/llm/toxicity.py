@@ -17,6 +17,8 @@ from lodestat.llm.scratch import Scratch
 #: Hashed n-gram features (a power of two), orders, and features in one block of counts.
 BITS, ORDERS, BLOCK = 18, (4, 5), 4096
 FEATURES = 1 << BITS
+#: Groups in which the counts of input tasks are added up first.
+TURNS = 64
 
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[97:123] = np.arange(97, 123)
@@ -127,6 +129,7 @@ def fit_toxicity_model(
     selected: int = 4096,
     rounds: int = 400,
     decay: float = 1e-4,
+    prior: float = 0.5,
     seed: int = 3,
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -138,6 +141,9 @@ def fit_toxicity_model(
     ratio r. Of these the `selected` with the largest r against its standard error are kept. The logistic regression on
     presence times r is fitted on a bounded sample: about `per_class` documents of each class, drawn by a seeded hash of
     the id. Null labels teach nothing. With one class or none the model is the smoothed rate alone.
+
+    Scores assume that `prior` of the texts are of label 1, whatever share of the sample they are: the sample's odds
+    are taken out of the bias again. So neither `per_class` nor the size of the input moves a threshold.
     """
     scratch = Scratch(docs.sparkSession)
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where("label in (0, 1)")
@@ -146,7 +152,9 @@ def fit_toxicity_model(
     turn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(known, "id").select("label", turn.alias("turn"), "text")
     parts = scratch.store(rows.mapInArrow(_gathered(rates), "block int, label int, counts array<int>, text string"))
-    sums = parts.where("block >= 0").groupBy("block", "label").applyInPandas(_summed, "block int, label int, counts array<long>")
+    sums = parts.where("block >= 0").withColumn("turn", F.spark_partition_id() % TURNS)
+    for by in (("block", "label", "turn"), ("block", "label")):  # so no task gets the blocks of all input tasks
+        sums = sums.groupBy(*by).applyInPandas(_summed, "block int, label int, counts array<long>")
     counts, seen = np.zeros((2, FEATURES)), np.zeros(2)
     for r in sums.toLocalIterator():
         if r["block"] == FEATURES // BLOCK:
@@ -174,6 +182,7 @@ def fit_toxicity_model(
     y = np.array([r["label"] for r in sample], float)
     scaled = ratio[chosen]
     w, bias = _logistic(starts, at, scaled[at], y, len(chosen), decay, rounds)
+    bias += float(np.log(prior / (1 - prior)) - np.log(y.sum() / (len(y) - y.sum())))
     weights[chosen] = w * scaled
     return ToxicityModel(weights, bias)
 
