@@ -18,8 +18,8 @@ from lodestat.llm.scratch import Scratch
 #: Hashed n-gram dimensions; orders of the n-grams.
 DIMENSIONS, ORDERS = 4096, (1, 2, 3)
 UNKNOWN = "und"
-#: A document nearer than this share of the lowest training similarity of its length is kept.
-SLACK = 0.5
+#: A document nearer than this share of the lowest training similarity of its language and length is kept.
+SLACK = 0.55
 
 _CLASS = np.full(256, 32, np.uint32)
 _CLASS[97:123] = np.arange(97, 123)
@@ -69,17 +69,18 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _band(counts: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64)
+    """Length band: by different n-grams, so that a text which repeats itself counts as the short one it is."""
+    return np.log2(np.maximum(np.count_nonzero(counts, axis=1), 1)).astype(np.int64)
 
 
 @dataclass
 class LanguageModel:
-    """Centroids (unit rows), their languages, inverse document frequencies and the least similarity by length band."""
+    """Centroids (unit rows), their languages, inverse document frequencies and the least similarity by language and length band."""
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    least: dict[int, float]
+    least: dict[str, dict[int, float]]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +148,21 @@ def fit_language_model(
     fitted = counted.groupBy("lang").applyInPandas(_clustered(idf, clusters, rounds), "lang string, centroid array<double>, bands array<int>, least array<double>")
     found = sorted(fitted.collect(), key=lambda r: (r["lang"], r["centroid"]))
     scratch.drop(counted)
-    least: dict[int, float] = {}
-    for r in found:
-        for band, value in zip(r["bands"], r["least"], strict=True):
-            least[band] = min(value, least.get(band, 1.0))
+    least = {r["lang"]: dict(zip(r["bands"], r["least"], strict=True)) for r in found}
     centroids = np.array([r["centroid"] for r in found], np.float32).reshape(len(found), DIMENSIONS)
     return LanguageModel([r["lang"] for r in found], centroids, idf, least)
 
 
 def _predictor(model: LanguageModel, column: int):
     names = np.array([*model.languages, UNKNOWN], object)
-    trained = sorted(model.least)
-    # a length that the training lacks takes the bound of the next shorter one; there is none for shorter texts than all
-    bounds = np.array([SLACK * next((model.least[t] for t in reversed(trained) if t <= b), 0.0) for b in range(64)])
+    # a length that a language's training lacks takes the bound of the next shorter one; below all of them the bound
+    # falls with the root of the length, as the cosine of a part of the n-grams does
+    bounds = np.zeros((len(model.languages) + 1, 64))
+    for k, language in enumerate(model.languages):
+        for n, (band, least) in enumerate(sorted(model.least[language].items())):
+            if n == 0:
+                bounds[k, :band] = SLACK * least * 0.5 ** ((band - np.arange(band)) / 2)
+            bounds[k, band:] = SLACK * least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +175,7 @@ def _predictor(model: LanguageModel, column: int):
                     near = _vectors(counts, model.idf) @ model.centroids.T
                     best = np.where(ok, near.argmax(axis=1), best)
                     score = np.where(ok, np.clip(near.max(axis=1), 0, 1), 0.0).astype(np.float64)
-                parts.append((names[best], score, ~ok | (score < bounds[_band(counts)])))
+                parts.append((names[best], score, ~ok | (score < bounds[best, _band(counts)])))
             added = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3)]
             types = (pa.string(), pa.float64(), pa.bool_())
             arrays = [c for k, c in enumerate(batch.columns) if k != column]
@@ -186,8 +189,8 @@ def identify_language(docs: DataFrame, model: LanguageModel, keep: str = "doc_id
     """Predict the language of every whole text.
 
     Returns `keep`, lang_pred, score (cosine with the nearest centroid) and rejected. Rejected are texts that are null
-    or have no letter (lang_pred 'und', score 0) and texts farther from every centroid than SLACK allows for their
-    length. A model of no language rejects all. Repeated rows are predicted each; other columns are ignored.
+    or have no letter (lang_pred 'und', score 0) and texts farther from every centroid than SLACK allows for the
+    language predicted and their length. A model of no language rejects all. Repeated rows are predicted each; other columns are ignored.
     """
     rows = docs.select(F.col(keep), F.col(text_column).alias("text"))
     kind = rows.schema[0].dataType.simpleString()

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestat.llm import text as T
 from lodestat.llm.language import fit_language_model, identify_language, keep_identified
@@ -44,6 +45,43 @@ def test_unknown_language_is_rejected(spoken):
     assert all(r["rejected"] for r in identify_language(spoken.where("lang = 'west'"), model).collect())
 
 
+WORDS = {
+    "de": "der die das und ist nicht ein eine mit auf für von dem den sich auch werden haben über nach kann wird wenn nur noch zwischen Straße Häuser gehen".split(),
+    "en": "the and of to in is that it was for on are with as his they be at one have this from or had by but some what there we can out other were".split(),
+    "fr": "le la les de des et un une est dans que pour qui sur avec pas plus par être cette mais comme ou nous vous leur après où même très".split(),
+    "nl": "de het een en van ik te dat die in is niet zijn op aan met als voor er maar om dan zou wat mijn geen ook naar heb hoe heeft uit".split(),
+}
+
+
+@pytest.mark.parametrize("unknown", WORDS)
+def test_left_out_real_language_is_rejected(spark, unknown):
+    draw = random.Random(6)
+    rows = [(k, " ".join(draw.choices(WORDS[name], k=draw.randint(30, 80))), name) for k, name in enumerate(sorted(WORDS) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(docs.where((F.col("lang") != unknown) & (F.col("doc_id") % 40 < 28)))
+    found = {r["doc_id"]: r for r in identify_language(docs, model).collect()}
+    strange = [found[k]["rejected"] for k, _, name in rows if name == unknown]
+    known = [(found[k]["rejected"], found[k]["lang_pred"] == name) for k, _, name in rows if name != unknown and k % 40 >= 28]
+    assert np.mean(strange) >= 0.95 and not any(r for r, _ in known) and all(right for _, right in known)
+
+
+def test_nearest_centroid_and_bounds_by_hand(spoken):
+    """Cosine with every centroid, the nearest one's language, and its bound by length."""
+    from lodestat.llm import language as L
+
+    model = fit_language_model(spoken, clusters=2)
+    assert np.linalg.norm(model.centroids, axis=1) == pytest.approx(1, abs=1e-5)
+    rows = spoken.where("doc_id < 15").collect()
+    found = {r["doc_id"]: r for r in identify_language(spoken.where("doc_id < 15"), model).collect()}
+    for r in rows:
+        counts = L.term_counts(*as_bytes([r["text"]]))[0]
+        v = np.log1p(counts) * model.idf
+        cosines = [float(v @ c / np.sqrt(v @ v)) for c in model.centroids]
+        assert found[r["doc_id"]]["score"] == pytest.approx(max(cosines), abs=1e-5)
+        assert found[r["doc_id"]]["lang_pred"] == model.languages[int(np.argmax(cosines))] == r["lang"]
+        assert max(cosines) >= model.least[r["lang"]][int(np.log2(np.count_nonzero(counts)))] - 1e-5
+
+
 def test_language_edges(spark, spoken):
     model = fit_language_model(spoken.union(spark.createDataFrame([(900, "kra", None), (901, None, "north"), (902, "12", "north")], spoken.schema)))
     assert model.languages == sorted(model.languages) and set(model.languages) == set(SYLLABLES)
@@ -110,6 +148,45 @@ def test_toxicity_sums_the_weights_of_present_features(judged):
         assert scores[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
 
 
+def test_toxicity_threshold_does_not_move_with_the_sample(judged):
+    docs, labels = judged
+    few, all_ = (fit_toxicity_model(docs, labels, per_class=n) for n in (60, 3000))
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    for model in (few, all_):
+        scores = score_toxicity(docs, model).collect()
+        caught = np.mean([r["score"] >= 0.7 for r in scores if truth[r["doc_id"]]])
+        flagged = np.mean([r["score"] >= 0.7 for r in scores if not truth[r["doc_id"]]])
+        assert caught >= 0.97 and flagged <= 0.03
+    assert fit_toxicity_model(docs, labels, prior=0.1).bias == pytest.approx(all_.bias + np.log(0.1 / 0.9))
+
+
+def test_toxicity_weights_against_a_plain_fit(spark):
+    """Log-count ratios by counting, and the logistic optimum by plain gradient steps."""
+    texts = ["bad rat", "bad cat", "bad dog", "good rat", "good cat", "good dog", "fine cow", "fine hen"] * 4
+    marks = [1, 1, 1, 0, 0, 0, 0, 0] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    model = fit_toxicity_model(docs, labels, rounds=3000, decay=0.01)
+    y = np.array(marks, float)
+    found = [sorted(set(features(*as_bytes([t]))[1].tolist())) for t in texts]
+    x = np.zeros((len(texts), 1 << 18), np.float32)
+    for row, fs in zip(x, found):
+        row[fs] = 1
+    counts = np.stack([x[y == 0].sum(axis=0), x[y == 1].sum(axis=0)])
+    p, q = (counts[1] + 0.5) / ((y == 1).sum() + 1), (counts[0] + 0.5) / ((y == 0).sum() + 1)
+    used = np.flatnonzero(model.weights)
+    error = np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
+    strong = np.flatnonzero((counts.sum(axis=0) >= 3) & (np.abs(np.log(p / q)) / error > 2))
+    assert set(used) == set(strong) and len(used)
+    scaled = x[:, used].astype(float) * np.log(p / q)[used]
+    w, b = np.zeros(len(used)), 0.0
+    for _ in range(60000):
+        g = (1 / (1 + np.exp(-(scaled @ w + b))) - y) / len(y)
+        w, b = w - 0.05 * (scaled.T @ g + 0.01 * w), b - 0.05 * g.sum()
+    assert model.weights[used] == pytest.approx(w * np.log(p / q)[used], abs=2e-3)
+    assert model.bias == pytest.approx(b - np.log(y.sum() / (len(y) - y.sum())), abs=1e-2)
+
+
 def test_toxicity_edges(spark, judged):
     docs, labels = judged
     more = labels.union(spark.createDataFrame([(1, None), (None, 1), (5000, 1)], labels.schema))
