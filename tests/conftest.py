@@ -2,6 +2,7 @@ import math
 import os
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,7 @@ def spark():
 @pytest.fixture(scope="session")
 def sample(spark):
     """Ten people with age, income and score."""
+    # The golden numbers of the tests belong to them.
     rows = list(
         zip(
             map(float, range(1, 11)),
@@ -52,19 +54,22 @@ def gaps(spark):
     return spark.createDataFrame(rows, "id long, a double, b double, c int, k double, grp string").repartition(5)
 
 
-def logistic(n):
-    x = [0.1]
-    for _ in range(n - 1):
-        x.append(3.9 * x[-1] * (1 - x[-1]))
-    return x
+def chaotic(n):
+    """A plane map that folds and stretches: deterministic, without a linear trace of it."""
+    x, y, out = 0.2, 0.1, []
+    for _ in range(n):
+        x, y = 1 - 1.4 * x * x + y, 0.3 * x
+        out.append(x)
+    return out
 
 
-def linear(n):
-    x, seed = [0.0], 42
-    for _ in range(n - 1):
-        seed = (seed * 6364136223846793005 + 1) % 2**64
-        x.append(0.5 * x[-1] + (seed / (2**64 - 1) - 0.5) * 0.1)
-    return x
+def correlated(n):
+    """Noise that remembers 0.6 of its last value."""
+    out, last = [], 0.0
+    for shock in np.random.default_rng(29).normal(size=n):
+        last = 0.6 * last + float(shock)
+        out.append(last)
+    return out
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ import pytest
 
 from lodestat.plans import spacetree
 from lodestat.plans.nearest import nearest_neighbours
-from tests.test_series import brute_neighbours
+from tests import plain
 
 RNG = np.random.default_rng(11)
 SHAPES = {
@@ -25,7 +25,7 @@ def test_tree_finds_what_all_pairs_find(series, monkeypatch, shape, dim, tau):
     monkeypatch.setattr(spacetree, "PART", 64)
     x = SHAPES[shape](900)
     got = {r["i"]: r["j"] for r in nearest_neighbours(series(x), dim, tau, "tree").collect()}
-    assert got == brute_neighbours(x, dim, tau)
+    assert got == plain.neighbours(x, dim, tau)
 
 
 def test_null_and_many_keys(spark):
@@ -36,7 +36,7 @@ def test_null_and_many_keys(spark):
     found = nearest_neighbours(s, 2, 1, "tree").collect()
     for k in (None, "a", "hot"):
         got = {r["i"]: r["j"] for r in found if r["__key0"] == k}
-        assert got == brute_neighbours(np.array([r[2] for r in rows if r[0] == k]), 2, 1)
+        assert got == plain.neighbours([r[2] for r in rows if r[0] == k], 2, 1)
 
 
 @pytest.mark.parametrize("shape", ["normal", "heavy", "outlier"])

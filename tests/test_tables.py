@@ -33,6 +33,26 @@ def test_missing_and_duplicates(gaps):
     assert [tuple(r) for r in ls.duplicate_columns(twins).collect()] == [("a", "a2")]
 
 
+def test_many_equal_columns(spark, monkeypatch):
+    """500 equal columns need 499 comparisons; unequal ones that share a checksum are told apart."""
+    wide = spark.range(40).select(*[F.col("id").alias(f"c{i:03d}") for i in range(500)])
+    found = ls.duplicate_columns(wide).collect()
+    assert len(found) == 500 * 499 // 2 and tuple(found[0]) == ("c000", "c001")
+    rows = spark.createDataFrame([(1, 2, 1, 2, None), (2, 1, 2, 1, 5)], "a int, b int, a2 int, b2 int, c int")
+    assert sorted(map(tuple, ls.duplicate_columns(rows).collect())) == [("a", "a2"), ("b", "b2")]
+
+
+@pytest.mark.parametrize("held", [0, 500_000])
+def test_ranks_from_maps(spark, monkeypatch, held):
+    from lodestat.operators import features
+
+    monkeypatch.setattr(features, "MAP_VALUES", held)
+    values = [None, 3.0, 3.0, -0.0, 0.0, float("nan"), 7.5]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, y int")
+    got = sorted((r["y"], r["x"]) for r in ls.average_ranks(df).collect())
+    assert got == [(1.0, None), (2.0, 3.5), (3.0, 3.5), (4.0, 1.5), (5.0, 1.5), (6.0, 6.0), (7.0, 5.0)]
+
+
 def test_categories(gaps):
     top = ls.top_k_categories(gaps, "grp", 2).collect()
     assert top[0]["value"] == "hot" and top[0]["count"] == gaps.where("grp = 'hot'").count()
