@@ -88,7 +88,7 @@ def neighbours_by_tiles(series: Series, dim: int, tau: int) -> DataFrame:
     return nearest.select(*keys, "n", "i", F.col("__z.j").alias("j"), F.col("__z.d").alias("d"))
 
 
-# Measured core seconds per ordered pair of vectors and per searched vector.
+# Core seconds per ordered pair of vectors (measured) and per searched vector (an estimate).
 TILE_PAIR_SECONDS = 1.1e-8
 TREE_ROW_SECONDS = 4e-3
 
