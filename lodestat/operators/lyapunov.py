@@ -38,8 +38,12 @@ def divergence(series: Series, pairs: DataFrame, dim: int, tau: int) -> DataFram
     home = lambda c: F.floor(F.col(c) / TILE).cast("long")
     spots = F.collect_list(F.struct((F.col("u") % TILE).alias("u"), (F.col("v") % TILE).alias("v")))
     met = tracks.withColumn("a", home("u")).withColumn("b", home("v")).groupBy(*keys, "a", "b", "block", "n", "steps").agg(spots.alias("spots"))
-    # Each pair is followed for up to a fortieth of the series.
-    met = met.repartition(series.tasks(max(series.longest / 40, 5), 50_000_000), *keys, "a", "b", "block")
+    # Each pair is followed for up to a fortieth of the series. A task has the chunk pairs of few blocks of steps and
+    # adds them up before the shuffle, so that it sends a block's sums and not those of every step of the series.
+    tasks = series.tasks(max(series.longest / 40, 5), 50_000_000)
+    share = -(-tasks * TILE // max(series.longest // 40, TILE))
+    task = F.xxhash64(*keys) + F.col("block") * share + F.pmod(F.xxhash64("a", "b"), F.lit(share))
+    met = met.repartitionById(tasks, F.pmod(task, F.lit(tasks)).cast("int"))
 
     chunks = chunk_arrays(series, TILE + reach)
     hint = F.broadcast if series.rows <= BROADCAST_VALUES else (lambda d: d)
