@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm import text as T
+from lodestat.llm.identity import dealt
+from lodestat.llm.scratch import Scratch
 
 #: Text of one batch of documents, and n-grams of one hash bucket of the count table, on average.
 BATCH_BYTES, BUCKET_GRAMS = 8 << 20, 2 << 20
 #: Stands for the n-gram of no word, whose count is the number of tokens.
 _EMPTY = np.uint64(0)
-_REQUEST = "bucket int, batch int, grams array<long>, counts array<long>"
+_REQUEST = "bucket int, batch int, grams binary, counts array<int>"
 _RESPONSE = "batch int, bucket int, totals array<long>"
 _SCORED = "doc_id long, n_tokens long, n_backoff long, log_score double"
 
@@ -47,8 +49,8 @@ def _requests(order: int, buckets: int):
             [
                 pa.array(some, pa.int32()),
                 pa.array(np.full(len(some), table["batch"][0].as_py()), pa.int32()),
-                pa.ListArray.from_arrays(lists, pa.array(found.view(np.int64))),
-                pa.ListArray.from_arrays(lists, pa.array(counts.astype(np.int64))),
+                pa.array([_packed(found[cuts[k] : cuts[k + 1]], k, buckets) for k in some], pa.binary()),
+                pa.ListArray.from_arrays(lists, pa.array(counts.astype(np.int32))),
             ],
             ["bucket", "batch", "grams", "counts"],
         )
@@ -56,6 +58,25 @@ def _requests(order: int, buckets: int):
     return run
 
 
+def _start(bucket: int, buckets: int) -> int:
+    """Least n-gram hash of a bucket."""
+    return -(-(bucket << 32) // buckets) << 32
+
+
+def _packed(grams: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """Sorted n-grams of a bucket as the gaps between them, in as many bytes as the widest gap takes."""
+    gaps = np.diff(grams, prepend=np.uint64(_start(bucket, buckets)))
+    width = max(1, -(-int(gaps.max()).bit_length() // 8))
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, bucket: int, buckets: int) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(gaps), 8), np.uint8)
+    wide[:, : data[0]] = gaps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.uint64(_start(bucket, buckets))
+
+
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the high bits, so sorted n-grams are sorted by bucket."""
     return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -65,13 +86,19 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy() for c in column.chunks]) if column.num_chunks else np.zeros(0, np.int64)
 
 
-def _respond(table: pa.Table) -> pa.Table:
+def _respond(buckets: int):
     """Totals of every requested n-gram over all batches, in the order asked."""
-    sizes = pc.list_value_length(table["grams"]).to_numpy()
-    _, where = np.unique(_flat(table["grams"]), return_inverse=True)
-    totals = np.bincount(where, weights=_flat(table["counts"])).astype(np.int64)[where]
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(totals))
-    return pa.Table.from_arrays([table["batch"].combine_chunks(), table["bucket"].combine_chunks(), lists], ["batch", "bucket", "totals"])
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        sizes = pc.list_value_length(table["counts"]).to_numpy()
+        grams = np.concatenate([_unpacked(g.as_py(), bucket, buckets) for g in table["grams"]])
+        _, where = np.unique(grams, return_inverse=True)
+        totals = np.bincount(where, weights=_flat(table["counts"])).astype(np.int64)[where]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(totals))
+        return pa.Table.from_arrays([table["batch"].combine_chunks(), table["bucket"].combine_chunks(), lists], ["batch", "bucket", "totals"])
+
+    return run
 
 
 def _score(order: int, backoff: float):
@@ -114,24 +141,32 @@ def _score(order: int, backoff: float):
     return run
 
 
-def stupid_backoff_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def stupid_backoff_scores(
+    docs: DataFrame,
+    order: int = 3,
+    backoff: float = 0.4,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    batch_bytes: int = BATCH_BYTES,
+    bucket_grams: int = BUCKET_GRAMS,
+) -> DataFrame:
     """Score every document by the n-gram counts of all the others.
 
     Tokens are runs of bytes without white space, in lower case. The score of a token is count(n-gram) / count(context)
     for the longest n-gram of at most `order` words that other documents hold, times `backoff` for each word left off;
     a token that no other document has counts as seen once. Returns doc_id, n_tokens, n_backoff (tokens scored below
     their longest n-gram) and log_score (sum of log10). Null, empty and blank texts have 0 tokens and log_score 0.
-    Repeated rows are documents of their own. Ids may be null. Other columns are ignored.
+    Repeated rows are documents of their own. Ids may be null. A very long text is one batch. Other columns are ignored.
 
-    Documents are dealt into batches by a hash; a batch sends its distinct n-grams with counts to the hash buckets of
+    Documents are dealt into batches; a batch sends its distinct n-grams with counts to the hash buckets of
     the count table, which add up and answer in the same order. So common n-grams are pre-aggregated, each bucket is of
-    bounded size (raise BATCH_BYTES with the corpus) and texts are shuffled once, for both visits to a batch.
+    bounded size and texts are shuffled once, for both visits to a batch. A batch sends no more lists than it has
+    n-grams; `batch_bytes` may grow with the memory of a task.
     """
     total = docs.agg(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
-    batches = max(1, -(-total // BATCH_BYTES))
-    buckets = max(1, -(-total * order // (6 * BUCKET_GRAMS)))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)).cast("int").alias("batch"), "doc_id", "text")
+    batches = max(1, -(-total // batch_bytes))
+    buckets = max(1, -(-total * order // (6 * bucket_grams)))
+    rows = dealt(docs, id_column, text_column, batches, Scratch(docs.sparkSession))
     requests = rows.groupBy("batch").applyInArrow(_requests(order, buckets), _REQUEST)
-    answers = requests.groupBy("bucket").applyInArrow(_respond, _RESPONSE)
+    answers = requests.groupBy("bucket").applyInArrow(_respond(buckets), _RESPONSE)
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(order, backoff), _SCORED)

@@ -41,7 +41,7 @@ def held_out() -> F.Column:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram stupid-backoff score of every document by the counts of all others."""
+    """Trigram stupid-backoff score of every document by the counts of all others."""
     scored = stupid_backoff_scores(table(spark, sf_dir, "documents"))
     mean = F.col("log_score") / F.col("n_tokens")
     return scored.select("doc_id", "n_tokens", "n_backoff", F.round("log_score", 4).alias("log_score"), F.when(F.col("n_tokens") > 0, F.round(mean, 6)).alias("mean_score"))

@@ -40,23 +40,24 @@ with words as (
     from (select row_number() over () as rowid, * from documents)
 ), tok as (
     select doc, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words
-), bi as (
-    select doc, i, word, lag(word) over (partition by doc order by i) as prev from tok
-), uni_all as (select word, count(*) as c from tok group by 1), uni_own as (select doc, word, count(*) as c from tok group by 1, 2),
-bi_all as (select prev, word, count(*) as c from bi where prev is not null group by 1, 2),
-bi_own as (select doc, prev, word, count(*) as c from bi where prev is not null group by 1, 2, 3),
+), near as (
+    select doc, i, word, lag(word) over (partition by doc order by i) as p, lag(word, 2) over (partition by doc order by i) as q from tok
+), gram as (
+    select doc, i, 1 as k, word as g, null as context from near
+    union all select doc, i, 2, p || ' ' || word, p from near where p is not null
+    union all select doc, i, 3, q || ' ' || p || ' ' || word, q || ' ' || p from near where q is not null
+), every as (select g, count(*) as c from gram group by 1), own as (select doc, g, count(*) as c from gram group by 1, 2),
 size_own as (select doc, count(*) as c from tok group by 1), size_all as (select count(*) as c from tok),
 seen as (
-    select bi.doc, bi.prev, ba.c - bo.c as pair, pa.c - po.c as context, ua.c - uo.c as single, sa.c - so.c as total
-    from bi join uni_all ua on ua.word = bi.word join uni_own uo on uo.word = bi.word and uo.doc = bi.doc
-    join size_own so on so.doc = bi.doc cross join size_all sa
-    left join bi_all ba on ba.prev = bi.prev and ba.word = bi.word left join bi_own bo on bo.prev = bi.prev and bo.word = bi.word and bo.doc = bi.doc
-    left join uni_all pa on pa.word = bi.prev left join uni_own po on po.word = bi.prev and po.doc = bi.doc
-), scored as (
-    select doc, prev is not null and pair = 0 as off, case when prev is not null and pair > 0 then log10(pair / context)
-        else log10(case when single > 0 then single / greatest(total, 1) else 1 / greatest(total, 1) end) + case when prev is null then 0 else log10(0.4) end end as s
-    from seen
-), summed as (select doc, count(*) as n, sum(off::int) as off, sum(s) as s from scored group by 1)
+    select gram.doc, gram.i, gram.k, e.c - o.c as n, sa.c - so.c as total, case when gram.k = 1 then sa.c - so.c else ec.c - oc.c end as base
+    from gram join every e on e.g = gram.g join own o on o.g = gram.g and o.doc = gram.doc
+    join size_own so on so.doc = gram.doc cross join size_all sa
+    left join every ec on ec.g = gram.context left join own oc on oc.g = gram.context and oc.doc = gram.doc
+), best as (
+    select doc, i, max(k) as depth, coalesce(max(k) filter (n > 0), 1) as level,
+        coalesce(max_by(log10(n / greatest(base, 1)), k) filter (n > 0), log10(1 / greatest(any_value(total), 1))) as value
+    from seen group by 1, 2
+), summed as (select doc, count(*) as n, sum((level < depth)::int) as off, sum(value + log10(0.4) * (depth - level)) as s from best group by 1)
 select doc_id, coalesce(n, 0)::bigint as n_tokens, coalesce(off, 0)::bigint as n_backoff, round(coalesce(s, 0), 4) as log_score, round(s / n, 6) as mean_score
 from words left join summed using (doc)
 """

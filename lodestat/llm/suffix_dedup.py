@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm import text as T
+from lodestat.llm.identity import dealt
 from lodestat.llm.scratch import Scratch
 
 #: Bytes that must repeat; bytes of an anchor, by which the places of equal strings meet.
@@ -423,8 +424,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     total = docs.agg(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
     batches = max(1, -(-total // BATCH_BYTES))
     buckets = max(1, -(-total // ((length - anchor) // 2 * BUCKET_ROWS)))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)).cast("int").alias("batch"), "doc_id", "text")
+    rows = dealt(docs, id_column, text_column, batches, scratch)
     requests = rows.groupBy("batch").applyInArrow(_requests(length, anchor, buckets), "bucket int, batch int, h array<long>, w array<long>, n array<long>")
     answers = scratch.store(requests.groupBy("bucket").applyInArrow(_respond(GROUP), "batch int, bucket int, status binary"))
 
