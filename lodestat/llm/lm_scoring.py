@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -101,21 +102,37 @@ def _respond(buckets: int):
     return run
 
 
+def _counts(grams: np.ndarray, rows: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Total and count in its own row of every n-gram; `totals` is in their order, after the count of the empty one."""
+    if not len(grams):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    which, known = pd.factorize(grams)
+    total = np.empty(len(known), np.int64)
+    total[np.argsort(known)] = totals[1:]
+    pair = rows * len(known) + which
+    order = np.argsort(pair)
+    first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+    many = np.diff(np.append(first, len(pair)))
+    total, own = total[which], np.empty(len(grams), np.int64)
+    own[order] = np.repeat(many, many)
+    return total, own
+
+
 def _score(order: int, backoff: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         grams, tokens = _grams(docs["text"], order)
         n = docs.num_rows
-        known = np.concatenate([[_EMPTY], np.unique(np.concatenate([g for g, _, _ in grams]))])
         totals = _flat(answers.sort_by("bucket")["totals"])
         # counts without the document itself, for the k-gram that ends at each token; -1 where there is none
         other = np.full((order + 1, tokens), -1, np.int64)
         row = grams[0][1] if order else np.zeros(0, np.int64)
         other[0] = (totals[0] if len(totals) else 0) - np.bincount(row, minlength=n)[row]
+        total, own = _counts(np.concatenate([g for g, _, _ in grams]), np.concatenate([r for _, r, _ in grams]), totals)
         context = np.zeros((order + 1, tokens), np.int64)
-        for k, (g, r, at) in enumerate(grams, 1):
-            where = np.searchsorted(known, g)
-            _, pair, own = np.unique(where * np.int64(n) + r, return_inverse=True, return_counts=True)
-            other[k, at] = totals[where] - own[pair]
+        low = 0
+        for k, (g, _, at) in enumerate(grams, 1):
+            other[k, at] = total[low : low + len(g)] - own[low : low + len(g)]
+            low += len(g)
             # the context is the (k-1)-gram that ends one token earlier
             context[k, at] = other[k - 1, at - 1] if k > 1 else other[0, at]
         depth = np.zeros(tokens, np.int64)  # words in the longest n-gram there is
