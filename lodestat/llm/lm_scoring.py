@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ from lodestat.llm.scratch import Scratch
 BATCH_BYTES, BUCKET_GRAMS = 8 << 20, 2 << 20
 #: Stands for the n-gram of no word, whose count is the number of tokens.
 _EMPTY = np.uint64(0)
-_REQUEST = "bucket int, batch int, grams binary, counts array<int>"
-_RESPONSE = "batch int, bucket int, totals array<long>"
+_BOX = "batch int, box binary"
+_REQUEST = "bucket int, batch int, grams binary, counts binary"
+_RESPONSE = "batch int, bucket int, totals binary"
 _SCORED = "doc_id long, n_tokens long, n_backoff long, log_score double"
 
 
@@ -38,20 +40,50 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[tuple[np.ndarray, n
     return out, len(h)
 
 
+def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch, compressed together, as the texts are most of what is shuffled."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for rows in batches:
+        rows = rows.sort_by("batch")
+        batch = rows["batch"].to_numpy()
+        first = np.flatnonzero(np.diff(batch, prepend=-1))
+        boxes = []
+        for low, high in zip(first, np.append(first, len(batch))[1:], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                writer.write_batch(rows.slice(low, high - low))
+            boxes.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(batch[first], pa.int32()), pa.array(boxes, pa.binary())], ["batch", "box"])
+
+
+def _unboxed(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(box.as_buffer()).read_all() for box in table["box"]])
+
+
+def _planes(counts: np.ndarray) -> bytes:
+    """Numbers as all their lowest bytes, then all the next ones, of which most are zero and so compress well."""
+    return np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: list[bytes]) -> np.ndarray:
+    """The numbers of several planes in a row."""
+    parts = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).view("<i8").ravel() for p in planes]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _requests(order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        grams, tokens = _grams(table["text"], order)
+        grams, tokens = _grams(_unboxed(table)["text"], order)
         found, counts = np.unique(np.concatenate([g for g, _, _ in grams]), return_counts=True)
         found, counts = np.concatenate([[_EMPTY], found]), np.concatenate([[tokens], counts])
         cuts = np.searchsorted(_bucket(found, buckets), np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(cuts))
-        lists = pa.array(np.append(cuts[some], len(found)), pa.int32())
         return pa.Table.from_arrays(
             [
                 pa.array(some, pa.int32()),
                 pa.array(np.full(len(some), table["batch"][0].as_py()), pa.int32()),
                 pa.array([_packed(found[cuts[k] : cuts[k + 1]], k, buckets) for k in some], pa.binary()),
-                pa.ListArray.from_arrays(lists, pa.array(counts.astype(np.int32))),
+                pa.array([_planes(counts[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()),
             ],
             ["bucket", "batch", "grams", "counts"],
         )
@@ -83,21 +115,17 @@ def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([c.flatten().to_numpy() for c in column.chunks]) if column.num_chunks else np.zeros(0, np.int64)
-
-
 def _respond(buckets: int):
     """Totals of every requested n-gram over all batches, in the order asked."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        sizes = pc.list_value_length(table["counts"]).to_numpy()
-        grams = np.concatenate([_unpacked(g.as_py(), bucket, buckets) for g in table["grams"]])
-        _, where = np.unique(grams, return_inverse=True)
-        totals = np.bincount(where, weights=_flat(table["counts"])).astype(np.int64)[where]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(totals))
-        return pa.Table.from_arrays([table["batch"].combine_chunks(), table["bucket"].combine_chunks(), lists], ["batch", "bucket", "totals"])
+        asked = [_unpacked(g.as_py(), bucket, buckets) for g in table["grams"]]
+        _, where = np.unique(np.concatenate(asked), return_inverse=True)
+        totals = np.bincount(where, weights=_numbers(table["counts"].to_pylist())).astype(np.int64)[where]
+        ends = np.cumsum([len(g) for g in asked])
+        told = [_planes(totals[end - len(g) : end]) for g, end in zip(asked, ends, strict=True)]
+        return pa.Table.from_arrays([table["batch"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(told, pa.binary())], ["batch", "bucket", "totals"])
 
     return run
 
@@ -120,9 +148,10 @@ def _counts(grams: np.ndarray, rows: np.ndarray, totals: np.ndarray) -> tuple[np
 
 def _score(order: int, backoff: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unboxed(docs)
         grams, tokens = _grams(docs["text"], order)
         n = docs.num_rows
-        totals = _flat(answers.sort_by("bucket")["totals"])
+        totals = _numbers(answers.sort_by("bucket")["totals"].to_pylist())
         # counts without the document itself, for the k-gram that ends at each token; -1 where there is none
         other = np.full((order + 1, tokens), -1, np.int64)
         row = grams[0][1] if order else np.zeros(0, np.int64)
@@ -177,13 +206,13 @@ def stupid_backoff_scores(
 
     Documents are dealt into batches; a batch sends its distinct n-grams with counts to the hash buckets of
     the count table, which add up and answer in the same order. So common n-grams are pre-aggregated, each bucket is of
-    bounded size and texts are shuffled once, for both visits to a batch. A batch sends no more lists than it has
+    bounded size and texts are shuffled once, compressed, for both visits to a batch. A batch sends no more lists than it has
     n-grams; `batch_bytes` may grow with the memory of a task.
     """
     total = docs.agg(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
     batches = max(1, -(-total // batch_bytes))
     buckets = max(1, -(-total * order // (6 * bucket_grams)))
-    rows = dealt(docs, id_column, text_column, batches, Scratch(docs.sparkSession))
+    rows = dealt(docs, id_column, text_column, batches, Scratch(docs.sparkSession)).mapInArrow(_boxed, _BOX)
     requests = rows.groupBy("batch").applyInArrow(_requests(order, buckets), _REQUEST)
     answers = requests.groupBy("bucket").applyInArrow(_respond(buckets), _RESPONSE)
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(order, backoff), _SCORED)
