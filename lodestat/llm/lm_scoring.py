@@ -15,7 +15,7 @@ from lodestat.llm.identity import dealt
 from lodestat.llm.scratch import Scratch
 
 #: Text of one batch of documents, and n-grams of one hash bucket of the count table, on average.
-BATCH_BYTES, BUCKET_GRAMS = 8 << 20, 2 << 20
+BATCH_BYTES, BUCKET_GRAMS = 4 << 20, 1 << 20
 #: Stands for the n-gram of no word, whose count is the number of tokens.
 _EMPTY = np.uint64(0)
 _BOX = "batch int, box binary"
@@ -60,6 +60,25 @@ def _unboxed(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(box.as_buffer()).read_all() for box in table["box"]])
 
 
+def _tidy(run):
+    """Run, and return what memory it leaves free; the next group need not grow the worker."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            T.give_back()
+
+    return tidied
+
+
+def _tidy_pair(run):
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _tidy(lambda both: run(*both))((left, right))
+
+    return tidied
+
+
 def _planes(counts: np.ndarray) -> bytes:
     """Numbers as all their lowest bytes, then all the next ones, of which most are zero and so compress well."""
     return np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -213,6 +232,6 @@ def stupid_backoff_scores(
     batches = max(1, -(-total // batch_bytes))
     buckets = max(1, -(-total * order // (6 * bucket_grams)))
     rows = dealt(docs, id_column, text_column, batches, Scratch(docs.sparkSession)).mapInArrow(_boxed, _BOX)
-    requests = rows.groupBy("batch").applyInArrow(_requests(order, buckets), _REQUEST)
-    answers = requests.groupBy("bucket").applyInArrow(_respond(buckets), _RESPONSE)
-    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(order, backoff), _SCORED)
+    requests = rows.groupBy("batch").applyInArrow(_tidy(_requests(order, buckets)), _REQUEST)
+    answers = requests.groupBy("bucket").applyInArrow(_tidy(_respond(buckets)), _RESPONSE)
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_tidy_pair(_score(order, backoff)), _SCORED)
