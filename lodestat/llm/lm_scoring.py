@@ -80,12 +80,14 @@ def _tidy_pair(run):
 
 
 def _planes(counts: np.ndarray) -> bytes:
-    """Numbers as all their lowest bytes, then all the next ones, of which most are zero and so compress well."""
-    return np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers as all their lowest bytes, then all the next ones, of which most are zero; compressed, after their size."""
+    planes = np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _numbers(planes: list[bytes]) -> np.ndarray:
+def _numbers(packed: list[bytes]) -> np.ndarray:
     """The numbers of several planes in a row."""
+    planes = [pa.decompress(p[8:], int.from_bytes(p[:8], "little"), codec="zstd", asbytes=True) for p in packed]
     parts = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).view("<i8").ravel() for p in planes]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
@@ -116,16 +118,23 @@ def _start(bucket: int, buckets: int) -> int:
 
 
 def _packed(grams: np.ndarray, bucket: int, buckets: int) -> bytes:
-    """Sorted n-grams of a bucket as the gaps between them, in as many bytes as the widest gap takes."""
+    """Sorted n-grams of a bucket as the gaps between them, byte by byte as far as the widest gap goes.
+
+    Only the highest bytes are far from evenly spread, so they alone are compressed. Number, width and their size lead.
+    """
     gaps = np.diff(grams, prepend=np.uint64(_start(bucket, buckets)))
     width = max(1, -(-int(gaps.max()).bit_length() // 8))
-    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    high = pa.compress(planes[-1].tobytes(), codec="zstd", asbytes=True)
+    return np.array([len(gaps), width, len(high)], "<i8").tobytes() + high + planes[:-1].tobytes()
 
 
 def _unpacked(data: bytes, bucket: int, buckets: int) -> np.ndarray:
-    gaps = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
-    wide = np.zeros((len(gaps), 8), np.uint8)
-    wide[:, : data[0]] = gaps
+    n, width, size = np.frombuffer(data, "<i8", 3).tolist()
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, width - 1] = np.frombuffer(pa.decompress(data[24 : 24 + size], n, codec="zstd", asbytes=True), np.uint8)
+    if width > 1:
+        wide[:, : width - 1] = np.frombuffer(data, np.uint8, offset=24 + size).reshape(width - 1, n).T
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.uint64(_start(bucket, buckets))
 
 
