@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,9 +17,32 @@ from lodestat.plans.nearest import nearest_neighbours
 from lodestat.plans.series import Series
 from lodestat.plans.tiles import BROADCAST_VALUES, TILE, chunk_arrays
 
+#: Chunks of a long series, rows of one at most, and distances that a task holds at once.
+SPANS, MOST_ROWS, HELD = 16, 1 << 20, 1 << 17
 SUMS = StructType([StructField("total", ArrayType(DoubleType())), StructField("count", ArrayType(LongType()))])
 
 
+def track_size(series: Series) -> int:
+    """Rows of a chunk: a fixed number of them for long series, so that the arrays sent grow with the rows and no faster."""
+    return max(TILE, min(-(-series.longest // SPANS), MOST_ROWS))
+
+
+def met_tracks(series: Series, pairs: DataFrame, dim: int, tau: int) -> DataFrame:
+    """(keys, a, b, block, n, steps, spots): the tracks that start in two chunks, a block of steps at a time."""
+    keys, size = series.key_cols(), track_size(series)
+    vectors = F.col("n") - (dim - 1) * tau
+    quarter = F.floor(vectors / 4)
+    steps = F.least(F.greatest(F.floor(quarter / 10), F.lit(5)), quarter)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((steps - 1) / size).cast("long")))
+    tracks = pairs.select(*keys, "n", "i", "j", steps.alias("steps")).where(F.col("steps") > 0).withColumn("block", blocks)
+    shift = F.col("block") * size
+    tracks = tracks.select(*keys, "n", "steps", "block", (F.col("i") + shift).alias("u"), (F.col("j") + shift).alias("v"))
+    tracks = tracks.where((F.col("u") < vectors) & (F.col("v") < vectors))
+    home = lambda c: F.floor(F.col(c) / size).cast("long")
+    spots = F.collect_list(F.struct((F.col("u") % size).cast("int").alias("u"), (F.col("v") % size).cast("int").alias("v")))
+    return tracks.withColumn("a", home("u")).withColumn("b", home("v")).groupBy(*keys, "a", "b", "block", "n", "steps").agg(spots.alias("spots"))
+
+
 def divergence(series: Series, pairs: DataFrame, dim: int, tau: int) -> DataFrame:
     """(keys, step, mean_log): mean log distance of the pairs after each step.
 
@@ -25,27 +50,18 @@ def divergence(series: Series, pairs: DataFrame, dim: int, tau: int) -> DataFram
     their tracks run through, a block of steps at a time, so each task row
     holds two bounded arrays and returns per-step sums.
     """
-    keys = series.key_cols()
+    keys, size = series.key_cols(), track_size(series)
     reach = (dim - 1) * tau
     vectors = F.col("n") - reach
-    quarter = F.floor(vectors / 4)
-    steps = F.least(F.greatest(F.floor(quarter / 10), F.lit(5)), quarter)
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((steps - 1) / TILE).cast("long")))
-    tracks = pairs.select(*keys, "n", "i", "j", steps.alias("steps")).where(F.col("steps") > 0).withColumn("block", blocks)
-    shift = F.col("block") * TILE
-    tracks = tracks.select(*keys, "n", "steps", "block", (F.col("i") + shift).alias("u"), (F.col("j") + shift).alias("v"))
-    tracks = tracks.where((F.col("u") < vectors) & (F.col("v") < vectors))
-    home = lambda c: F.floor(F.col(c) / TILE).cast("long")
-    spots = F.collect_list(F.struct((F.col("u") % TILE).alias("u"), (F.col("v") % TILE).alias("v")))
-    met = tracks.withColumn("a", home("u")).withColumn("b", home("v")).groupBy(*keys, "a", "b", "block", "n", "steps").agg(spots.alias("spots"))
-    # Each pair is followed for up to a fortieth of the series. A task has the chunk pairs of few blocks of steps and
-    # adds them up before the shuffle, so that it sends a block's sums and not those of every step of the series.
-    tasks = series.tasks(max(series.longest / 40, 5), 50_000_000)
-    share = -(-tasks * TILE // max(series.longest // 40, TILE))
+    # Each pair is followed for up to a fortieth of the series. The chunk pairs of a series are dealt over a share of the
+    # tasks, as large as its share of the steps; a task adds them up before the shuffle and sends its sums only.
+    longest = max(series.longest // 40, 5)
+    tasks = series.tasks(longest, 1_000_000_000)
+    share = max(1, min(tasks, math.ceil(tasks * float(series.longest) ** 2 / max(series.squares, 1.0))))
     task = F.xxhash64(*keys) + F.col("block") * share + F.pmod(F.xxhash64("a", "b"), F.lit(share))
-    met = met.repartitionById(tasks, F.pmod(task, F.lit(tasks)).cast("int"))
+    met = met_tracks(series, pairs, dim, tau).repartitionById(tasks, F.pmod(task, F.lit(tasks)).cast("int"))
 
-    chunks = chunk_arrays(series, TILE + reach)
+    chunks = chunk_arrays(series, min(size, longest) + reach, size)
     hint = F.broadcast if series.rows <= BROADCAST_VALUES else (lambda d: d)
     left = chunks.select(*keys, F.col("chunk").alias("a"), F.col("xs").alias("left"))
     right = chunks.select(*keys, F.col("chunk").alias("b"), F.col("xs").alias("right"))
@@ -55,30 +71,34 @@ def divergence(series: Series, pairs: DataFrame, dim: int, tau: int) -> DataFram
     def follow(xs: pd.Series, ys: pd.Series, us: pd.Series, vs: pd.Series, a: pd.Series, b: pd.Series, limit: pd.Series, length: pd.Series) -> pd.DataFrame:
         totals, counts = [], []
         for x, y, u, v, ca, cb, top, count in zip(xs, ys, us, vs, a, b, limit, length):
-            width = TILE * 2 + reach
-            x, y = (np.pad(z, (0, width - len(z)), constant_values=np.nan) for z in (x, y))
+            width = size + count + reach
+            x, y = (np.pad(z[:width], (0, max(width - len(z), 0)), constant_values=np.nan) for z in (x, y))
+            x, y = (np.lib.stride_tricks.sliding_window_view(z, count + reach) for z in (x, y))
             total, seen = np.zeros(count), np.zeros(count, dtype="int64")
-            along = np.arange(count)
-            for start in range(0, len(u), 256):
-                p = np.asarray(u[start : start + 256])[:, None] + along
-                q = np.asarray(v[start : start + 256])[:, None] + along
-                gap = sum(((x[p + k * tau] - y[q + k * tau]) ** 2 for k in range(dim)), np.zeros(p.shape))
-                use = (p + ca * TILE < top) & (q + cb * TILE < top) & (gap > 0)
+            u, v = np.asarray(u), np.asarray(v)
+            left_over = np.minimum(top - ca * size - u, top - cb * size - v)[:, None]
+            along, few = np.arange(count), max(1, HELD // (count + reach))
+            for start in range(0, len(u), few):
+                some = slice(start, start + few)
+                apart = x[u[some]] - y[v[some]]
+                apart *= apart
+                gap = sum((apart[:, k * tau : k * tau + count] for k in range(dim)), np.zeros((len(apart), count)))
+                use = (along < left_over[some]) & (gap > 0)
                 logs = np.log(np.sqrt(gap, where=use, out=np.ones_like(gap)))
-                total += np.where(use, logs, 0.0).sum(axis=0)
+                total += logs.sum(axis=0)
                 seen += use.sum(axis=0)
             totals.append(total)
             counts.append(seen)
         return pd.DataFrame({"total": totals, "count": counts})
 
-    span = F.least(F.lit(TILE), F.col("steps") - F.col("block") * TILE).cast("long")
+    span = F.least(F.lit(size), F.col("steps") - F.col("block") * size).cast("long")
     followed = tiles.select(
         *keys,
         "block",
         follow("left", "right", F.col("spots.u"), F.col("spots.v"), "a", "b", vectors, span).alias("__f"),
     )
     lines = followed.select(*keys, "block", F.posexplode(F.arrays_zip("__f.total", "__f.count")).alias("__p", "__z"))
-    step = F.col("block") * TILE + F.col("__p")
+    step = F.col("block") * size + F.col("__p")
     sums = lines.groupBy(*keys, step.alias("step")).agg(F.sum("__z.total").alias("total"), F.sum("__z.count").alias("count"))
     return sums.where(F.col("count") > 0).select(*keys, "step", (F.col("total") / F.col("count")).alias("mean_log"))
 

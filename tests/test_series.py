@@ -5,6 +5,7 @@ import pytest
 
 import lodestat as ls
 from lodestat.errors import InsufficientData
+from lodestat.operators import lyapunov
 from lodestat.operators.bds import neighbour_integrals
 from lodestat.plans import series as series_plan
 from lodestat.plans.nearest import nearest_neighbours
@@ -182,3 +183,27 @@ def test_neighbours_exactly_epsilon_apart(series, method, dim):
     want = (share([(a,) for a in x]), share([tuple(x[i : i + dim]) for i in range(len(x) - dim + 1)]), sum(n * n for n in near) / len(x) ** 3)
     row = neighbour_integrals(series(x), dim, eps, method).first()
     assert (row["c1"], row["cm"], row["k"]) == pytest.approx(want, abs=1e-12)
+
+
+def test_tracks_meet_few_chunks(series, monkeypatch):
+    """The chunk pairs that receive arrays are as many for a long series as for one four times shorter."""
+    monkeypatch.setattr(lyapunov, "TILE", 16)
+    monkeypatch.setattr(lyapunov, "SPANS", 8)
+    x = chaotic(1200)
+    for n in (300, 1200):
+        s = series(x[:n])
+        assert lyapunov.met_tracks(s, nearest_neighbours(s, 2, 1), 2, 1).count() <= 64
+    got = {r["step"]: r["mean_log"] for r in lyapunov.divergence(s, nearest_neighbours(s, 2, 1), 2, 1).collect()}
+    v, near = np.stack([x[:-1], x[1:]], axis=1), plain.neighbours(x, 2, 1)
+    for step in (0, 7, 28):
+        gaps = [math.dist(v[i + step], v[j + step]) for i, j in near.items() if max(i, j) + step < len(v)]
+        assert got[step] == pytest.approx(np.mean(np.log([g for g in gaps if g > 0])))
+
+
+def test_tracks_over_blocks_of_steps(series, monkeypatch):
+    s = series(chaotic(1500))
+    pairs = nearest_neighbours(s, 3, 2)
+    whole = {r["step"]: r["mean_log"] for r in lyapunov.divergence(s, pairs, 3, 2).collect()}
+    monkeypatch.setattr(lyapunov, "TILE", 16)
+    monkeypatch.setattr(lyapunov, "MOST_ROWS", 16)
+    assert {r["step"]: r["mean_log"] for r in lyapunov.divergence(s, pairs, 3, 2).collect()} == pytest.approx(whole)
