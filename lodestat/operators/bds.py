@@ -25,7 +25,7 @@ def boxed_pairs(series: Series, values: DataFrame, dim: int, distinct: int) -> D
     ranked = join_on(series.df, values.select(*series.key_cols(), "x", F.struct("rank", "lo", "hi").alias("spot")), [*series.keys, "x"])
     lags = range(1, dim)
     lagged = with_lags(series, lags, ranked, "spot", "spot").where(F.col("t") >= dim - 1)
-    vectors = lagged.select(*series.key_cols(), F.array(*[F.col(f"spot{k}") for k in reversed(lags)], F.col("spot")).alias("v"))
+    vectors = lagged.select(*series.key_cols(), "n", F.array(*[F.col(f"spot{k}") for k in reversed(lags)], F.col("spot")).alias("v"))
     return box_pairs(series, vectors, dim, distinct)
 
 

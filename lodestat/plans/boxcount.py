@@ -5,25 +5,31 @@ dense rank per distinct value serves all dimensions, and "closer than eps"
 becomes an integer interval of ranks. Intervals split into dyadic nodes
 (``level``, ``rank >> level``): a point lies in exactly one node per level, and
 an interval is a disjoint union of at most two nodes per level. Points and
-boxes then meet by plain equality of nodes in all dimensions but the last; in
-the last one, sorted in blocks of bounded size, a running count answers "how
-many points below this rank". The work is n log^(m-1) n rows, each merged on
-the map side, and a node holding half of the series is split into blocks.
+boxes meet by equality of nodes in all dimensions but the last two. In the
+first, the nodes that are shuffled consist of blocks of about
+:data:`BLOCK_POINTS` points; the rest of an interval, at most two cut blocks, is
+split inside the task. The last two are counted there, in a wavelet matrix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
+from lodestat.columns import ref
+from lodestat.plans.checkpoints import stored
+from lodestat.plans.joins import broadcast_if, join_on
 from lodestat.plans.ordering import with_position
 from lodestat.plans.series import Series
 
-# Distinct ranks of one node that a window task sorts together.
-BLOCK = 4_096
+#: Points of a block of first ranks, rows of one side that meet in a task, bits of a node's number, mark of a cut block.
+BLOCK_POINTS, PART, NODE_BITS, CUT = 32_768, 262_144, 40, 1 << 10
+#: Core seconds per row and level (an estimate).
+BOX_LEVEL_SECONDS = 5e-6
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
@@ -108,43 +114,179 @@ def cover_nodes(lo: Column, hi: Column, levels: int) -> Column:
     return F.array_compact(F.array(*nodes))
 
 
+def block_nodes(rank: Column, low: int, levels: int) -> Column:
+    """Where a point's first rank lies: its nodes of whole blocks, as array of (node, r), and its block with the rank."""
+    spot = lambda level, k, r: F.struct((F.lit(level << NODE_BITS) + k).alias("node"), r.alias("r"))
+    whole = [spot(l, F.shiftright(rank, l), F.lit(0).cast("long")) for l in range(low, levels + 1)]
+    return F.array(*whole, spot(CUT, F.shiftright(rank, low), rank))
+
+
+def block_cover(lo: Column, hi: Column, low: int, levels: int) -> Column:
+    """Nodes of whole blocks and at most two cut blocks that cover the ranks [lo, hi), as array of (node, lo, hi)."""
+    spot = lambda level, k, a, b: F.struct((F.lit(level << NODE_BITS) + k).alias("node"), a.alias("lo"), b.alias("hi"))
+    size = 1 << low
+    first, end = F.shiftright(lo + F.lit(size - 1), low), F.shiftright(hi, low)
+    nodes = F.transform(cover_nodes(first, end, levels - low), lambda c: spot_of(c, low))
+    inside = first > end
+    left = F.when(~inside & (lo % size != 0), spot(CUT, first - 1, lo, first * size))
+    right = F.when(~inside & (hi % size != 0), spot(CUT, end, end * size, hi))
+    return F.concat(nodes, F.array_compact(F.array(F.when(inside & (lo < hi), spot(CUT, end, lo, hi)), left, right)))
+
+
+def spot_of(node: Column, low: int) -> Column:
+    """A node of blocks as (node, lo, hi) of ranks."""
+    zero = F.lit(0).cast("long")
+    return F.struct(((node["l"].cast("long") + low) * (1 << NODE_BITS) + node["k"]).alias("node"), zero.alias("lo"), zero.alias("hi"))
+
+
+def weights_inside(values: np.ndarray, weights: np.ndarray, start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Per query the weight of the values in [lo, hi) among those at the places [start, end).
+
+    Values are split by one bit after the other, the highest first, zeros before ones, so that the places of a query stay
+    a stretch on every level (a wavelet matrix).
+    """
+    known, codes = np.unique(values, return_inverse=True)
+    bits = len(known).bit_length()
+    bounds = [np.searchsorted(known, c) for c in (lo, hi)]
+    places = [(start, end), (start, end)]
+    sums = [np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)]
+    for bit in reversed(range(bits)):
+        ones = codes >> bit & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~ones)])
+        order = np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])
+        codes, weights = codes[order], weights[order]
+        upto = np.concatenate([[0], np.cumsum(weights)])
+        for k, bound in enumerate(bounds):
+            high = bound >> bit & 1 == 1
+            a, b = (zeros[p] for p in places[k])
+            sums[k] += np.where(high, upto[b] - upto[a], 0)
+            places[k] = tuple(np.where(high, zeros[-1] + p - z, z) for p, z in zip(places[k], (a, b)))
+    return sums[1] - sums[0]
+
+
+def count_inside(node: np.ndarray, points: dict[str, np.ndarray], at: np.ndarray, boxes: dict[str, np.ndarray]) -> int:
+    """Weighted pairs of points and boxes of equal node, the point's last two ranks inside the box."""
+    found = 0
+    known, code = np.unique(node, return_inverse=True)
+    base = int(max(points["r1"].max(initial=0), boxes["hi1"].max(initial=0))) + 1
+    order = np.argsort(code * base + points["r1"], kind="stable")
+    placed = (code * base + points["r1"])[order]
+    values, weights = points["r2"][order], points["w"][order]
+    group = np.searchsorted(known, at)
+    use = np.flatnonzero((group < len(known)) & (known[np.minimum(group, len(known) - 1)] == at)) if len(known) else np.zeros(0, int)
+    for some in np.array_split(use, len(use) // BLOCK_POINTS + 1):
+        start, end = (np.searchsorted(placed, group[some] * base + boxes[c][some]) for c in ("lo1", "hi1"))
+        inside = weights_inside(values, weights, start, end, boxes["lo2"][some], boxes["hi2"][some])
+        found += int((inside * boxes["w"][some]).sum())
+    return found
+
+
+def pairs_of_blocks(points: dict[str, np.ndarray], boxes: dict[str, np.ndarray], low: int) -> int:
+    """Weighted pairs of the points and boxes of some nodes; ranks inside cut blocks are split into dyadic nodes here."""
+    pick = lambda columns, mask: {c: v[mask] for c, v in columns.items()}
+    cut, cut_box = (c["cut"] for c in (points, boxes))
+    total = count_inside(points["node"][~cut], pick(points, ~cut), boxes["node"][~cut_box], pick(boxes, ~cut_box))
+    points, boxes = pick(points, cut), pick(boxes, cut_box)
+    if not len(points["node"]) or not len(boxes["node"]):
+        return total
+    width, inner = 1 << low, lambda columns, c: columns[c] & ((1 << low) - 1)
+    lo, hi = inner(boxes, "lo"), boxes["hi"] - (boxes["lo"] & ~np.int64(width - 1))
+    for l in range(low):
+        first, end = (lo + (1 << l) - 1) >> l, hi >> l
+        for use, k in (((first < end) & (first & 1 == 1), first), ((first < end) & (end & 1 == 1), end - 1)):
+            if use.any():
+                total += count_inside(points["node"] * width + (inner(points, "r") >> l), points, (boxes["node"] * width + k)[use], pick(boxes, use))
+    return total
+
+
 def box_seconds(rows: int, distinct_values: int, dim: int) -> float:
     """Estimated core seconds of :func:`box_pairs`."""
     levels = max(distinct_values - 1, 1).bit_length() + 1
-    return rows * (levels ** (dim - 1) + 2 * (1.3 * levels) ** (dim - 1)) * 4e-6
+    return rows * levels * (2.3 * levels) ** max(dim - 3, 0) * BOX_LEVEL_SECONDS
 
 
 def box_pairs(series: Series, vectors: DataFrame, dim: int, distinct_values: int) -> DataFrame:
     """(keys, pairs): ordered pairs of vectors inside each other's box.
 
-    ``vectors`` holds per row an array ``v`` of ``dim`` structs (rank, lo, hi).
-    Self pairs count. Equal vectors are merged into one weighted vector first.
+    ``vectors`` holds per row ``n`` and an array ``v`` of ``dim`` structs (rank,
+    lo, hi). Self pairs count. Equal vectors are merged into one weighted vector
+    first. Light nodes are dealt many to a group; what meets in a heavy node is
+    dealt into parts of bounded size on both sides.
     """
     keys = series.key_cols()
     levels = max(distinct_values - 1, 1).bit_length()
-    merged = vectors.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
-    # Every vector becomes levels^(dim-1) rows below.
-    merged = merged.repartition(series.tasks((levels + 1) ** (dim - 1)), *keys, "v")
-    spot = lambda d: F.col("v")[d]
-    node_names = [f"n{d}" for d in range(dim - 1)]
-    last = spot(dim - 1)
-    event = lambda r, point, box: F.struct(r.alias("r"), point.alias("p"), box.alias("q"))
-    zero = F.lit(0).cast("long")
+    low = max(0, levels - (max(series.longest // BLOCK_POINTS, 1) - 1).bit_length())
+    merged = stored(vectors.groupBy(*keys, "n", "v").agg(F.count(F.lit(1)).alias("w")))
+    middle = range(1, dim - 2)
+    names = ["node", *[f"n{d}" for d in middle]]
+
+    def nodes(rows: DataFrame, v: str, box: bool) -> DataFrame:
+        spot = lambda d: F.col(v)[d]
+        first = block_cover(spot(0)["lo"], spot(0)["hi"], low, levels) if box else block_nodes(spot(0)["rank"], low, levels)
+        rows = rows.withColumn("__s", F.explode(first)).select("*", "__s.*").drop("__s")
+        for d in middle:
+            parts = cover_nodes(spot(d)["lo"], spot(d)["hi"], levels) if box else point_nodes(spot(d)["rank"], levels)
+            rows = rows.withColumn(f"n{d}", F.explode(F.transform(parts, lambda c: c["l"].cast("long") * (1 << NODE_BITS) + c["k"])))
+        return rows
+
+    # Nodes with many rows are found by counting the different first ranks only.
+    seen = merged.groupBy(*keys, F.slice("v", 1, max(dim - 2, 1)).alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    seen = seen.repartition(series.tasks(), *keys, "h")
+    sides = [nodes(seen, "h", box).select(*keys, *names, F.when(F.lit(box), F.col("c")).otherwise(0).alias("b"), F.when(F.lit(box), 0).otherwise(F.col("c")).alias("p")) for box in (False, True)]
+    parts = [F.ceil(F.sum(c) / F.lit(PART)).cast("int").alias(f"__{c}") for c in ("p", "b")]
+    heavy = sides[0].unionByName(sides[1]).groupBy(*keys, *names).agg(*parts).where("__p > 0 and __b > 0 and __p + __b > 2")
+    heavy = stored(heavy.withColumn("__id", F.monotonically_increasing_id()))
+    heavy = broadcast_if(heavy, heavy.count())
+
+    def dealt(box: bool) -> DataFrame:
+        rows = merged.repartition(series.tasks((levels - low + 2) * (2.3 * levels) ** len(middle)), *keys, "v")
+        own, other = ("b", "p") if box else ("p", "b")
+        rows = join_on(nodes(rows, "v", box), heavy, [*series.keys, *names], "left")
+        turn = F.pmod(F.xxhash64("v"), F.coalesce(F.col(f"__{own}"), F.lit(1))).cast("int")
+        rows = rows.withColumn(f"__{own}at", turn).withColumn(f"__{other}at", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"__{other}"), F.lit(1)) - 1)))
+        groups = F.ceil(F.col("n") * F.lit((levels - low + 2) * (2.3 * levels) ** len(middle)) / F.lit(PART)).cast("long")
+        light = F.pmod(F.xxhash64(*names), groups)
+        deal = F.struct(F.coalesce("__id", F.lit(-1)).alias("id"), F.when(F.col("__id").isNull(), light).otherwise(F.lit(0)).alias("light"), "__pat", "__bat")
+        both = lambda d, a, b: F.col("v")[d][a] * F.lit(1 << 32) + F.col("v")[d][b]
+        last = [d for d in (dim - 2, dim - 1) if d > 0]
+        spans = [both(d, "lo", "hi").alias(f"s{k}") for k, d in enumerate(last)] if box else [F.col("v")[d]["rank"].alias(f"s{k}") for k, d in enumerate(last)]
+        extra = ["lo", "hi"] if box else ["r"]
+        return rows.select(*keys, deal.alias("deal"), *names, *extra, *spans, "w")
+
+    def read(table: pa.Table, box: bool) -> dict[str, np.ndarray]:
+        column = lambda c: table[c].to_numpy().astype(np.int64)
+        out = {c: column(c) for c in (("lo", "hi", "w") if box else ("r", "w"))}
+        spans = [column(c) for c in table.column_names if c in ("s0", "s1")]
+        # Of two dimensions the second is the only one left.
+        for k, s in zip((1, 2), spans if len(spans) == 2 else [*spans, None]):
+            if box:
+                out[f"lo{k}"], out[f"hi{k}"] = (s >> 32, s & 0xFFFFFFFF) if s is not None else (np.zeros_like(out["w"]), np.ones_like(out["w"]))
+            else:
+                out[f"r{k}"] = s if s is not None else np.zeros_like(out["w"])
+        out["cut"] = column("node") >> NODE_BITS == CUT
+        return out
+
+    own_keys = list(series.keys)
+    fields = [merged.schema[c] for c in own_keys]
+
+    def counted(points: pa.Table, boxes: pa.Table) -> pa.Table:
+        one = points if points.num_rows else boxes
+        total = 0
+        if points.num_rows and boxes.num_rows:
+            sides = [read(points, False), read(boxes, True)]
+            code, at = np.zeros(points.num_rows, np.int64), np.zeros(boxes.num_rows, np.int64)
+            for c in names:
+                known, number = np.unique(np.concatenate([points[c].to_numpy(), boxes[c].to_numpy()]), return_inverse=True)
+                _, number = np.unique(np.concatenate([code, at]) * len(known) + number, return_inverse=True)
+                code, at = number[: len(code)], number[len(code) :]
+            sides[0]["node"], sides[1]["node"] = code, at
+            total = pairs_of_blocks(*sides, low)
+        return pa.table({**{c: one[c].slice(0, 1) for c in own_keys}, "pairs": pa.array([total], pa.int64())})
 
-    points, boxes = merged, merged
-    for d, name in enumerate(node_names):
-        points = points.withColumn(name, F.explode(point_nodes(spot(d)["rank"], levels)))
-        boxes = boxes.withColumn(name, F.explode(cover_nodes(spot(d)["lo"], spot(d)["hi"], levels)))
-    points = points.select(*keys, *node_names, last["rank"].alias("r"), F.col("w").alias("p"), zero.alias("q"))
-    ends = F.array(event(last["hi"], zero, F.col("w")), event(last["lo"], zero, -F.col("w")))
-    boxes = boxes.select(*keys, *node_names, F.explode(ends).alias("__e")).select(*keys, *node_names, "__e.*")
-
-    group = [*keys, *[F.col(n) for n in node_names]]
-    ranks = points.unionByName(boxes).groupBy(*group, "r").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    blocks = ranks.withColumn("block", F.floor(F.col("r") / BLOCK).cast("long"))
-    inside = Window.partitionBy(*group, "block").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    local = blocks.withColumn("below", F.coalesce(F.sum("p").over(inside), zero))
-    per_block = local.groupBy(*group, "block").agg(F.sum(F.col("q") * F.col("below")).alias("part"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    earlier = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_block.withColumn("below", F.coalesce(F.sum("p").over(earlier), zero))
-    return carried.groupBy(*keys).agg(F.sum(F.col("part") + F.col("q") * F.col("below")).alias("pairs"))
+    by = [*keys, F.col("deal")]
+    schema = StructType([*fields, StructField("pairs", LongType())])
+    points, boxes = dealt(False), dealt(True)
+    # Both sides come from one table: the boxes' columns get names of their own.
+    boxes = boxes.select(*[ref(c).alias(c) for c in boxes.columns])
+    found = points.groupBy(*by).cogroup(boxes.groupBy(*by)).applyInArrow(counted, schema)
+    return found.groupBy(*keys).agg(F.sum("pairs").alias("pairs"))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from lodestat.plans import tiles
+from lodestat.operators.bds import neighbour_integrals
+from lodestat.plans import boxcount
 from lodestat.plans.boxcount import far_end
 
 
@@ -42,3 +44,27 @@ def test_pairs_of_chunks_that_lie_apart(monkeypatch, series, size):
 
 def test_series_without_a_pair(series):
     assert tiles.near_pairs(series([float(i) for i in range(100)]), 2, 0.5).first()["near"] == 0
+
+
+@pytest.mark.parametrize("dim", [2, 3, 4])
+def test_boxes_in_blocks_and_heavy_nodes(series, monkeypatch, dim):
+    """Shuffled rows stay few where ranks are split inside tasks, and heavy nodes are dealt without losing pairs."""
+    monkeypatch.setattr(boxcount, "BLOCK_POINTS", 40)
+    monkeypatch.setattr(boxcount, "PART", 30)
+    x = np.where(np.arange(400) % 3 == 0, 2.0, [((7 * i * i + 3 * i) % 211) / 10 for i in range(400)])
+    near = np.abs(x[:, None] - x[None, :]) < 3.0
+    n = len(x) - dim + 1
+    both = np.logical_and.reduce([near[d : d + n, d : d + n] for d in range(dim)])
+    s = series(x)
+    got = neighbour_integrals(s, dim, 3.0, "boxes").first()["cm"]
+    assert got == pytest.approx((both.sum() - n) / (n * (n - 1)))
+
+
+def test_weights_inside():
+    rng = np.random.default_rng(5)
+    values, weights = rng.integers(0, 50, 300), rng.integers(1, 4, 300)
+    start = rng.integers(0, 300, 200)
+    end, lo, hi = rng.integers(start, 301), rng.integers(0, 50, 200), rng.integers(0, 60, 200)
+    hi = np.maximum(lo, hi)
+    want = [weights[a:b][(values[a:b] >= c) & (values[a:b] < d)].sum() for a, b, c, d in zip(start, end, lo, hi)]
+    assert boxcount.weights_inside(values, weights, start, end, lo, hi).tolist() == want
