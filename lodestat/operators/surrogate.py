@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from hashlib import md5
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import StructType
 
 from lodestat.errors import InsufficientData
 from lodestat.plans.checkpoints import stored
@@ -18,6 +22,9 @@ from lodestat.plans.tiles import TILE
 FAN_IN = 64
 #: Hexadecimal digits of the hash that orders a surrogate.
 HASH_DIGITS = 15
+#: Consecutive residuals that are packed together, and chunks whose rows meet in a task.
+BLOCK, SPAN = 16_384, 64
+PACKED = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
 
 def fitted_ar1(series: Series) -> tuple[DataFrame, DataFrame]:
@@ -86,32 +93,81 @@ def composed(first: Column, second: Column) -> Column:
     return F.array(second[0] + second[1] * a, second[1] * f, *[first[k + 2] + gain for k, gain in enumerate(cubic)])
 
 
+def hash_order(seed: int, b: int, times: Sequence[bytes]) -> np.ndarray:
+    """The leading :data:`HASH_DIGITS` digits of the hash of (seed, b, t), as numbers."""
+    start = b"%d:%d:" % (seed, b)
+    digests = b"".join([md5(start + t, usedforsecurity=False).digest() for t in times])
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(64 - 4 * HASH_DIGITS)).astype(np.int64)
+
+
+def chunk_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Chunk of each hash, of as many as hold about TILE rows."""
+    return np.floor(h.astype(float) / float(1 << 4 * HASH_DIGITS) * max(math.ceil(n / TILE), 1)).astype(np.int64)
+
+
+def packed_gaps(h: np.ndarray) -> bytes:
+    """Steps between sorted numbers, byte by byte of all: the leading bytes are zeros, which a shuffle compresses."""
+    return np.diff(h).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_gaps(first: int, gaps: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(gaps, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return first + np.concatenate([[0], np.cumsum(steps)])
+
+
 def hashed_statistics(series: Series, model: DataFrame, residuals: DataFrame, surrogates: int, seed: int) -> DataFrame:
     """(keys, b, statistic): AR(1) driven by residuals in hashed order.
 
     The order of surrogate b sorts the residuals by a hash of (seed, b, t).
     Its leading bits assign rows to chunks of about TILE rows, its value sorts
-    them inside: one shuffle of rows however long a series is. A chunk maps
+    them inside: one shuffle of rows however long a series is. They travel as
+    sorted arrays, one for each block of BLOCK rows and SPAN chunks. A chunk maps
     the value it starts from to its last one and adds a cubic of it. Such maps
     compose, so a tree that merges FAN_IN of them a step finishes surrogates
     of any length.
     """
-    keys = series.key_cols()
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("b"), F.col("t")))
-    spot = F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
-    chunks = F.greatest(F.ceil(F.col("n") / TILE), F.lit(1)).cast("double")
-    spread = residuals.repartition(series.tasks(surrogates), *keys, "t")
-    rows = spread.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(surrogates - 1)))).withColumn("h", spot)
-    rows = rows.withColumn("chunk", F.floor(F.col("h").cast("double") / F.lit(float(1 << 4 * HASH_DIGITS)) * chunks).cast("long"))
-    packed = rows.groupBy(*keys, "b", "chunk", "n").agg(F.sort_array(F.collect_list(F.struct("h", "t", "e"))).alias("__r"))
-    packed = series.attach(packed.withColumn("e", F.transform("__r", lambda r: r["e"])).drop("__r"), model.select(*keys, "phi", "mean"))
-    lowest = F.col("chunk") == F.lit(0)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def summary(e: pd.Series, phi: pd.Series, mean: pd.Series, first: pd.Series) -> pd.Series:
-        return pd.Series([chunk_summary(np.asarray(x), p, m, s) for x, p, m, s in zip(e, phi, mean, first)])
-
-    parts = packed.select(*keys, "b", "n", "chunk", summary("e", "phi", "mean", lowest).alias("s"))
+    keys, names = series.key_cols(), list(series.keys)
+    model_rows = series.attach(residuals, model.select(*keys, "phi", "mean"))
+    blocks = model_rows.withColumn("block", F.floor(F.col("t") / BLOCK).cast("long"))
+    fields = [blocks.schema[c] for c in (*names, "n", "block", "phi", "mean")]
+    sent = StructType([*fields, *StructType.fromDDL("b int, span long, first long, gaps binary, e binary").fields])
+
+    def pack(table: pa.Table) -> pa.Table:
+        t = table["t"].to_numpy()
+        order = np.argsort(t, kind="stable")
+        e, times, n = table["e"].to_numpy()[order], [b"%d" % x for x in t[order].tolist()], table["n"][0].as_py()
+        rows = []
+        for b in range(surrogates):
+            h = hash_order(seed, b, times)
+            # Equal hashes stay in the order of time.
+            place = np.argsort(h, kind="stable")
+            h, driven = h[place], e[place]
+            span = chunk_of(h, n) // SPAN
+            cuts = [0, *(np.flatnonzero(np.diff(span)) + 1).tolist(), len(h)]
+            rows += [(b, int(span[i]), int(h[i]), packed_gaps(h[i:j]), driven[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), PACKED)]
+        own = table.select([f.name for f in fields]).take(pa.array(np.zeros(len(rows), np.int64)))
+        return pa.table({**{f.name: own[f.name] for f in fields}, **dict(zip(("b", "span", "first", "gaps", "e"), columns))})
+
+    made = StructType([*fields[: len(names) + 1], *StructType.fromDDL("b int, chunk long, s array<double>").fields])
+
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        h = np.concatenate([unpacked_gaps(f, g) for f, g in zip(table["first"].to_pylist(), table["gaps"].to_pylist())])
+        e = np.concatenate([np.frombuffer(x) for x in table["e"].to_pylist()])
+        order = np.argsort(h, kind="stable")
+        h, e = h[order], e[order]
+        n, phi, mean, b = (table[c][0].as_py() for c in ("n", "phi", "mean", "b"))
+        chunk = chunk_of(h, n)
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(h)]
+        parts = [chunk_summary(e[i:j], phi, mean, bool(chunk[i] == 0)) for i, j in zip(cuts, cuts[1:])]
+        own = table.select([*names, "n", "b"]).take(pa.array(np.zeros(len(parts), np.int64)))
+        columns = {"chunk": pa.array(chunk[cuts[:-1]], pa.int64()), "s": pa.array(parts, pa.list_(pa.float64()))}
+        return pa.table({**{c: own[c] for c in (*names, "n", "b")}, **columns})
+
+    packed = blocks.repartition(series.tasks(surrogates), *keys, "block").groupBy(*keys, "block").applyInArrow(pack, sent)
+    by = [*keys, F.col("b"), F.col("span")]
+    parts = packed.repartition(series.tasks(surrogates, 5_000_000), *by).groupBy(*by).applyInArrow(summed, made)
     spans = max(-(-series.longest // TILE), 1)
     while True:
         spans = -(-spans // FAN_IN)

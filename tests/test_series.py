@@ -149,6 +149,27 @@ def test_surrogates_do_not_depend_on_chunks(series, monkeypatch, fan_in):
     assert tuple(got)[:3] == pytest.approx(plain.surrogates(chaotic(600), 5), rel=1e-6)
 
 
+def test_surrogates_in_blocks_and_spans(series, monkeypatch):
+    from lodestat.operators import surrogate
+
+    for name, rows in (("TILE", 37), ("BLOCK", 50), ("SPAN", 3)):
+        monkeypatch.setattr(surrogate, name, rows)
+    got = ls.surrogate_test(series(chaotic(600), 1), 5).first()
+    assert tuple(got)[:3] == pytest.approx(plain.surrogates(chaotic(600), 5), rel=1e-6)
+
+
+def test_residuals_travel_in_few_bytes():
+    """A residual of a surrogate takes 14 bytes and not a row of its own."""
+    import zlib
+
+    from lodestat.operators import surrogate
+
+    h = np.sort(surrogate.hash_order(1, 0, [b"%d" % t for t in range(16_384)]))
+    gaps = surrogate.packed_gaps(h)
+    assert surrogate.unpacked_gaps(int(h[0]), gaps).tolist() == h.tolist()
+    assert len(zlib.compress(gaps, 1)) < 6.2 * len(h)
+
+
 def test_regimes(series):
     x = [0.0]
     for i in range(600):
