@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Documents of a bucket: one run of the packer, with its own open bins.
 BUCKET_ROWS = 65536
-#: Distinct words whose ids a Python worker remembers.
-CACHED_WORDS = 1_000_000
+#: Distinct words whose ids a Python worker remembers: as many of late, and those they replaced.
+CACHED_WORDS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -28,16 +28,17 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path), {}, {}
 
 
 def token_ids(texts: list[str], path: str, ends: int) -> Iterator[np.ndarray]:
     """Ids of each text and then `ends`, as unsigned 32-bit.
 
-    The tokenizer splits at white space and treats each word alone, so words seen before come from a cache. New words
+    The tokenizer splits at white space and treats each word alone, so words seen before come from a cache. Is it
+    full, a new one begins, and words of the one before move over as they occur again; so frequent words stay. New words
     are encoded many at a time and told apart by their character offsets.
     """
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, cache, older = _tokenizer(path)
     end = np.uint32(ends).tobytes()
     for text in texts:
         if not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
@@ -47,8 +48,14 @@ def token_ids(texts: list[str], path: str, ends: int) -> Iterator[np.ndarray]:
         words = text.split()
         new = list(set(words).difference(cache))
         if len(cache) + len(new) > CACHED_WORDS:
+            older.clear()
+            older.update(cache)
             cache.clear()
             new = list(set(words))
+        if older:
+            known = [w for w in new if w in older]
+            cache.update((w, older[w]) for w in known)
+            new = [w for w in new if w not in older] if known else new
         for low in range(0, len(new), 4096):
             some = new[low : low + 4096]
             encoded = tokenizer.encode(" ".join(some), add_special_tokens=False)

@@ -122,6 +122,11 @@ def _logistic(starts: np.ndarray, at: np.ndarray, values: np.ndarray, y: np.ndar
     return w, b
 
 
+def labelled(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Texts with their labels. Labels grow with the texts, so both are shuffled whatever the size; it costs the texts once."""
+    return texts.join(known.hint("merge"), "id")
+
+
 def fit_toxicity_model(
     docs: DataFrame,
     labels: DataFrame,
@@ -150,7 +155,7 @@ def fit_toxicity_model(
     many = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rates = {k: min(1.0, per_class / max(1, many.get(k, 0))) for k in (0, 1)}
     turn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(known, "id").select("label", turn.alias("turn"), "text")
+    rows = labelled(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), known).select("label", turn.alias("turn"), "text")
     parts = scratch.store(rows.mapInArrow(_gathered(rates), "block int, label int, counts array<int>, text string"))
     sums = parts.where("block >= 0").withColumn("turn", F.spark_partition_id() % TURNS)
     for by in (("block", "label", "turn"), ("block", "label")):  # so no task gets the blocks of all input tasks

@@ -55,3 +55,37 @@ def test_item_ids_of_any_type(spark, kind):
     found = contaminated(docs, benchmark)
     assert found.schema["item_id"].dataType == benchmark.schema["item_id"].dataType
     assert [(r["doc_id"], int(r["item_id"])) for r in found.collect()] == [(9, 5)]
+
+
+def test_labels_are_joined_alike_at_any_size(spark):
+    """A join that turns from a broadcast to a shuffle as labels grow makes small runs say nothing of large ones."""
+    from lodestat.llm.toxicity import labelled
+
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "id long, text string")
+    known = spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "id long, label int")
+    rows = labelled(texts, known)
+    assert sorted((r["text"], r["label"]) for r in rows.collect()) == [("a", 0), ("a", 1), ("d", 0), ("d", 1)]
+    assert "SortMergeJoin" in rows._jdf.queryExecution().toString()
+
+
+def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
+    from lodestat.llm import packing, queries
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    path = queries.word_tokenizer()
+    tokenizer, cache, older = packing._tokenizer(path)
+    cache.clear(), older.clear()
+    encoded = []
+
+    class Counting:
+        def encode(self, text, **options):
+            encoded.extend(text.split())
+            return tokenizer.encode(text, **options)
+
+    monkeypatch.setattr(packing, "_tokenizer", lambda _: (Counting(), cache, older))
+    texts = [" ".join(["often", *[f"w{i * 10 + k}" for k in range(10)]]) for i in range(40)]
+    for text, ids in zip(texts, packing.token_ids(texts, path, 0), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert len(cache) + len(older) <= 100
+    assert encoded.count("often") == 1
+    cache.clear(), older.clear()
