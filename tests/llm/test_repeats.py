@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestat.llm import suffix_dedup
@@ -50,3 +52,22 @@ def test_every_repeated_string_goes(spark, monkeypatch, group):
     got = sorted((str(r["doc_id"]), r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in without_repeats(docs, 40, 20).collect())
     assert got == want and sum(bool(w[2]) for w in want) > 80
     assert without_repeats(docs.limit(0), 40, 20).count() == 0
+
+
+def test_strings_of_many_surroundings_take_bounded_memory():
+    """Hashes of the strings at each start are made a slice of text at a time."""
+    import tracemalloc
+
+    text = np.random.default_rng(3).integers(97, 123, 4 << 20).astype(np.uint8).tobytes().decode()
+    docs = pa.table({"batch": pa.array([0] * 64, pa.int32()), "text": [text[k << 16 : (k + 1) << 16] for k in range(64)]})
+    known, _ = suffix_dedup._known(list(suffix_dedup._visits(docs["text"], 400, 200)))
+    status = bytes([suffix_dedup._MIXED | suffix_dedup._SEND | suffix_dedup._LARGE]) * len(known)
+    answers = pa.table({"batch": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()), "status": pa.array([status], pa.binary())})
+    tracemalloc.start()
+    made = suffix_dedup._contexts(400, 200, 7)(docs, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    starts = sum(max(0, (1 << 16) - 399) for _ in range(64))
+    assert sum(len(x) for x in made["piece"].to_pylist()) == starts
+    assert all((np.array(p).view(np.uint64) % 7 == b).all() for p, b in zip(made["piece"].to_pylist()[:3], made["bin"].to_pylist()))
+    assert peak < 300 << 20
