@@ -26,13 +26,26 @@ from lodestat.plans.series import Series, with_lags
 
 # Share of rows held out when two models are compared.
 HOLD_OUT = 0.25
+# Rows that a task of a model fit reads, about.
+ROWS_PER_TASK = 1_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt into more tasks where the scan has too few: files are split by their packed size, but read as rows.
+
+    Beyond ROWS_PER_TASK rows a core; fewer rows stay where the scan put them.
+    """
+    wanted = -(-df.count() // ROWS_PER_TASK)
+    if wanted <= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.withColumn("__row", F.monotonically_increasing_id()).repartition(wanted, "__row").drop("__row")
 
 
 def assembled(df: DataFrame, features: Sequence[str], target: str, extra: Sequence[Column] = ()) -> DataFrame:
     """(features vector, label, extra) from the NULL-filled view."""
     names = [f"__x{i}" for i in range(len(features))]
     flat = df.select(*[filled(c).alias(n) for c, n in zip(features, names)], filled(target).alias("label"), *extra)
-    return VectorAssembler(inputCols=names, outputCol="features").transform(flat)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(spread(flat))
 
 
 def r_squared(predicted: DataFrame) -> float:

@@ -132,3 +132,17 @@ def test_grouping_columns_with_working_names(spark):
     assert sorted((r["value"], r["value_"], r["count"]) for r in top) == [(1, "a", 1), (2, "b", 1)]
     share = ls.category_frequency(df, "value", by="count").collect()
     assert sorted((r["count"], r["value"], r["count_"], r["share"]) for r in share) == [("a", 1, 1, 1.0), ("b", 1, 1, 0.5), ("b", 2, 1, 0.5)]
+
+
+def test_model_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """However few files the rows come in, no task of a fit reads more than its share."""
+    from pyspark.sql import functions as F
+
+    from lodestat.operators import nonlinear
+
+    monkeypatch.setattr(nonlinear, "ROWS_PER_TASK", 100)
+    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("b")).coalesce(1)
+    data = nonlinear.assembled(df, ["a"], "b")
+    sizes = [r["count"] for r in data.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= 28 and max(sizes) < 200 and sum(sizes) == 3000
+    assert sorted(r["label"] for r in data.collect()) == [float(i) for i in range(3000)]
