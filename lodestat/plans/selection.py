@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from lodestat.columns import number, ref
 from lodestat.plans.checkpoints import stored
-from lodestat.plans.joins import broadcast_if, join_on, packed_by_column
+from lodestat.plans.joins import broadcast_if, join_on
 
 #: Buckets for each doubling of a value, and parts of a bucket that is cut again.
 PER_OCTAVE, PARTS = 256, 1_024
@@ -69,28 +69,17 @@ def _moments() -> dict[str, Column]:
 
 
 def _values(df: DataFrame, names: Sequence[str], by: Sequence[str], spans: DataFrame | None = None) -> DataFrame:
-    """(by, column, __value) of all cells; with ``spans`` only of values inside one, and its ends ``__lo`` and ``__hi``."""
-    keys = [ref(b) for b in by]
-    source, told = df, lambda c: []
-    if spans is not None and by:
-        widest = spans.agg(F.max(F.size("spans"))).first()[0] or 0
-        packed = stored(packed_by_column(spans, by, ("spans",), "__lay"))
-        source = join_on(df.select(*[ref(c) for c in dict.fromkeys([*by, *names])]), broadcast_if(packed, packed.count()), by)
-        told = lambda c: [F.get(F.col("__lay")[F.lit(c)]["spans"], F.lit(k)) for k in range(widest)]
-    elif spans is not None:
-        fixed = {r["column"]: r["spans"] for r in spans.collect()}
-        told = lambda c: [F.struct(F.lit(x["lo"]).alias("lo"), F.lit(x["hi"]).alias("hi")) for x in fixed.get(c, [])]
-
-    def cell(c: str) -> Column:
-        v, fields = number(c), [F.lit(c).alias("column"), number(c).alias("__value")]
-        if spans is not None:
-            held, inside = told(c), lambda x: (v >= x["lo"]) & (v <= x["hi"]) & ~F.isnan(v)
-            for e in ("lo", "hi"):
-                fields.append(F.coalesce(F.lit(None).cast("double"), *[F.when(inside(x), x[e]) for x in held]).alias(f"__{e}"))
-        return F.struct(*fields)
-
-    out = source.select(*keys, F.explode(F.array(*map(cell, names))).alias("__s")).select(*keys, "__s.*")
-    return out if spans is None else out.where(F.col("__lo").isNotNull())
+    """(by, column, __value) of all cells; with ``spans`` only of values inside one, and its ends ``__lo`` and ``__hi``.
+
+    A value finds the spans of its bucket by a join, so the code that runs per value stays the same however many there are.
+    """
+    keys, v = [ref(b) for b in by], F.col("__value")
+    cells = [F.struct(F.lit(c).alias("column"), number(c).alias("__value")) for c in names]
+    out = df.select(*keys, F.explode(F.array(*cells)).alias("__s")).select(*keys, "__s.*")
+    if spans is None:
+        return out
+    met = join_on(out.withColumn("__b", bucket(v)), broadcast_if(spans, spans.count()), [*by, "column", "__b"])
+    return met.where((v >= F.col("__lo")) & (v <= F.col("__hi"))).drop("__b")
 
 
 def _running(group: Sequence[Column], order: str) -> Column:
@@ -106,8 +95,9 @@ def _hit(lines: DataFrame, aims: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _spans(aims: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(by, column, spans): the different buckets that are not a single value."""
-    return aims.where("lo < hi").groupBy(*[ref(k) for k in keys]).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    """(by, column, __b, __lo, __hi): the different parts of buckets that are not a single value, and the buckets."""
+    lo, hi = F.col("lo"), F.col("hi")
+    return aims.where("lo < hi").select(*[ref(k) for k in keys], bucket(lo).alias("__b"), lo.alias("__lo"), hi.alias("__hi")).distinct()
 
 
 def _narrowed(df: DataFrame, names: Sequence[str], by: Sequence[str], aims: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import lodestat as ls
 from lodestat.operators.univariate import PROFILE_STATISTICS, STATISTICS, column_rows
-from lodestat.plans.selection import Rank, bucket, select_ranks
+from lodestat.plans.selection import Rank, _spans, _values, bucket, select_ranks
 
 SPECIAL = [None, float("nan"), math.inf, -math.inf, 0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, -1.0]
 
@@ -51,6 +51,20 @@ def test_every_rank_against_a_sort(spark, bracket_rows):
             assert (got[g, c]["__rows"], got[g, c]["__present"]) == (len(mine), len(present))
 
 
+def test_code_per_value_does_not_grow_with_the_spans(spark):
+    df = spark.createDataFrame([(g, float(x)) for g in ("a", None) for x in range(100)] + [("a", None), ("a", math.nan)], "g string, x double")
+    made = lambda n: [("a", "x", 0.0, 0.0), *((g, "x", 4.0 * k + 1, (4.0 * k + 1) * 1.001) for g in ("a", None) for k in range(n))]
+    aims = {n: spark.createDataFrame(made(n), "g string, column string, lo double, hi double") for n in (2, 20)}
+    found = {n: _values(df, ["x"], ["g"], _spans(a, ["g", "column"])) for n, a in aims.items()}
+    for n, cells in found.items():
+        want = [(g, float(4 * k + 1)) for g in ("a", None) for k in range(n)]
+        assert sorted(((r["g"], r["__value"]) for r in cells.collect()), key=str) == sorted(want, key=str)
+    stored = {n: spark.createDataFrame((t := _spans(a, ["g", "column"])).collect(), t.schema) for n, a in aims.items()}
+    plans = {n: _values(df, ["x"], ["g"], t)._jdf.queryExecution().optimizedPlan().toString().split("\n") for n, t in stored.items()}
+    size = {n: sum(len(x) for x in plan if "Filter" in x or "Generate" in x) for n, plan in plans.items()}
+    assert size[2] == pytest.approx(size[20], abs=60)
+
+
 def test_merged_moments_equal_plain_aggregates(spark, gaps):
     draw = random.Random(3)
     far = spark.createDataFrame([(1.7e9 + draw.gauss(0, 5), draw.lognormvariate(0, 3), None) for _ in range(500)], "t double, w double, z double")
