@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 65536
 #: Distinct words whose ids a Python worker remembers: as many of late, and those they replaced.
 CACHED_WORDS = 300_000
+#: Words of visible ASCII without the apostrophe of contractions and the bracket of added tokens; pieces of one in lower case.
+_PLAIN = re.compile("[!-&(-;=-~]+")
+_PIECE = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -31,14 +37,52 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), {}, {}
 
 
+@lru_cache(maxsize=2)
+def _splits_plainly(tokenizer) -> bool:
+    """Whether the tokenizer takes _PLAIN words in lower case and by _PIECE, as seen on all words of two characters."""
+    if getattr(tokenizer, "normalizer", None) is None or getattr(tokenizer, "pre_tokenizer", None) is None:
+        return False
+    if any(_PLAIN.fullmatch(t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    signs = [c for c in map(chr, range(128)) if _PLAIN.fullmatch(c)]
+    words = [a + b for a in signs for b in signs]
+    text = tokenizer.normalizer.normalize_str(" ".join(words))
+    pieces = [p for w in words for p in _PIECE.findall(w.lower())]
+    return text == " ".join(words).lower() and [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] == pieces
+
+
+def _encoded(tokenizer, plainly: bool, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Each word and its ids.
+
+    Pieces of plain words go to the tokenizer's model at once, as normalising and splitting costs more than it does. Other
+    words are encoded many at a time and told apart by their character offsets.
+    """
+    others = words
+    if plainly:
+        others, tokenize = [], tokenizer.model.tokenize
+        for word in words:
+            if _PLAIN.fullmatch(word):
+                yield word, b"".join([t.id.to_bytes(4, sys.byteorder) for p in _PIECE.findall(word.lower()) for t in tokenize(p)])
+            else:
+                others.append(word)
+    for low in range(0, len(others), 4096):
+        some = others[low : low + 4096]
+        encoded = tokenizer.encode(" ".join(some), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in some])
+        ids = np.array(encoded.ids, np.uint32).tobytes()
+        cuts = 4 * np.searchsorted([a for a, _ in encoded.offsets], starts)
+        for word, (low_byte, high_byte) in zip(some, pairwise(cuts.tolist()), strict=True):
+            yield word, ids[low_byte:high_byte]
+
+
 def token_ids(texts: list[str], path: str, ends: int) -> Iterator[np.ndarray]:
     """Ids of each text and then `ends`, as unsigned 32-bit.
 
     The tokenizer splits at white space and treats each word alone, so words seen before come from a cache. Is it
-    full, a new one begins, and words of the one before move over as they occur again; so frequent words stay. New words
-    are encoded many at a time and told apart by their character offsets.
+    full, a new one begins, and words of the one before move over as they occur again; so frequent words stay.
     """
     tokenizer, cache, older = _tokenizer(path)
+    plainly = _splits_plainly(tokenizer)
     end = np.uint32(ends).tobytes()
     for text in texts:
         if not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
@@ -56,14 +100,7 @@ def token_ids(texts: list[str], path: str, ends: int) -> Iterator[np.ndarray]:
             known = [w for w in new if w in older]
             cache.update((w, older[w]) for w in known)
             new = [w for w in new if w not in older] if known else new
-        for low in range(0, len(new), 4096):
-            some = new[low : low + 4096]
-            encoded = tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])
-            ids = np.array(encoded.ids, np.uint32)
-            cuts = np.searchsorted([a for a, _ in encoded.offsets], starts)
-            for k, word in enumerate(some):
-                cache[word] = ids[cuts[k] : cuts[k + 1]].tobytes()
+        cache.update(_encoded(tokenizer, plainly, new))
         yield np.frombuffer(b"".join([*map(cache.__getitem__, words), end]), np.uint32)
 
 

@@ -89,3 +89,27 @@ def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
         assert len(cache) + len(older) <= 100
     assert encoded.count("often") == 1
     cache.clear(), older.clear()
+
+
+def test_only_words_that_need_it_are_normalised_and_split(monkeypatch):
+    from lodestat.llm import packing, queries
+
+    path = queries.word_tokenizer()
+    whole = packing._tokenizer(path)[0]
+    given = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(whole, name)
+
+        def encode(self, text, **how):
+            given.extend(text.split())
+            return whole.encode(text, **how)
+
+    monkeypatch.setattr(packing, "_tokenizer", lambda _: (Counting(), {}, {}))
+    plain = "The the, THE. a1b22c x***y ++-- 007 (and) \"or\" <odd> unlikelyword7 ." + "".join(map(chr, range(33, 127)))
+    text = plain + " don't it's we'LL a<|endoftext|>b x\x00y \x7f caf\u00e9 Stra\u00dfe \u03a3\u0391\u03a3 e\u0301 \u6f22\u5b57 a\u200bb"
+    for one in (text, plain, "", " \n"):
+        (ids,) = packing.token_ids([one], path, 0)
+        assert ids.tolist() == [*whole.encode(one, add_special_tokens=False).ids, 0]
+    assert "don't" in given and "caf\u00e9" in given and not {"The", "the,", "THE.", "a1b22c", "x***y", "unlikelyword7"} & set(given)
