@@ -24,8 +24,10 @@ _BLOCK = 1 << 16
 _NEWLINE = 10
 #: Bits of a packed word hash that number its line inside a slice of texts.
 _LINE_BITS = 22
+#: Bits of a packed sort key that hold a word's place in its slice.
+_PLACE_BITS = 30
 #: Bytes of text, prefix words and pairs that a task works on at once.
-_SLICE, _FLUSH, _PAIRS = 1 << 19, 1 << 17, 1 << 18
+_SLICE, _FLUSH, _PAIRS = 1 << 18, 1 << 17, 1 << 18
 #: Larger groups of lines with a common prefix word are compared in blocks by other tasks.
 _GROUP = 32768
 #: Bits of the filter that picks the lines whose words are fetched; a false hit only costs a row.
@@ -59,13 +61,18 @@ class Lines:
         self.ends = np.cumsum(self.size)
         self.starts = self.ends - self.size
 
+    def short_keys(self) -> np.ndarray:
+        """First column of the keys."""
+        if not len(self.has):
+            return np.zeros(0, np.uint64)
+        return np.add.reduceat(T.mix(self.words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.starts)
+
     def keys(self) -> np.ndarray:
         """128-bit names of the sets, as two columns."""
         if not len(self.has):
             return np.zeros((0, 2), np.uint64)
-        one = np.add.reduceat(T.mix(self.words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.starts)
         two = np.add.reduceat(T.mix(self.words + np.uint64(0x1234567)), self.starts) + self.size.astype(np.uint64)
-        return np.stack([one, two], axis=1)
+        return np.stack([self.short_keys(), two], axis=1)
 
 
 def _binary(keys: np.ndarray) -> pa.Array:
@@ -132,18 +139,28 @@ def _prefixes(counters, similarity: float, buckets: int):
     names = ["bucket", "word", "key", *_BITS, "shape"]
 
     def prefix(lines: Lines, counts: np.ndarray) -> np.ndarray:
-        line = np.repeat(np.arange(len(lines.has)), lines.size)
-        rank = counts[_slot(lines.words)]
-        order = np.lexsort((lines.words, line.astype(np.int64) << 8 | rank))
-        words, rank = lines.words[order], rank[order]
-        position = np.arange(len(words)) - lines.starts[line]
-        slot = lines.words >> np.uint64(30) & np.uint64(64 * _BITMAP - 1)
-        one = np.uint64(1) << (slot & np.uint64(63))
-        bits = [np.bitwise_or.reduceat(np.where(slot >> np.uint64(6) == k, one, 0).astype(np.uint64), lines.starts) for k in range(_BITMAP)]
-        # in the prefix, not unique, and of a line large enough to resemble a different one
-        use = (position < prefix_length(lines.size, similarity)[line]) & (rank > 1) & (lines.size >= similarity / (1 - similarity) - 1e-6)[line]
+        # only lines large enough to resemble a different one
+        some = np.flatnonzero(lines.size >= similarity / (1 - similarity) - 1e-6)
+        size = lines.size[some]
+        ends = np.cumsum(size)
+        starts, line = ends - size, np.repeat(np.arange(len(some)), size)
+        words = lines.words[np.arange(len(line)) + (lines.starts[some] - starts)[line]]
+        # words of a line are in the order of their hashes, so a stable sort by rank keeps it
+        rank = counts[_slot(words)]
+        place = np.arange(len(words))
+        if len(words) < 1 << _PLACE_BITS and len(some) < 1 << (56 - _PLACE_BITS):
+            order = np.sort((line << 8 | rank) << _PLACE_BITS | place) & ((1 << _PLACE_BITS) - 1)
+        else:
+            order = np.argsort(line << 8 | rank, kind="stable")
+        position = place - starts[line]
+        # in the prefix and not unique
+        use = (position < prefix_length(size, similarity)[line]) & (rank[order] > 1)
         of = line[use]
-        return np.stack([words[use], lines.keys()[of, 0], *(x[of] for x in bits), position[use].astype(np.uint64) << np.uint64(32) | lines.size[of].astype(np.uint64)])
+        slot = words >> np.uint64(30) & np.uint64(64 * _BITMAP - 1)
+        one = np.uint64(1) << (slot & np.uint64(63))
+        bits = [np.bitwise_or.reduceat(one * (slot >> np.uint64(6) == k), starts) if len(some) else np.zeros(0, np.uint64) for k in range(_BITMAP)]
+        key = lines.short_keys()[some]
+        return np.stack([words[order[use]], key[of], *(x[of] for x in bits), position[use].astype(np.uint64) << np.uint64(32) | size[of].astype(np.uint64)])
 
     def dealt(parts: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(parts, axis=1)
@@ -259,9 +276,9 @@ def _words_of(wanted):
         for batch in batches:
             for _, _, data, offsets in T.slices(T.lower(batch.column(0)), _SLICE):
                 lines = Lines(data, offsets)
-                keys = lines.keys()
-                slot = (T.mix(keys[:, 0]) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+                slot = (T.mix(lines.short_keys()) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
                 at = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7) & 1)
+                keys = lines.keys() if len(at) else np.zeros((0, 2), np.uint64)
                 names = [keys[k].tobytes() for k in at]
                 fresh = [k for k, name in zip(at, names, strict=True) if name not in seen]
                 if len(seen) < 100_000:  # only to save work on copies

@@ -113,3 +113,44 @@ def test_only_words_that_need_it_are_normalised_and_split(monkeypatch):
         (ids,) = packing.token_ids([one], path, 0)
         assert ids.tolist() == [*whole.encode(one, add_special_tokens=False).ids, 0]
     assert "don't" in given and "caf\u00e9" in given and not {"The", "the,", "THE.", "a1b22c", "x***y", "unlikelyword7"} & set(given)
+
+
+def test_prefixes_sort_only_lines_that_can_resemble_another(monkeypatch):
+    """Prefix words against the definition; neither they nor the filter make the whole keys of all lines."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestat.llm import line_dedup, text
+
+    texts = pa.array(["a b c d e f g\nb b\n\none two three four five six", "", None, "g f e d c b a\nx", "a b c d e\n" * 3])
+    counts = np.arange(line_dedup.COUNTERS, dtype=np.uint32).astype(np.uint8)
+    want = []
+    for _, _, data, offsets in text.slices(texts):
+        lines = line_dedup.Lines(data, offsets)
+        for k, key in enumerate(lines.keys()):
+            words = lines.words[lines.starts[k] : lines.ends[k]].tolist()
+            n = len(words)
+            ranked = sorted(words, key=lambda w: (int(counts[w & (line_dedup.COUNTERS - 1)]), w))
+            for place, w in enumerate(ranked[: int(line_dedup.prefix_length(np.array([n]), 0.8)[0])]):
+                if n >= 4 and counts[w & (line_dedup.COUNTERS - 1)] > 1:
+                    bits = [0] * line_dedup._BITMAP
+                    for x in words:
+                        slot = x >> 30 & (64 * line_dedup._BITMAP - 1)
+                        bits[slot >> 6] |= 1 << (slot & 63)
+                    want.append(tuple(np.array([w, key[0], *bits, place << 32 | n], np.uint64).view(np.int64).tolist()))
+    assert want
+
+    monkeypatch.setattr(line_dedup.Lines, "keys", lambda self: 1 / 0)
+    rows = lambda: [pa.RecordBatch.from_arrays([texts], ["text"])]
+    held = lambda value: SimpleNamespace(value=value)
+    for bits in (line_dedup._PLACE_BITS, 1):  # 1: no room for the place beside the sort key
+        monkeypatch.setattr(line_dedup, "_PLACE_BITS", bits)
+        got = []
+        for batch in line_dedup._prefixes(held(counts), 0.8, 3)(iter(rows())):
+            got += zip(*(c.flatten().to_pylist() for c in batch.columns[1:]), strict=True)
+        assert sorted(got) == sorted(want)
+    nothing = np.zeros(1 << (line_dedup._FILTER_BITS - 3), np.uint8)
+    assert sum(b.num_rows for b in line_dedup._words_of(held(nothing))(iter(rows()))) == 0
+    assert sum(b.num_rows for b in line_dedup._prefixes(held(counts), 0.8, 3)(iter([pa.RecordBatch.from_arrays([pa.array(["a b", ""])], ["text"])]))) == 0
