@@ -88,9 +88,15 @@ def neighbours_by_tiles(series: Series, dim: int, tau: int) -> DataFrame:
     return nearest.select(*keys, "n", "i", F.col("__z.j").alias("j"), F.col("__z.d").alias("d"))
 
 
-# Core seconds per ordered pair of vectors (measured) and per searched vector (an estimate).
+# Core seconds per ordered pair of vectors, per searched vector of up to 3 values (both measured; it triples with each
+# further value, an estimate, up to the last) and of the stages of a search.
 TILE_PAIR_SECONDS = 1.1e-8
-TREE_ROW_SECONDS = 4e-3
+TREE_ROW_SECONDS, TREE_SECONDS, MOST_ROW_SECONDS = 2e-4, 40, 4e-3
+
+
+def tree_seconds(rows: int, dim: int) -> float:
+    """Estimated core seconds of a search by a space partition."""
+    return TREE_SECONDS + rows * min(TREE_ROW_SECONDS * 3.0 ** max(dim - 3, 0), MOST_ROW_SECONDS)
 
 
 def neighbours_by_tree(series: Series, dim: int, tau: int) -> DataFrame:
@@ -124,5 +130,5 @@ def nearest_neighbours(series: Series, dim: int, tau: int, method: str = "auto")
     partition) or "auto", which compares their estimated core seconds.
     """
     if method == "auto":
-        method = "tiles" if series.squares * TILE_PAIR_SECONDS <= series.rows * TREE_ROW_SECONDS else "tree"
+        method = "tiles" if series.squares * TILE_PAIR_SECONDS <= tree_seconds(series.rows, dim) else "tree"
     return neighbours_by_tiles(series, dim, tau) if method == "tiles" else neighbours_by_tree(series, dim, tau)

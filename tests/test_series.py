@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import lodestat as ls
 from lodestat.errors import InsufficientData
@@ -228,3 +229,61 @@ def test_tracks_over_blocks_of_steps(series, monkeypatch):
     monkeypatch.setattr(lyapunov, "TILE", 16)
     monkeypatch.setattr(lyapunov, "MOST_ROWS", 16)
     assert {r["step"]: r["mean_log"] for r in lyapunov.divergence(s, pairs, 3, 2).collect()} == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("dim, tau", [(1, 1), (2, 1), (3, 2)])
+@pytest.mark.parametrize("kind", ["noise", "tied", "huge", "tiny", "mixed", "infinite"])
+def test_products_of_distances(monkeypatch, kind, dim, tau):
+    """Logs of products equal sums of logs, also where distances are 0 or products leave the range of doubles."""
+    monkeypatch.setattr(lyapunov, "STRETCH", 50)
+    rng, n, count = np.random.default_rng(3), 700, 120
+    made = {
+        "noise": lambda k: np.round(rng.exponential(50, k), 2),
+        "tied": lambda k: rng.integers(0, 3, k).astype(float),
+        "huge": lambda k: rng.normal(size=k) * 1e80,
+        "tiny": lambda k: rng.normal(size=k) * 1e-60,
+        "mixed": lambda k: rng.normal(size=k) * 10.0 ** rng.integers(-70, 40, k),
+        "infinite": lambda k: np.where(rng.random(k) < 0.01, np.inf, rng.normal(size=k)),
+    }[kind]
+    reach = (dim - 1) * tau
+    x, y = made(n + count + reach), made(n + count + reach)
+    u, v, weight = rng.integers(0, n, 60), rng.integers(0, n, 60), rng.integers(1, 3, 60)
+    ends = np.minimum(rng.integers(1, 2 * count, 60), n + count - np.maximum(u, v))
+    total, seen = np.zeros(count), np.zeros(count, int)
+    with np.errstate(all="ignore"):
+        for a, b, end, w in zip(u, v, ends, weight):
+            for step in range(min(end, count)):
+                gap = sum((x[a + step + k * tau] - y[b + step + k * tau]) ** 2 for k in range(dim))
+                if gap > 0:
+                    total[step] += w * np.log(np.sqrt(gap))
+                    seen[step] += w
+    got = lyapunov.log_sums(x, y, u, v, ends, weight, dim, tau, count)
+    assert got[1].tolist() == seen.tolist()
+    assert got[0] == pytest.approx(total, rel=1e-11, abs=1e-9)
+
+
+def test_mutual_neighbours_are_followed_once(spark, series, monkeypatch):
+    """Rows that are each other's neighbours share a track, and chunks sent to bins give what broadcast ones give."""
+    s = series([float((i * i) % 97) for i in range(1500)])
+    pairs = nearest_neighbours(s, 2, 1).localCheckpoint()
+    monkeypatch.setattr(lyapunov, "TILE", 64)
+    met = lyapunov.met_tracks(s, pairs, 2, 1)
+    assert met.where("a > b").count() == 0
+    whole = {r["step"]: r["mean_log"] for r in lyapunov.divergence(s, pairs, 2, 1).collect()}
+    monkeypatch.setattr(lyapunov, "BROADCAST_VALUES", 0)
+    assert {r["step"]: r["mean_log"] for r in lyapunov.divergence(s, pairs, 2, 1).collect()} == pytest.approx(whole)
+    twice = spark.createDataFrame([(i, j) for i, j in ((3, 900), (900, 3), (40, 700))], "i long, j long").withColumn("__key0", F.lit(0)).withColumn("n", F.lit(1500).cast("long"))
+    x = np.array([float((i * i) % 97) for i in range(1500)])
+    gaps = [math.hypot(x[i] - x[j], x[i + 1] - x[j + 1]) for i, j in ((3, 900), (3, 900), (40, 700))]
+    assert {r["step"]: r["mean_log"] for r in lyapunov.divergence(s, twice, 2, 1).collect()}[0] == pytest.approx(np.mean(np.log(gaps)))
+
+
+def test_chunks_sent_to_bins_for_odd_keys(spark, monkeypatch):
+    """Series of different length, NULL and NaN keys keep their own sums."""
+    rows = [(k, i, math.sin(i * i + (0 if k is None else 3))) for k, n in ((None, 300), (float("nan"), 500), (1.5, 90)) for i in range(n)]
+    s = ls.index_series(spark.createDataFrame(rows, "k double, t int, v double"), "v", "t", "k")
+    values = lambda: {repr(r["k"]): r["lyapunov_exponent"] for r in ls.lyapunov_exponent(s, 2, 1).collect()}
+    want = values()
+    monkeypatch.setattr(lyapunov, "TILE", 16)
+    monkeypatch.setattr(lyapunov, "BROADCAST_VALUES", 0)
+    assert values() == pytest.approx(want) and len(want) == 3
