@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion, QuantileDiscretizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -28,6 +30,9 @@ from lodestat.plans.series import Series, with_lags
 HOLD_OUT = 0.25
 # Rows that a task of a model fit reads, about.
 ROWS_PER_TASK = 1_000_000
+# Rows that Spark's tree models sample at least to choose split points, and cells between split points that are fitted in
+# place of rows: so many are looked at whole.
+SPLIT_ROWS = MOST_CELLS = 10_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -102,6 +107,79 @@ def polynomial_gain(df: DataFrame, features: Sequence[str], target: str, degree:
     return df.sparkSession.createDataFrame([(float(linear), float(poly), float(poly - linear))], "r2_linear double, r2_polynomial double, polynomial_gain double")
 
 
+def sampled(df: DataFrame, share: float, seed: int) -> DataFrame:
+    """The rows that an RDD of the table samples, as Spark's tree models do."""
+    spark = df.sparkSession
+    drawn = df._jdf.javaRDD().sample(False, share, spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt())
+    return DataFrame(spark._jsparkSession.createDataFrame(drawn, df._jdf.schema()), spark)
+
+
+def split_points(values: np.ndarray, expected: float, most: int) -> np.ndarray:
+    """At most ``most`` points between the sampled values of a feature, as Spark's tree models choose them.
+
+    Zeros are not counted but stand for what is missing of the ``expected`` number of samples.
+    """
+    known, counts = np.unique(values[values != 0.0], return_counts=True)
+    counts = counts.astype(float)
+    zeros = expected - counts.sum()
+    if zeros > np.finfo(float).eps * expected * 100:
+        at = np.searchsorted(known, 0.0)
+        known, counts = np.insert(known, at, 0.0), np.insert(counts, at, zeros)
+    middles = (known[:-1] + known[1:]) / 2
+    if len(middles) <= most:
+        return middles
+    stride, chosen = expected / (most + 1), []
+    target, seen = stride, counts[0]
+    for index in range(1, len(known)):
+        before, seen = seen, seen + counts[index]
+        if abs(before - target) < abs(seen - target):
+            chosen.append(middles[index - 1])
+            target += stride
+    return np.array(chosen)
+
+
+def boosted(data: DataFrame, features: Sequence[str], depth: int, rounds: int, seed: int) -> DataFrame:
+    """``data`` (features, label) with the prediction of boosted trees as label.
+
+    Trees see of a row only between which split points its features lie. Where these leave at most MOST_CELLS cells, the
+    model is fitted to the cells, weighted by their rows, with their mean labels: the gains and leaves are those of the
+    rows, which are read twice and not once for every level of every tree.
+    """
+    model = GBTRegressor(maxDepth=depth, maxIter=rounds, seed=seed)
+    rows, bins = data.count(), model.getMaxBins()
+    wanted = max(bins * bins, SPLIT_ROWS)
+    share = wanted / rows if wanted < rows else 1.0
+    flat = data.select(*features)
+    drawn = np.array((flat if share == 1.0 else sampled(flat, share, seed)).collect(), dtype=float).reshape(-1, len(features))
+    points = [split_points(drawn[:, k], share * rows, min(bins, rows) - 1) for k in range(len(features))]
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features")
+    if math.prod(len(p) + 1 for p in points) > MOST_CELLS:
+        return model.fit(assemble.transform(data)).transform(assemble.transform(data)).select(*features, F.col("prediction").alias("label"))
+
+    @F.pandas_udf("long")
+    def cell(*columns: pd.Series) -> pd.Series:
+        code = np.zeros(len(columns[0]), np.int64)
+        for x, p in zip(columns, points):
+            if x.isna().any():
+                raise ValueError("NaN in a feature")
+            code = code * (len(p) + 1) + np.searchsorted(p, x.to_numpy(), "left")
+        return pd.Series(code)
+
+    placed = stored(data.select("*", cell(*features).alias("__cell")))
+    found = np.array(placed.groupBy("__cell").agg(F.count(F.lit(1)), F.avg("label")).orderBy("__cell").collect(), dtype=float).reshape(-1, 3)
+    places = np.unravel_index(found[:, 0].astype(int), [len(p) + 1 for p in points])
+    # Cells are numbered from 1 in each feature, so that none reads as a zero.
+    lines = [(int(c), float(w), float(y), *map(float, at)) for (c, w, y), at in zip(found, np.transpose(places) + 1)]
+    spark = data.sparkSession
+    cells = spark.createDataFrame(lines, ", ".join(["__cell long, __w double, label double", *[f"{f} double" for f in features]])).coalesce(1)
+    cells = assemble.transform(cells)
+    # A sample of more rows than expected has a split point more: every place between two cells stays one.
+    model = model.setWeightCol("__w").setMaxBins(max(bins, *[len(p) + 1 for p in points]))
+    predicted = model.fit(cells).transform(cells).select("__cell", "prediction")
+    values = F.broadcast(spark.createDataFrame(predicted.collect(), "__cell long, label double"))
+    return placed.drop("label").join(values, "__cell").select(*features, "label")
+
+
 def interaction_strength(df: DataFrame, features: Sequence[str], target: str, bins: int = 20, depth: int = 4, rounds: int = 20, seed: int = 7) -> DataFrame:
     """Share of a boosted-tree model's variance that no additive function explains.
 
@@ -109,9 +187,9 @@ def interaction_strength(df: DataFrame, features: Sequence[str], target: str, bi
     feature; what is left over comes from interactions.
     """
     pick(df, [*features, target])
-    data = stored(assembled(df, features, target))
-    model = GBTRegressor(maxDepth=depth, maxIter=rounds, seed=seed).fit(data)
-    scored = stored(model.transform(data).select(*[F.col(f"__x{i}") for i in range(len(features))], F.col("prediction").alias("label")))
+    names = [f"__x{i}" for i in range(len(features))]
+    data = stored(spread(df.select(*[filled(c).alias(n) for c, n in zip(features, names)], filled(target).alias("label"))))
+    scored = boosted(data, names, depth, rounds, seed)
     stages, encoded = [], []
     for i in range(len(features)):
         stages.append(QuantileDiscretizer(numBuckets=bins, inputCol=f"__x{i}", outputCol=f"__b{i}", handleInvalid="keep"))

@@ -146,3 +146,28 @@ def test_model_rows_are_dealt_over_tasks(spark, monkeypatch):
     sizes = [r["count"] for r in data.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) >= 28 and max(sizes) < 200 and sum(sizes) == 3000
     assert sorted(r["label"] for r in data.collect()) == [float(i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("rows, size", [(3000, 30.0), (13000, 500.0)])
+def test_trees_are_fitted_to_cells(spark, monkeypatch, rows, size):
+    """Boosted trees see few weighted cells and predict for every row what they predict when fitted to the rows."""
+    from lodestat.operators import nonlinear
+
+    rng = np.random.default_rng(8)
+    x, z = np.round(rng.exponential(size, rows), 1), rng.integers(-4, 5, rows).astype(float)
+    x[rng.random(rows) < 0.1] = 0.0
+    y = np.where(x > size, z * x, -z) + np.round(rng.normal(size=rows), 2)
+    data = spark.createDataFrame(list(zip(x.tolist(), z.tolist(), y.tolist())), "__x0 double, __x1 double, label double").repartition(3).localCheckpoint()
+    seen, fit = [], nonlinear.GBTRegressor.fit
+    monkeypatch.setattr(nonlinear.GBTRegressor, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    values = lambda: {(r[0], r[1]): r[2] for r in nonlinear.boosted(data, ["__x0", "__x1"], 4, 5, 7).collect()}
+    few = values()
+    monkeypatch.setattr(nonlinear, "MOST_CELLS", 0)
+    assert few == pytest.approx(values()) and len(few) == len(set(zip(x, z)))
+    assert seen[0] <= 33 * 9 and seen[1] == rows
+
+
+def test_no_tree_of_nan(spark):
+    df = spark.createDataFrame([(float(i % 7), math.nan if i == 5 else 1.0, float(i)) for i in range(50)], "a double, b double, y double")
+    with pytest.raises(Exception, match="NaN"):
+        ls.interaction_strength(df, ["a", "b"], "y").first()
