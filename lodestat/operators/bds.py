@@ -13,6 +13,9 @@ from lodestat.plans.joins import join_on
 from lodestat.plans.series import Series, detrended, with_lags
 from lodestat.plans.tiles import near_pairs, tile_seconds
 
+#: Core seconds of tiles below which boxes are not considered.
+SURE_SECONDS = 60
+
 
 def count_share(pairs: Column, vectors: Column) -> Column:
     """Ordered pairs with self pairs -> share of the unordered pairs."""
@@ -29,6 +32,12 @@ def boxed_pairs(series: Series, values: DataFrame, dim: int, distinct: int) -> D
     return box_pairs(series, vectors, dim, distinct)
 
 
+def counted_values(series: Series, values: DataFrame) -> tuple[DataFrame, int]:
+    """The values, stored, and how many different ones a series has at most."""
+    values = stored(values)
+    return values, values.groupBy(*series.key_cols()).count().agg(F.max("count")).first()[0] or 1
+
+
 def neighbour_integrals(series: Series, dim: int, epsilon: float, method: str = "auto") -> DataFrame:
     """(keys, n, c1, cm, k): correlation integrals and the triple correlation.
 
@@ -48,14 +57,19 @@ def neighbour_integrals(series: Series, dim: int, epsilon: float, method: str =
     if dim == 1:
         counts = singles.select(*keys, F.col("__near").alias("pairs"))
     else:
+        widest = None
         if method == "auto":
-            method = "tiles" if tile_seconds(series.squares) <= box_seconds(series.rows, series.longest, dim) else "boxes"
+            # What boxes cost depends on the different values, which are counted only where tiles cost much.
+            method, tiled = "tiles", tile_seconds(series.squares)
+            if tiled > SURE_SECONDS:
+                values, widest = counted_values(series, values)
+                method = "tiles" if tiled <= box_seconds(series.rows, widest, dim) else "boxes"
         if method == "tiles":
             near = near_pairs(series, dim, epsilon)
             counts = near.select(*keys, (F.col("near") * 2).alias("__both"))
         else:
-            values = stored(values)
-            widest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+            if widest is None:
+                values, widest = counted_values(series, values)
             counts = boxed_pairs(series, values, dim, widest)
     both = join_on(singles, counts, series.keys)
     if dim > 1 and method == "tiles":

@@ -68,3 +68,36 @@ def test_weights_inside():
     hi = np.maximum(lo, hi)
     want = [weights[a:b][(values[a:b] >= c) & (values[a:b] < d)].sum() for a, b, c, d in zip(start, end, lo, hi)]
     assert boxcount.weights_inside(values, weights, start, end, lo, hi).tolist() == want
+
+
+def test_long_series_go_to_tiles():
+    """Boxes repeat rows for the parts of heavy nodes: five series of 7,200,000 rows and 10,000 values are left to tiles."""
+    rows = 7_200_000
+    assert tiles.tile_seconds(5.0 * rows**2) <= boxcount.box_seconds(5 * rows, 10_000, 3)
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_chunks_sent_to_tasks(spark, monkeypatch, dim):
+    """Both chunks of a pair meet once, for series of different length with NULL and NaN as keys."""
+    import lodestat as ls
+
+    rng = np.random.default_rng(6)
+    made = {None: rng.integers(0, 60, 700) / 2, float("nan"): np.round(rng.normal(size=300), 1), 1.5: np.arange(90) * 0.1}
+    rows = [(k, i, float(v)) for k, xs in made.items() for i, v in enumerate(xs)]
+    s = ls.index_series(spark.createDataFrame(rows, "k double, t int, v double"), "v", "t", "k")
+    monkeypatch.setattr(tiles, "TILE", 64)
+    monkeypatch.setattr(tiles, "BROADCAST_VALUES", 0)
+    got = {repr(r["__key0"]): r["near"] for r in tiles.near_pairs(s, dim, 0.7).collect()}
+    assert got == {repr(k): plain_count(x, x, dim, 0.7, True) for k, x in made.items()}
+
+
+def test_places_that_are_covered_or_apart(monkeypatch):
+    """Blocks whose vectors all lie near or apart in some place are counted without their bits."""
+    monkeypatch.setattr(tiles, "TILE", 32)
+    rng = np.random.default_rng(9)
+    a = np.concatenate([rng.random(200), 10 + rng.random(200)])[rng.permutation(400)]
+    for eps in (0.2, 1.5, 9.5, 30.0):
+        for x in (a, np.sort(a)):
+            low, high = far_end(x, eps, -1), far_end(x, eps, 1)
+            assert tiles.near_tile(low, high, a, 3, False) == plain_count(x, a, 3, eps, False)
+            assert tiles.near_tile(low, high, x, 3, True) == plain_count(x, x, 3, eps, True)
